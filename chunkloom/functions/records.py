@@ -45,6 +45,11 @@ def token_cost(tokens: Column, price_per_1k: float) -> Column:
     return F.coalesce(tokens, F.lit(0)) * F.lit(float(price_per_1k)) / F.lit(1000.0)
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Half-up rounding that ignores the last bits, so that 2.45 computed as 2.4499999999 is 2.5."""
+    return F.round(F.round(value, 6 if digits < 5 else 12), digits)
+
+
 def ratio(part: Column, whole: Column, digits: int = 4) -> Column:
     """Rounded share; null over an empty base."""
     return F.round(F.when(whole > 0, part / whole), digits)

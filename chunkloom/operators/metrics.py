@@ -72,7 +72,7 @@ def latency_summary(values: DataFrame, digits: int = 1) -> DataFrame:
     )
     joined = base.join(exact_percentiles(values, ["metric"], PERCENTILES), "metric")
     return joined.select(
-        "metric", "samples", *[F.round(c, digits).alias(c) for c in ("last", "avg", "p50", "p95", "p99")]
+        "metric", "samples", *[R.rounded(F.col(c), digits).alias(c) for c in ("last", "avg", "p50", "p95", "p99")]
     )
 
 
@@ -97,9 +97,9 @@ def _cost_columns() -> list[Column]:
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     money = lambda c: F.round(c.cast("double"), 8)
     return [
-        F.round(F.avg(chat("prompt_tokens")), 1).alias("prompt_tokens_avg"),
+        R.rounded(F.avg(chat("prompt_tokens")), 1).alias("prompt_tokens_avg"),
         total(chat("prompt_tokens")).cast("long").alias("prompt_tokens_total"),
-        F.round(F.avg(chat("completion_tokens")), 1).alias("completion_tokens_avg"),
+        R.rounded(F.avg(chat("completion_tokens")), 1).alias("completion_tokens_avg"),
         total(chat("completion_tokens")).cast("long").alias("completion_tokens_total"),
         money(F.avg(chat("cost_usd"))).alias("cost_per_request_usd"),
         money(F.avg(ingest_cost)).alias("cost_per_document_usd"),
@@ -162,8 +162,8 @@ def monitor_overview(window: DataFrame, queue: DataFrame, corpus: DataFrame, win
         value = F.col(f"_{name}")
         last = F.max_by(value, F.when(value.isNotNull(), F.col("id")))
         quantiles = F.percentile(value, points)
-        columns += [F.round(last, 1).alias(f"{name}_last"), F.round(F.avg(value), 1).alias(f"{name}_avg")]
-        columns += [F.round(quantiles[i], 1).alias(f"{name}_{p}") for i, p in enumerate(PERCENTILES)]
+        columns += [F.round(last, 1).alias(f"{name}_last"), R.rounded(F.avg(value), 1).alias(f"{name}_avg")]
+        columns += [R.rounded(quantiles[i], 1).alias(f"{name}_{p}") for i, p in enumerate(PERCENTILES)]
     total = F.count("*")
     chat = F.count_if(is_chat())
     summary = rows.agg(
@@ -173,7 +173,7 @@ def monitor_overview(window: DataFrame, queue: DataFrame, corpus: DataFrame, win
         R.ratio(F.count_if(~succeeded()), total).alias("error_rate"),
         R.ratio(F.count_if("timed_out"), total).alias("timeout_rate"),
         R.ratio(F.count_if(chat_ok() & F.col("no_context")), F.count_if(chat_ok())).alias("no_context_ratio"),
-        F.round(F.avg(F.when(chat_ok(), F.col("citation_count"))), 2).alias("citation_count_avg"),
+        R.rounded(F.avg(F.when(chat_ok(), F.col("citation_count"))), 2).alias("citation_count_avg"),
         total.alias("samples_total"),
         chat.alias("samples_chat"),
         F.count_if(F.col("request_type") == "ingest").alias("samples_ingest"),
@@ -188,7 +188,7 @@ def timings_breakdown(metrics: DataFrame, stages=K.INGEST_TIMINGS) -> DataFrame:
     rows = metrics.where(ingest_ok())
     values = long_values(rows, {s: extra(s) for s in stages})
     per_stage = values.groupBy(F.col("metric").alias("stage")).agg(
-        F.count("*").alias("samples"), F.round(F.avg("value"), 1).alias("avg_ms"), F.sum("value").alias("total_ms")
+        F.count("*").alias("samples"), R.rounded(F.avg("value"), 1).alias("avg_ms"), F.sum("value").alias("total_ms")
     )
     total = per_stage.agg(F.sum("total_ms").alias("_all"))
     return per_stage.join(total).select(
@@ -254,7 +254,7 @@ def load_test_report(results: DataFrame, phase_seconds: float) -> DataFrame:
     stats = [*PERCENTILES, "avg"]
     wide = summary.agg(
         *[
-            F.round(F.max(F.when(F.col("metric") == m, F.col(s))), 2).alias(f"{m}_{s}")
+            R.rounded(F.max(F.when(F.col("metric") == m, F.col(s))), 2).alias(f"{m}_{s}")
             for m in series
             for s in stats
         ]
@@ -262,10 +262,10 @@ def load_test_report(results: DataFrame, phase_seconds: float) -> DataFrame:
     good = lambda c: F.when(ok, F.col(c))
     total = F.count("*")
     counts = results.agg(
-        F.round(F.avg(good("prompt_tokens")), 2).alias("prompt_tokens_avg"),
-        F.round(F.avg(good("completion_tokens")), 2).alias("completion_tokens_avg"),
-        F.round(F.avg(good("citation_count")), 2).alias("citation_count_avg"),
-        F.round(F.avg(good("cost_usd")), 8).alias("cost_per_request_usd"),
+        R.rounded(F.avg(good("prompt_tokens")), 2).alias("prompt_tokens_avg"),
+        R.rounded(F.avg(good("completion_tokens")), 2).alias("completion_tokens_avg"),
+        R.rounded(F.avg(good("citation_count")), 2).alias("citation_count_avg"),
+        F.round(F.avg(good("cost_usd")).cast("double"), 8).alias("cost_per_request_usd"),
         R.ratio(F.count_if(~ok), total).alias("error_rate"),
         R.ratio(F.count_if("timed_out"), total).alias("timeout_rate"),
         R.ratio(F.count_if(ok & F.col("no_context")), F.count_if(ok)).alias("no_context_ratio"),

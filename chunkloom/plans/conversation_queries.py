@@ -132,15 +132,15 @@ def _chat(spark, sf):
     return P.build_chat_messages(asked, C.recent_history(m, q), context)
 
 
-_CHAT_LINES = f"""chat AS (SELECT session_id AS query_id, 0 AS part, 0 AS n, 'system' AS role, '{K.SYSTEM_INSTRUCTION.replace(chr(10), "' || chr(10) || '")}' AS content
+_CHAT_LINES = f"""SELECT session_id AS query_id, 0 AS part, 0 AS n, 'system' AS role, '{K.SYSTEM_INSTRUCTION.replace(chr(10), "' || chr(10) || '")}' AS content
     FROM messages WHERE role = 'user' GROUP BY session_id
   UNION ALL SELECT session_id, 1, position, role, content FROM history WHERE session_id IN (SELECT session_id FROM messages WHERE role = 'user')
   UNION ALL SELECT session_id, 2, 0, 'system', '已检索内容：' || chr(10) || chr(10) || string_agg('[Chunk ' || rank || '] | doc_id=' || doc_id || ' | chunk_index=' || chunk_index
       || coalesce(' | score=' || {O.four('score')}, '') || coalesce(' | rerank_score=' || {O.four('rerank_score')}, '') || chr(10) || {O.strip('content')}, chr(10) || chr(10) ORDER BY rank)
     FROM (SELECT *, message_id // 1000 AS session_id FROM citation_hits WHERE message_id IN (SELECT max(message_id) FROM messages WHERE role = 'assistant' GROUP BY session_id))
     WHERE session_id IN (SELECT session_id FROM messages WHERE role = 'user') GROUP BY session_id
-  UNION ALL SELECT session_id, 3, 0, 'user', arg_max(content, message_id) FROM messages WHERE role = 'user' GROUP BY session_id)"""
-_CHAT = (_HISTORY, ("chat", _CHAT_LINES[len("chat AS (") : -1]))
+  UNION ALL SELECT session_id, 3, 0, 'user', arg_max(content, message_id) FROM messages WHERE role = 'user' GROUP BY session_id"""
+_CHAT = (_HISTORY, ("chat", _CHAT_LINES))
 
 
 @query(O.using("messages", "citation_hits", extra=_CHAT, body="""SELECT query_id, count(*)::INTEGER AS messages,

@@ -30,8 +30,8 @@ def _long(series: dict[str, str], source: str = "metrics") -> tuple[str, str]:
 
 
 _STATS = ", ".join(
-    ["round(arg_max(value, id), 1) AS last", "round(avg(value), 1) AS avg"]
-    + [f"round(quantile_cont(value, {p / 100}), 1) AS {n}" for n, p in M.PERCENTILES.items()]
+    ["round(arg_max(value, id), 1) AS last", "round(round(avg(value), 6), 1) AS avg"]
+    + [f"round(round(quantile_cont(value, {p / 100}), 6), 1) AS {n}" for n, p in M.PERCENTILES.items()]
 )
 
 
@@ -67,8 +67,8 @@ def no_context_ratio(spark, sf):
     return M.no_context_ratio(A.metrics(spark, sf))
 
 
-_COSTS = f"""round(avg(prompt_tokens) FILTER (WHERE {CHAT_OK}), 1) AS prompt_tokens_avg, coalesce(sum(prompt_tokens) FILTER (WHERE {CHAT_OK}), 0)::BIGINT AS prompt_tokens_total,
-  round(avg(completion_tokens) FILTER (WHERE {CHAT_OK}), 1) AS completion_tokens_avg, coalesce(sum(completion_tokens) FILTER (WHERE {CHAT_OK}), 0)::BIGINT AS completion_tokens_total,
+_COSTS = f"""round(round(avg(prompt_tokens) FILTER (WHERE {CHAT_OK}), 6), 1) AS prompt_tokens_avg, coalesce(sum(prompt_tokens) FILTER (WHERE {CHAT_OK}), 0)::BIGINT AS prompt_tokens_total,
+  round(round(avg(completion_tokens) FILTER (WHERE {CHAT_OK}), 6), 1) AS completion_tokens_avg, coalesce(sum(completion_tokens) FILTER (WHERE {CHAT_OK}), 0)::BIGINT AS completion_tokens_total,
   round(avg(cost_usd) FILTER (WHERE {CHAT_OK}), 8) AS cost_per_request_usd, round(avg(cost_usd) FILTER (WHERE {INGEST_OK}), 8) AS cost_per_document_usd,
   coalesce(sum(cost_usd) FILTER (WHERE {CHAT_OK}), 0)::DOUBLE AS chat_cost_total_usd, coalesce(sum(cost_usd) FILTER (WHERE {INGEST_OK}), 0)::DOUBLE AS ingest_cost_total_usd"""
 
@@ -99,8 +99,8 @@ def metrics_window_scan(spark, sf):
 
 
 _WIDE = ", ".join(
-    f"round(arg_max({n}_v, id) FILTER (WHERE {n}_v IS NOT NULL), 1) AS {n}_last, round(avg({n}_v), 1) AS {n}_avg, "
-    + ", ".join(f"round(quantile_cont({n}_v, {p / 100}), 1) AS {n}_{q}" for q, p in M.PERCENTILES.items())
+    f"round(arg_max({n}_v, id) FILTER (WHERE {n}_v IS NOT NULL), 1) AS {n}_last, round(round(avg({n}_v), 6), 1) AS {n}_avg, "
+    + ", ".join(f"round(round(quantile_cont({n}_v, {p / 100}), 6), 1) AS {n}_{q}" for q, p in M.PERCENTILES.items())
     for n in _SERIES
 )
 _QUALITY = ", ".join(f"round(avg({O.number(n)}), 4) AS {n}_avg" for n in ("recall_at_k", "mrr", "ndcg"))
@@ -108,7 +108,7 @@ _QUALITY = ", ".join(f"round(avg({O.number(n)}), 4) AS {n}_avg" for n in ("recal
 
 @query(O.using("metrics", "tasks", "corpus", "chunks", extra=(_WINDOW, ("wide", "SELECT *, " + ", ".join(f"{x} AS {n}_v" for n, x in _SERIES.items()) + " FROM recent")),
     body=f"""SELECT * FROM (SELECT {_WIDE}, {_COSTS}, round(count(*) FILTER (WHERE {CHAT}) / {DAY}, 3) AS qps, round({_RATES}, 4) AS error_rate,
-      round({_TIMEOUTS}, 4) AS timeout_rate, round({_NO_CONTEXT}, 4) AS no_context_ratio, round(avg(citation_count) FILTER (WHERE {CHAT_OK}), 2) AS citation_count_avg,
+      round({_TIMEOUTS}, 4) AS timeout_rate, round({_NO_CONTEXT}, 4) AS no_context_ratio, round(round(avg(citation_count) FILTER (WHERE {CHAT_OK}), 6), 2) AS citation_count_avg,
       count(*) AS samples_total, count(*) FILTER (WHERE {CHAT}) AS samples_chat, count(*) FILTER (WHERE request_type = 'ingest') AS samples_ingest,
       coalesce(nullif(count({O.number('recall_at_k')}), 0), nullif(count({O.number('mrr')}), 0), count({O.number('ndcg')})) AS retrieval_eval_samples, {_QUALITY},
       {DAY} AS window_seconds FROM wide),
@@ -128,7 +128,7 @@ _STAGES = ("text_extract_ms", "chunking_ms", "chunk_insert_ms", "embedding_ms",
 
 
 @query(O.using("metrics", extra=(_long({s: f"CASE WHEN {INGEST_OK} THEN {O.number(s)} END" for s in _STAGES}),), body="""SELECT metric AS stage, count(*) AS samples,
-    round(avg(value), 1) AS avg_ms, sum(value) AS total_ms, round(sum(value) / sum(sum(value)) OVER (), 4) AS share
+    round(round(avg(value), 6), 1) AS avg_ms, sum(value) AS total_ms, round(sum(value) / sum(sum(value)) OVER (), 4) AS share
   FROM long_values WHERE value IS NOT NULL GROUP BY metric"""))
 def timings_breakdown(spark, sf):
     return M.timings_breakdown(A.metrics(spark, sf))
@@ -172,13 +172,13 @@ _RUN = {
     "retrieval_ms": "CASE WHEN success THEN retrieval_ms END::DOUBLE",
 }
 _RUN_STATS = ", ".join(
-    ", ".join([f"round(quantile_cont({x}, {p / 100}), 2) AS {n}_{q}" for q, p in M.PERCENTILES.items()] + [f"round(avg({x}), 2) AS {n}_avg"])
+    ", ".join([f"round(round(quantile_cont({x}, {p / 100}), 6), 2) AS {n}_{q}" for q, p in M.PERCENTILES.items()] + [f"round(round(avg({x}), 6), 2) AS {n}_avg"])
     for n, x in _RUN.items()
 )
 
 
-@query(O.using("load_results", body=f"""SELECT {_RUN_STATS}, round(avg(prompt_tokens) FILTER (WHERE success), 2) AS prompt_tokens_avg,
-    round(avg(completion_tokens) FILTER (WHERE success), 2) AS completion_tokens_avg, round(avg(citation_count) FILTER (WHERE success), 2) AS citation_count_avg,
+@query(O.using("load_results", body=f"""SELECT {_RUN_STATS}, round(round(avg(prompt_tokens) FILTER (WHERE success), 6), 2) AS prompt_tokens_avg,
+    round(round(avg(completion_tokens) FILTER (WHERE success), 6), 2) AS completion_tokens_avg, round(round(avg(citation_count) FILTER (WHERE success), 6), 2) AS citation_count_avg,
     round(avg(cost_usd) FILTER (WHERE success), 8) AS cost_per_request_usd, round(count(*) FILTER (WHERE NOT success) / count(*), 4) AS error_rate,
     round(count(*) FILTER (WHERE timed_out) / count(*), 4) AS timeout_rate,
     round(count(*) FILTER (WHERE success AND no_context) / count(*) FILTER (WHERE success), 4) AS no_context_ratio,
@@ -203,7 +203,7 @@ def _chain_sql(key: str, source: str) -> str:
   UNION ALL SELECT c.k, (SELECT min(r.ts) FROM {source} r WHERE r.{key} = c.k AND r.ts >= c.s + to_seconds({DAY})) FROM {{name}} c WHERE c.s IS NOT NULL"""
 
 
-def _scope_sql(name: str, key: str, source: str, limit: int) -> tuple[tuple[str, str], ...]:
+def scope_sql(name: str, key: str, source: str, limit: int) -> tuple[tuple[str, str], ...]:
     chain = f"{name}_chain"
     return (
         (chain, _chain_sql(key, source).format(name=chain)),
@@ -216,11 +216,14 @@ def _scope_sql(name: str, key: str, source: str, limit: int) -> tuple[tuple[str,
     )
 
 
+REQUESTS_SQL = ("requests", 'SELECT event_id AS request_id, user_id % 40 AS ip, user_id AS "user", ts FROM events')
+
+
 @query(O.using(extra=(
-    ("requests", 'SELECT event_id AS request_id, user_id % 40 AS ip, user_id AS "user", ts FROM events'),
-    *_scope_sql("by_ip", "ip", "requests", 3),
+    REQUESTS_SQL,
+    *scope_sql("by_ip", "ip", "requests", 3),
     ("passed", 'SELECT request_id, ip, "user", ts FROM by_ip WHERE ok'),
-    *_scope_sql("by_user", '"user"', "passed", 2)),
+    *scope_sql("by_user", '"user"', "passed", 2)),
     body="""SELECT i.request_id, i.n AS ip_count, i.ok AS ip_allowed, i.remaining AS ip_remaining, i.reset_epoch AS ip_reset_epoch,
     u.n AS user_count, u.ok AS user_allowed, i.ok AND coalesce(u.ok, true) AS allowed FROM by_ip i LEFT JOIN by_user u USING (request_id)"""))
 def rate_limit_fixed_window(spark, sf):

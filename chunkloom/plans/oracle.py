@@ -53,7 +53,7 @@ def four(x: str) -> str:
 
 
 def quantile(x: str, p: float, digits: int = 1, where: str = "true") -> str:
-    return f"round(quantile_cont({x}::DOUBLE, {p}) FILTER (WHERE {where}), {digits})"
+    return f"round(round(quantile_cont({x}::DOUBLE, {p}) FILTER (WHERE {where}), 6), {digits})"
 
 
 def instant(x: str) -> str:

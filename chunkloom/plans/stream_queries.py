@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from chunkloom.plans import adapters as A, oracle as O
 from chunkloom.plans.catalog import query
+from chunkloom.plans.metric_queries import DAY, REQUESTS_SQL, scope_sql
 from chunkloom.session import scratch_path
 from chunkloom.sources import files, sinks, sse
 from chunkloom.streaming import deltas as W, ingest as I, metrics as SM, rate_limit as SR, runner as R, tasks as ST
-from chunkloom.operators.chunks import chunk_documents
 
 CHAT, CHAT_OK = O.CHAT, O.CHAT_OK
 
@@ -26,7 +26,7 @@ def _metric_stream(spark, sf):
 def _window_sql(slots: str) -> str:
     return O.using("metrics", extra=(("slots", slots),), body=f"""SELECT window_start, window_start + INTERVAL 300 SECOND AS window_end, count(*) AS total,
     count(*) FILTER (WHERE {CHAT}) AS chat, round((arg_max(e2e_latency_ms, id) FILTER (WHERE {CHAT_OK}))::DOUBLE, 1) AS e2e_last,
-    round(avg(e2e_latency_ms) FILTER (WHERE {CHAT_OK}), 1) AS e2e_avg, {O.quantile('e2e_latency_ms', 0.5, 1, CHAT_OK)} AS e2e_p50,
+    round(round(avg(e2e_latency_ms) FILTER (WHERE {CHAT_OK}), 6), 1) AS e2e_avg, {O.quantile('e2e_latency_ms', 0.5, 1, CHAT_OK)} AS e2e_p50,
     {O.quantile('e2e_latency_ms', 0.95, 1, CHAT_OK)} AS e2e_p95, {O.quantile('e2e_latency_ms', 0.99, 1, CHAT_OK)} AS e2e_p99,
     round(count(*) FILTER (WHERE status <> 'success') / count(*), 4) AS error_rate, round(count(*) FILTER (WHERE timed_out) / count(*), 4) AS timeout_rate,
     round(count(*) FILTER (WHERE {CHAT_OK} AND no_context) / nullif(count(*) FILTER (WHERE {CHAT_OK}), 0), 4) AS no_context_ratio,
@@ -112,10 +112,15 @@ def task_state_stream(spark, sf):
     ("spans", "SELECT *, sum(first::INTEGER) OVER (PARTITION BY session_id ORDER BY created_at) AS n FROM gaps")),
     body="""SELECT session_id, min(created_at) AS active_from, max(created_at) + INTERVAL 7200 SECOND AS active_until, count(*) AS requests FROM spans GROUP BY session_id, n"""))
 def active_sessions_stream(spark, sf):
-    spans = SM.active_sessions(_metric_stream(spark, sf), 7200, watermark="1 day")
-    from chunkloom.streaming.runner import run_complete
-
-    return run_complete(spans, "sessions")
+    """A heartbeat row a week after the last event moves the watermark past every open span."""
+    path = scratch_path(spark, "activity")
+    rows = A.metrics(spark, sf).select("session_id", "created_at")
+    rows.write.parquet(path)
+    beat = rows.agg((F.max("created_at") + F.expr("INTERVAL 7 DAYS")).alias("created_at"))
+    beat.select(F.lit(None).cast("long").alias("session_id"), "created_at").write.mode("append").parquet(path)
+    source = spark.readStream.schema(rows.schema).parquet(path)
+    spans = SM.active_sessions(source, 7200, watermark="1 day")
+    return R.run_append(spans, "sessions").where(F.col("session_id").isNotNull())
 
 
 @query(O.using("metrics", body="SELECT id, request_type, created_at FROM metrics"))
@@ -140,3 +145,11 @@ def incremental_ingest(spark, sf):
     uploads = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(path)
     current, _ = I.run_incremental_ingest(uploads)
     return current.select("doc_id", "chunk_index", "content", "version")
+
+
+@query(O.using(extra=(REQUESTS_SQL, *scope_sql("by_ip", "ip", "requests", 3)),
+    body="SELECT request_id, ip, n AS count, ok AS allowed FROM by_ip"))
+def rate_limit_stream(spark, sf):
+    """The keyed-state form of the address scope over the event stream."""
+    e = _stream(spark, sf, "events").withColumn("ip", F.col("user_id") % 40)
+    return R.run_append(SR.rate_limit_stream(SR.as_requests(e, "ip", "ts", "event_id"), "ip", DAY, 3), "rate-limit")

@@ -31,8 +31,8 @@ def windowed_metrics(
         total.alias("total"),
         F.count_if(is_chat()).alias("chat"),
         F.round(F.max_by(e2e, F.when(e2e.isNotNull(), F.col("id"))).cast("double"), 1).alias("e2e_last"),
-        F.round(F.avg(e2e), 1).alias("e2e_avg"),
-        *[F.round(quantiles[i], 1).alias(f"e2e_{p}") for i, p in enumerate(PERCENTILES)],
+        R.rounded(F.avg(e2e), 1).alias("e2e_avg"),
+        *[R.rounded(quantiles[i], 1).alias(f"e2e_{p}") for i, p in enumerate(PERCENTILES)],
         R.ratio(F.count_if(~succeeded()), total).alias("error_rate"),
         R.ratio(F.count_if("timed_out"), total).alias("timeout_rate"),
         R.ratio(F.count_if(chat_ok() & F.col("no_context")), F.count_if(chat_ok())).alias("no_context_ratio"),

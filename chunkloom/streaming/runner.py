@@ -49,18 +49,3 @@ def run_update(stream: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     rows = spark.read.option("basePath", out).parquet(out)
     return last_per_key(rows, keys, F.col("batch")).drop("batch")
 
-
-def run_complete(stream: DataFrame, name: str) -> DataFrame:
-    """Complete-mode stream: each batch writes the whole result, the last one stands."""
-    spark = stream.sparkSession
-    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    query = (
-        stream.writeStream.foreachBatch(store).option("checkpointLocation", state)
-        .outputMode("complete").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(out)
