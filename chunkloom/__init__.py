@@ -1 +1,8 @@
 """Document-corpus, retrieval and request-analytics operators on PySpark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so that executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

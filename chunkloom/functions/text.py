@@ -6,13 +6,18 @@ from pyspark.sql import Column, functions as F
 
 from chunkloom.constants import CHUNK_OVERLAP, CHUNK_SIZE, SNIPPET_CHARS
 
-_WIDE = r"\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# All 29 Unicode blanks. The first class lets printable ASCII fail at once; (?U) widens \s.
 BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-WS = rf"[\s{_WIDE}]"
-LINE_WS = rf"[ \t\x0b\f{_WIDE}]"
+WS = r"(?U)[[^!-~]&&[\s\x1c-\x1f]]"
+LINE_WS = r"(?U)[[^!-~\n]&&[\s\x1c-\x1f]]"
 THINK = r"(?is)<think\b[^>]*>.*?(?:</think>|\z)"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where it is used in several branches."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
@@ -27,7 +32,8 @@ def left(text: Column, n: int) -> Column:
 
 def normalize_document_text(text: Column) -> Column:
     """Unix newlines, no trailing blanks on lines, one blank line at most, stripped."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
+    t = F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    t = F.replace(t, F.lit("\r"), F.lit("\n"))
     t = F.regexp_replace(t, rf"{LINE_WS}++(?=\n|\z)", "")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
     return strip(t)
@@ -79,7 +85,8 @@ def estimate_tokens(text: Column) -> Column:
     """Word count when there are several words, otherwise character count."""
     body = strip(F.coalesce(text, F.lit("")))
     words = F.size(F.split(body, rf"{WS}+"))
-    return F.when(body == "", F.lit(0)).when(words > 1, words).otherwise(F.char_length(body))
+    count = let(words, lambda n: F.when(n > 1, n).otherwise(F.char_length(body)))
+    return F.when(body == "", F.lit(0)).otherwise(count)
 
 
 def collapse_whitespace(text: Column) -> Column:

@@ -50,10 +50,12 @@ def document_metadata(files: DataFrame, suffix: Column) -> DataFrame:
 def decode_text(files: DataFrame, content: str = "content", out: str = "text") -> DataFrame:
     """Bytes to text: valid UTF-8 stays in the JVM, the other charsets go through Arrow."""
 
+    encodings = K.TEXT_ENCODINGS
+
     @F.pandas_udf("string")
     def legacy(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(raw):
-            for encoding in K.TEXT_ENCODINGS:
+            for encoding in encodings:
                 try:
                     return raw.decode(encoding)
                 except UnicodeDecodeError:

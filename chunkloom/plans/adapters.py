@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chunkloom.functions.text import fixed_pieces
 from chunkloom.operators.chunks import chunk_documents, with_chunk_id
+from chunkloom.sources.files import spread
 
 VECTORS_PER_DOC = 50
 MODEL = "m1"
@@ -42,7 +43,7 @@ def corpus_documents(spark, sf) -> DataFrame:
 
 
 def texts(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 def chunks(spark, sf) -> DataFrame:

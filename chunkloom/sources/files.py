@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from chunkloom import constants as K
 
+SPREAD_BYTES = 32 * 1024 * 1024
 MAPPING_SCHEMA = "row_id int, chunk_id long, doc_id long, chunk_index int, content string"
 
 
@@ -42,6 +43,13 @@ def read_table(
     return table.select(*columns) if columns else table
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Deal a small input that sits in few row groups out to all cores; a large one is split already."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores, key) if size < cores * SPREAD_BYTES else table
+
+
 def schema_tolerant(table: DataFrame, wanted: StructType) -> DataFrame:
     """The wanted columns; those the table lacks are null."""
     present = set(table.columns)
