@@ -8,6 +8,8 @@ from chunkloom import constants as K
 from chunkloom.functions import records as R, text as T
 from chunkloom.operators.ranking import top_n
 
+SALTS = 32
+
 
 def validate_messages(messages: DataFrame) -> DataFrame:
     """Messages with cleaned fields and the list of reasons against them (empty when good)."""
@@ -79,12 +81,15 @@ def messages_with_citations(messages: DataFrame, citations: DataFrame, page: int
         "chunk_index",
         F.coalesce("snippet", F.lit("")).alias("snippet"),
     )
+    # Only messages over the page size have an entry; their citations are dealt out over salts.
     span = citations.groupBy("message_id").agg(F.min("id").alias("_first"), F.count("*").alias("_n"))
-    # Small messages need no paging; a large one is cut by id distance from its first citation.
-    page_no = F.when(F.col("_n") <= page, F.lit(0)).otherwise(F.floor((F.col("id") - F.col("_first")) / F.lit(page)))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    large = span.where(F.col("_n") > page).select("message_id", "_first", salts.alias("_salt"))
+    salted = citations.withColumn("_salt", F.pmod("id", F.lit(SALTS)).cast("int"))
+    page_no = F.coalesce(F.floor((F.col("id") - F.col("_first")) / F.lit(page)), F.lit(0)).cast("long")
     grouped = (
-        citations.join(span, "message_id")
-        .groupBy("message_id", page_no.cast("long").alias("page_no"))
+        salted.join(large, ["message_id", "_salt"], "left")
+        .groupBy("message_id", page_no.alias("page_no"))
         .agg(F.array_sort(F.collect_list(item)).alias("_items"))
     )
     public = F.transform(
@@ -99,8 +104,11 @@ def messages_with_citations(messages: DataFrame, citations: DataFrame, page: int
         ),
     )
     kind = "array<struct<citation_id:bigint,doc_id:bigint,chunk_id:bigint,chunk_index:int,score:double,snippet:string>>"
+    # Page 0 keeps messages without citations; an inner join of the rest splits under skew.
+    first = messages.join(grouped.where(F.col("page_no") == 0), "message_id", "left")
+    rest = messages.join(grouped.where(F.col("page_no") > 0), "message_id")
     return (
-        messages.join(grouped, "message_id", "left")
+        first.unionByName(rest)
         .withColumn("citations", F.coalesce(public.cast(kind), F.array().cast(kind)))
         .withColumn("page_no", F.coalesce("page_no", F.lit(0).cast("long")))
         .drop("_items")

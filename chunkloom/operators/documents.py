@@ -121,7 +121,7 @@ def filter_documents(documents: DataFrame, view: str) -> DataFrame:
 
 def filter_by_id(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """Rows whose key is asked for; many lookups in one pass."""
-    return table.join(wanted.select(key).distinct(), key, "left_semi")
+    return table.join(wanted.select(key), key, "left_semi")
 
 
 def documents_left_join_chunks(documents: DataFrame, chunks: DataFrame) -> DataFrame:

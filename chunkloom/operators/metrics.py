@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chunkloom import constants as K
 from chunkloom.functions import records as R, text as T
 from chunkloom.operators.evaluation import retrieval_eval_macro
-from chunkloom.operators.ranking import exact_percentiles, running_totals
+from chunkloom.operators.ranking import exact_percentiles, one_row, running_totals
 
 CHAT_TYPES = ("chat_async", "chat_stream")
 PERCENTILES = {"p50": 50, "p95": 95, "p99": 99}
@@ -179,8 +179,7 @@ def monitor_overview(window: DataFrame, queue: DataFrame, corpus: DataFrame, win
         F.count_if(F.col("request_type") == "ingest").alias("samples_ingest"),
     )
     quality = retrieval_eval_macro(extra_eval_values(window))
-    # Four frames of exactly one row each.
-    return summary.join(quality).join(queue).join(corpus).withColumn("window_seconds", F.lit(window_seconds))
+    return one_row(summary, quality, queue, corpus).withColumn("window_seconds", F.lit(window_seconds))
 
 
 def timings_breakdown(metrics: DataFrame, stages=K.INGEST_TIMINGS) -> DataFrame:
@@ -190,10 +189,9 @@ def timings_breakdown(metrics: DataFrame, stages=K.INGEST_TIMINGS) -> DataFrame:
     per_stage = values.groupBy(F.col("metric").alias("stage")).agg(
         F.count("*").alias("samples"), R.rounded(F.avg("value"), 1).alias("avg_ms"), F.sum("value").alias("total_ms")
     )
-    total = per_stage.agg(F.sum("total_ms").alias("_all"))
-    return per_stage.join(total).select(
-        "stage", "samples", "avg_ms", "total_ms", R.ratio(F.col("total_ms"), F.col("_all")).alias("share")
-    )
+    # One row per stage is left, so a window over all of them is small.
+    all_stages = F.sum("total_ms").over(Window.partitionBy(F.lit(0)))
+    return per_stage.select("stage", "samples", "avg_ms", "total_ms", R.ratio(F.col("total_ms"), all_stages).alias("share"))
 
 
 def concurrency_by_instant(intervals: DataFrame) -> DataFrame:
@@ -225,9 +223,9 @@ def concurrent_sessions(intervals: DataFrame) -> DataFrame:
 def gauge_points(samples: DataFrame, value: str, keep: int = K.GAUGE_POINTS) -> DataFrame:
     """Newest ``keep`` points of (ts, value) with nulls as 0 and bar heights in percent, at least 8."""
     newest = samples.orderBy(F.desc("ts")).limit(keep).withColumn("value", F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
-    top = newest.agg(F.greatest(F.lit(1.0), F.max("value")).alias("_top"))
-    height = F.greatest(F.lit(8.0), F.col("value") / F.col("_top") * 100)
-    return newest.join(top).select("ts", "value", F.round(height, 4).alias("height"))
+    top = F.greatest(F.lit(1.0), F.max("value").over(Window.partitionBy(F.lit(0))))
+    height = F.greatest(F.lit(8.0), F.col("value") / top * 100)
+    return newest.select("ts", "value", F.round(height, 4).alias("height"))
 
 
 def union_run_results(*runs: DataFrame) -> DataFrame:
@@ -274,4 +272,4 @@ def load_test_report(results: DataFrame, phase_seconds: float) -> DataFrame:
         F.count_if(F.col("mode") == "stream").alias("stream_requests"),
         F.count_if(ok).alias("successful_requests"),
     )
-    return wide.join(counts)
+    return one_row(wide, counts)

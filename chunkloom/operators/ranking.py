@@ -96,3 +96,11 @@ def exact_percentiles(
         a, b = at(low), at(F.ceil(rank))
         picks.append(F.when(weight == 0, a).otherwise(a * (1 - weight) + b * weight).alias(name))
     return ranked.groupBy(*keys).agg(*picks)
+
+
+def one_row(*frames: DataFrame) -> DataFrame:
+    """The columns of several one-row frames side by side, without a join."""
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])

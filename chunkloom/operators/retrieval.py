@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chunkloom import constants as K
-from chunkloom.functions.vectors import inner_product
 from chunkloom.operators.ranking import top_n
 
 SCORE_DIGITS = 6
@@ -47,13 +46,6 @@ def guard_index_usable(requests: DataFrame, index_meta: DataFrame, model: str) -
     )
 
 
-def score_query_vs_chunks(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """All scores of a query in its document. Feeds aggregates; for ranked hits use :func:`vector_topk`."""
-    q = queries.select("query_id", "doc_id", F.col("embedding").alias("_q"))
-    score = F.round(inner_product(F.col("_q"), F.col("embedding")), SCORE_DIGITS)
-    return q.join(vectors, "doc_id").select("query_id", "doc_id", "chunk_id", "chunk_index", score.alias("score"))
-
-
 def vector_blocks(vectors: DataFrame, size: int = VECTOR_BLOCK) -> DataFrame:
     """At most ``size`` vectors of one document per row, as flat arrays."""
     block = F.floor(F.col("chunk_index") / F.lit(size)).cast("long")
@@ -85,25 +77,29 @@ def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> DataFrame:
     )
 
 
+def _products(batch: pa.RecordBatch):
+    """Per row of a batch: its document, ids and the score matrix (queries by chunks)."""
+    columns = {name: batch.column(name) for name in batch.schema.names}
+    for i in range(batch.num_rows):
+        cell = lambda name: columns[name][i].values.to_numpy(zero_copy_only=False)
+        query_ids, chunk_ids = cell("query_ids"), cell("chunk_ids")
+        q = cell("query_matrix").astype("float64").reshape(len(query_ids), -1)
+        v = cell("matrix").astype("float64").reshape(len(chunk_ids), -1)
+        yield columns["doc_id"][i].as_py(), query_ids, chunk_ids, cell("chunk_indexes"), q @ v.T
+
+
 def _block_search(k: int):
     """Arrow task: one matrix product per (query block, vector block), k best and near-ties kept."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {name: batch.column(name) for name in batch.schema.names}
-            for i in range(batch.num_rows):
-                cell = lambda name: columns[name][i].values.to_numpy(zero_copy_only=False)
-                query_ids, chunk_ids, indexes = cell("query_ids"), cell("chunk_ids"), cell("chunk_indexes")
-                q = cell("query_matrix").astype("float64").reshape(len(query_ids), -1)
-                v = cell("matrix").astype("float64").reshape(len(chunk_ids), -1)
-                scores = q @ v.T
+            for doc, query_ids, chunk_ids, indexes, scores in _products(batch):
                 if scores.shape[1] > k:
                     kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
                     # Ranks are decided after rounding, so everything within a rounding step stays in.
                     rows, cols = np.nonzero(scores >= kth[:, None] - 2.0 * 10.0**-SCORE_DIGITS)
                 else:
                     rows, cols = np.indices(scores.shape).reshape(2, -1)
-                doc = columns["doc_id"][i].as_py()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(query_ids[rows], pa.int64()),
@@ -118,15 +114,24 @@ def _block_search(k: int):
     return search
 
 
-def vector_topk(
-    queries: DataFrame, vectors: DataFrame, k: int, broadcast_rows: int = BROADCAST_QUERY_ROWS
-) -> DataFrame:
-    """Exact top-k of each query inside its document.
+def _block_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, query_ids, chunk_ids, _, scores in _products(batch):
+            columns = [
+                pa.array(query_ids, pa.int64()),
+                pa.array(np.full(len(query_ids), len(chunk_ids)), pa.int64()),
+                pa.array(scores.max(axis=1), pa.float64()),
+                pa.array(scores.min(axis=1), pa.float64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "pairs", "best", "worst"])
+
+
+def blocks_by_document(queries: DataFrame, vectors: DataFrame, broadcast_rows: int = BROADCAST_QUERY_ROWS) -> DataFrame:
+    """Blocks of vectors next to the blocks of queries of the same document.
 
-    Blocks of vectors meet blocks of queries, so no (query, chunk) pair is ever a row: each
-    block product hands on about k rows per query. Up to ``broadcast_rows`` queries (counted)
-    are broadcast; beyond that both sides shuffle on (document, salt), which spreads the
-    blocks of a hot document over many tasks.
+    No (query, chunk) pair is ever a row. Up to ``broadcast_rows`` queries (counted) are
+    broadcast; beyond that both sides shuffle on (document, salt), which spreads the blocks
+    of a hot document over many tasks. Arrow batches are bounded by Spark's byte limit.
     """
     wanted = queries.select("query_id", "doc_id", "embedding")
     q, v = query_blocks(wanted), vector_blocks(vectors)
@@ -135,8 +140,24 @@ def vector_topk(
     else:
         q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = v.withColumn("salt", F.pmod("block", F.lit(SALTS)).cast("int")).join(q, ["doc_id", "salt"])
-    inputs = met.select("doc_id", "query_ids", "query_matrix", "chunk_ids", "chunk_indexes", "matrix")
-    hits = inputs.mapInArrow(_block_search(k), SCORED).select(
+    return met.select("doc_id", "query_ids", "query_matrix", "chunk_ids", "chunk_indexes", "matrix")
+
+
+def score_query_vs_chunks(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Every query against every chunk of its document: scores compared, the best and the worst."""
+    parts = blocks_by_document(queries, vectors).mapInArrow(_block_scores, "query_id long, pairs long, best double, worst double")
+    return parts.groupBy("query_id").agg(
+        F.sum("pairs").alias("pairs"),
+        F.round(F.max("best"), SCORE_DIGITS).alias("best"),
+        F.round(F.min("worst"), SCORE_DIGITS).alias("worst"),
+    )
+
+
+def vector_topk(
+    queries: DataFrame, vectors: DataFrame, k: int, broadcast_rows: int = BROADCAST_QUERY_ROWS
+) -> DataFrame:
+    """Exact top-k of each query inside its document; each block product hands on about k rows per query."""
+    hits = blocks_by_document(queries, vectors, broadcast_rows).mapInArrow(_block_search(k), SCORED).select(
         "query_id",
         "doc_id",
         "chunk_id",

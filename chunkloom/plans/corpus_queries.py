@@ -10,6 +10,7 @@ from pyspark.sql import functions as F, types as Y
 from chunkloom import constants as K
 from chunkloom.functions import records as R, text as T
 from chunkloom.operators import chunks as C, documents as D
+from chunkloom.operators.ranking import one_row
 from chunkloom.plans import adapters as A, oracle as O
 from chunkloom.plans.catalog import query
 from chunkloom.session import scratch_path, written
@@ -223,8 +224,7 @@ def corpus_counts(spark, sf):
     docs, chunks = A.corpus_documents(spark, sf), A.chunks(spark, sf)
     plain = D.corpus_counts(docs, chunks)
     fanout = D.corpus_counts(docs, chunks, fanout_compatible=True)
-    # Two frames of one row each.
-    return plain.join(fanout.select(F.col("documents_ready").alias("ready_by_fanout")))
+    return one_row(plain, fanout.select(F.col("documents_ready").alias("ready_by_fanout")))
 
 
 @query(O.using("chunks", body="""SELECT doc_id, sum(tokens_est)::BIGINT AS embedding_tokens, round(sum(tokens_est) * 0.02 / 1000.0, 8) AS cost_usd
@@ -242,8 +242,7 @@ def document_dashboard(spark, sf):
     from chunkloom.operators.tasks import task_totals
 
     docs = A.corpus_documents(spark, sf).withColumn("chunks", F.when(F.col("id") % 5 > 0, F.col("id") % 9))
-    # Two frames of one row each.
-    return D.document_dashboard(docs).join(task_totals(A.tasks(spark, sf)))
+    return one_row(D.document_dashboard(docs), task_totals(A.tasks(spark, sf)))
 
 
 @query(f"""SELECT doc_id, n AS chunk_count, n * 2048 AS vector_bytes, n * 4096 AS disk_low_bytes, n * 10240 AS disk_high_bytes, n * 512 AS multiply_adds

@@ -88,9 +88,9 @@ _WINDOW = ("recent", f"SELECT * FROM metrics WHERE created_at >= (SELECT max(ts)
 
 def _recent(spark, sf):
     metrics = A.metrics(spark, sf)
-    as_of = metrics.agg(F.max("created_at").alias("as_of"))
-    # One row: the moment of the report, a parameter in production.
-    return M.metrics_window_scan(metrics.join(as_of), F.col("as_of"), DAY).drop("as_of")
+    # One value: the moment of the report, which a caller passes in production.
+    as_of = metrics.agg(F.max("created_at")).first()[0]
+    return M.metrics_window_scan(metrics, F.lit(as_of), DAY)
 
 
 @query(O.using("metrics", extra=(_WINDOW,), body="SELECT id, request_type, created_at FROM recent"))

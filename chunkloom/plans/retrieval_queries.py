@@ -44,10 +44,7 @@ def vector_topk(spark, sf):
 @query(O.using("pair_scores", body="""SELECT query_id, count(*) AS pairs, max(score) AS best, min(score) AS worst
   FROM pair_scores GROUP BY query_id"""))
 def score_query_vs_chunks(spark, sf):
-    scores = S.score_query_vs_chunks(A.queries(spark, sf), A.vectors(spark, sf))
-    return scores.groupBy("query_id").agg(
-        F.count("*").alias("pairs"), F.max("score").alias("best"), F.min("score").alias("worst")
-    )
+    return S.score_query_vs_chunks(A.queries(spark, sf), A.vectors(spark, sf))
 
 
 @query("""SELECT q AS k, greatest(1, CASE WHEN q = 0 THEN 1 ELSE q END) AS at_least_one, least(20, greatest(1, CASE WHEN q = 0 THEN 1 ELSE q END)) AS ui,

@@ -29,13 +29,14 @@ def write_chunks(new: DataFrame, path: str, old: DataFrame | None = None, bucket
             new.select("doc_id").distinct(), "doc_id", "left_anti"
         )
         out = fresh.unionByName(stay)
-    out.write.partitionBy("doc_bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    # Rebalance: few files per bucket, and a hot bucket is split over several tasks.
+    out.hint("rebalance", "doc_bucket").write.partitionBy("doc_bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def write_vector_index(vectors: DataFrame, path: str, buckets: int = DOC_BUCKETS) -> DataFrame:
     """Store (doc_id, row_id, chunk_id, chunk_index, content, embedding) and return the index meta."""
     indexed = index_row_id(vectors)
-    with_bucket(indexed, buckets).write.partitionBy("doc_bucket").mode("overwrite").parquet(path)
+    with_bucket(indexed, buckets).hint("rebalance", "doc_bucket").write.partitionBy("doc_bucket").mode("overwrite").parquet(path)
     return vector_index_meta(vectors)
 
 
@@ -47,7 +48,7 @@ def metric_rows(records: DataFrame, extra: list[str]) -> DataFrame:
 
 def append_request_metrics(records: DataFrame, path: str) -> None:
     day = records.withColumn("created_day", F.to_date("created_at"))
-    day.write.mode("append").partitionBy("created_day").parquet(path)
+    day.hint("rebalance", "created_day").write.mode("append").partitionBy("created_day").parquet(path)
 
 
 def write_citations(citations: DataFrame, path: str) -> None:
@@ -59,4 +60,4 @@ def write_sse_events(event_rows: DataFrame, path: str) -> None:
     bucket = F.pmod(F.xxhash64("stream_id"), F.lit(DOC_BUCKETS)).cast("int")
     text = F.regexp_replace("event_text", r"\n\z", "")
     rows = event_rows.select(text.alias("value"), bucket.alias("stream_bucket"))
-    rows.write.partitionBy("stream_bucket").mode("append").text(path)
+    rows.hint("rebalance", "stream_bucket").write.partitionBy("stream_bucket").mode("append").text(path)
