@@ -85,7 +85,7 @@ def word_set(text: Column) -> Column:
 
 def overlap_score(asked: Column, words: Column) -> Column:
     """Share of the asked words found, 6 digits."""
-    found = F.size(F.array_intersect(asked, words))
+    found = F.size(F.array_intersect(words, asked))
     return F.round(found.cast("double") / F.size(asked), 6)
 
 
@@ -93,10 +93,11 @@ def token_overlap(candidates: DataFrame, questions: DataFrame, contents: DataFra
     """Default scorer of (query_id, chunk_id) candidates: adds ``rerank_score``.
 
     Each question and each chunk is split into words once; the pairs only compare the sets.
+    The short question words travel with the candidates to the chunk's words, not the reverse.
     """
     asked = questions.select("query_id", word_set(F.col("question")).alias("_asked"))
     words = contents.select("chunk_id", word_set(F.col("content")).alias("_words"))
-    pairs = candidates.join(words, "chunk_id").join(asked, "query_id")
+    pairs = candidates.join(asked, "query_id").join(words, "chunk_id")
     return pairs.withColumn("rerank_score", overlap_score(F.col("_asked"), F.col("_words"))).drop("_asked", "_words")
 
 
@@ -120,9 +121,8 @@ def rerank_with_model(
             yield pd.Series(values)
 
     def scorer(candidates: DataFrame, questions: DataFrame, contents: DataFrame) -> DataFrame:
-        pairs = candidates.join(contents.select("chunk_id", "content"), "chunk_id").join(
-            questions.select("query_id", "question"), "query_id"
-        )
+        asked = candidates.join(questions.select("query_id", "question"), "query_id")
+        pairs = asked.join(contents.select("chunk_id", "content"), "chunk_id")
         scored = pairs.withColumn("rerank_score", F.round(score("question", "content"), 6))
         return scored.drop("question", "content")
 

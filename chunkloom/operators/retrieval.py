@@ -185,10 +185,11 @@ def assign_final_rank(hits: DataFrame, order: list[Column], k: int) -> DataFrame
     return ranked
 
 
-def rerank_pairs(hits: DataFrame, questions: DataFrame) -> DataFrame:
-    """Candidates with their question and the text to judge."""
+def rerank_pairs(hits: DataFrame, questions: DataFrame, contents: DataFrame) -> DataFrame:
+    """Candidates with their question and the text to judge: the content, else the snippet."""
     text = F.coalesce(F.nullif("content", F.lit("")), F.nullif("snippet", F.lit("")), F.lit(""))
-    return hits.withColumn("content", text).join(questions.select("query_id", "question"), "query_id")
+    asked = hits.join(questions.select("query_id", "question"), "query_id")
+    return asked.join(contents.select("chunk_id", text.alias("content")), "chunk_id")
 
 
 def rerank_topk(scored: DataFrame, k: int) -> DataFrame:

@@ -27,7 +27,7 @@ def instant(seconds: Column) -> Column:
 
 
 def corpus_documents(spark, sf) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     i = F.col("doc_id")
     ext = choose(i % 8, ".md", ".txt", ".JSON", ".csv", ".pdf", ".docx", ".exe", "")
     status = choose(i % 10, "FAILED", "INGESTING", "UPLOADED", *["READY"] * 7)
@@ -238,7 +238,7 @@ def request_metrics(events: DataFrame) -> DataFrame:
 
 
 def metrics(spark, sf) -> DataFrame:
-    return request_metrics(table(spark, sf, "events"))
+    return request_metrics(spread(table(spark, sf, "events"), "event_id"))
 
 
 def activity_intervals(spark, sf) -> DataFrame:

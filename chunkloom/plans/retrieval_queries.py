@@ -20,8 +20,8 @@ def _top(spark, sf, k):
 def _candidates(spark, sf):
     """Top-30 hits with text and question."""
     hits = _top(spark, sf, K.CANDIDATE_TOP_K).withColumnRenamed("rank", "original_rank")
-    with_text = hits.join(A.vector_contents(spark, sf), "chunk_id").withColumn("snippet", F.lit(""))
-    return S.rerank_pairs(with_text, A.queries(spark, sf))
+    texts = A.vector_contents(spark, sf).withColumn("snippet", F.lit(""))
+    return S.rerank_pairs(hits, A.queries(spark, sf), texts)
 
 
 def _scored(spark, sf):
