@@ -50,16 +50,28 @@ TONE_OK = ("OK", "SUCCESS", "READY", "HEALTHY")
 TONE_ERROR = ("FAILURE", "FAILED", "ERROR", "UNHEALTHY")
 TONE_WARN = ("STARTED", "PROGRESS", "PROCESSING", "PENDING", "UPLOADED")
 
-# --- progress per stage -------------------------------------------------
-INGEST_STAGES = (
-    ("document_marked_ingesting", 5),
-    ("document_loaded", 20),
-    ("document_chunked", 40),
-    ("chunks_inserted", 60),
-    ("embedding_chunks", 75),
-    ("building_faiss_index", 90),
-    ("finished", 100),
-)
+# --- progress per task type and stage ------------------------------------
+STAGE_PROGRESS = {
+    "ingest_document": {
+        "document_marked_ingesting": 5,
+        "document_loaded": 20,
+        "document_chunked": 40,
+        "chunks_inserted": 60,
+        "embedding_chunks": 75,
+        "building_faiss_index": 90,
+        "finished": 100,
+        "failed": 100,
+    },
+    "chat_generate": {
+        "load_user_message": 10,
+        "retrieve": 30,
+        "generate_answer": 60,
+        "save_assistant_message": 80,
+        "finished": 100,
+        "failed": 100,
+    },
+    "ping": {"started": 0},
+}
 INGEST_TIMINGS = ("text_extract_ms", "chunking_ms", "chunk_insert_ms", "embedding_ms", "index_ms")
 
 # --- prompt and answer texts --------------------------------------------

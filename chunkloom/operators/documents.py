@@ -32,7 +32,7 @@ def document_metadata(files: DataFrame, suffix: Column) -> DataFrame:
     pairs = [F.lit(x) for item in K.MIME_BY_EXTENSION.items() for x in item]
     mime = F.coalesce(F.element_at(F.create_map(*pairs), ext), F.lit(K.MIME_DEFAULT))
     sha = F.sha2(F.col("content"), 256)
-    dotted = F.regexp_extract(clean, r"[^.](\.[^.]*)$", 1)
+    dotted = F.when(clean == "..", F.lit("")).otherwise(F.regexp_extract(clean, r"(?s).(\.[^.]*)$", 1))
     stored = F.concat(
         F.col("user_id").cast("string"), F.lit("_"), F.substring(sha, 1, 16), F.lit("_"), suffix, dotted
     )

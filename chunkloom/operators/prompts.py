@@ -153,9 +153,10 @@ def prompt_preview(messages: Column) -> Column:
 def template_answer(questions: DataFrame, context: DataFrame) -> DataFrame:
     """Extractive answer that lists every hit."""
     body = stripped_or_empty(F.coalesce(F.nullif("snippet", F.lit("")), F.col("content")))
+    shown = lambda text: F.coalesce(text, F.lit("None"))
     line = F.concat(
-        F.col("rank").cast("string"), F.lit(". [chunk_index="), F.col("chunk_index").cast("string"),
-        F.lit(", score="), plain_float(F.col("score")), F.lit("] "), body,
+        F.col("rank").cast("string"), F.lit(". [chunk_index="), shown(F.col("chunk_index").cast("string")),
+        F.lit(", score="), shown(plain_float(F.col("score"))), F.lit("] "), body,
     )
     lines = context.groupBy("query_id").agg(_ordered_join("rank", line, "\n").alias("lines"))
     full = F.concat_ws("\n", _fill(K.TEMPLATE_ANSWER_HEAD, F.col("question")), F.col("lines"), F.lit(K.TEMPLATE_ANSWER_TAIL))

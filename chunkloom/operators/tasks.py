@@ -86,21 +86,13 @@ def service_state(ok: Column) -> Column:
     return F.when(ok, F.lit("ok")).when(~ok, F.lit("error")).otherwise(F.lit("unknown"))
 
 
-def stage_of(progress: Column) -> Column:
-    """Ingest stage that a progress value has reached."""
-    stage = F.lit("queued")
-    for name, value in K.INGEST_STAGES:
-        stage = F.when(progress >= value, F.lit(name)).otherwise(stage)
-    return stage
-
-
 def progress_stage_counts(tasks: DataFrame) -> DataFrame:
-    """Tasks per type and stage with the stage's fixed progress (``state`` FAILURE is stage failed)."""
-    failed = F.col("state") == "FAILURE"
-    stage = F.when(failed, F.lit("failed")).otherwise(stage_of(F.col("progress")))
-    pairs = [F.lit(x) for item in (*K.INGEST_STAGES, ("failed", 100), ("queued", 0)) for x in item]
+    """Tasks per type and stage (from the meta JSON) with the fixed progress of that stage."""
+    fixed = {f"{kind}/{stage}": at for kind, stages in K.STAGE_PROGRESS.items() for stage, at in stages.items()}
+    lookup = F.create_map(*[F.lit(x) for pair in fixed.items() for x in pair])
+    stage = F.get_json_object("meta_json", "$.stage")
     counted = tasks.groupBy("type", stage.alias("stage")).agg(F.count("*").alias("tasks"))
-    return counted.withColumn("stage_progress", F.element_at(F.create_map(*pairs), F.col("stage")))
+    return counted.withColumn("stage_progress", F.try_element_at(lookup, F.concat_ws("/", "type", "stage")))
 
 
 def latest_users(users: DataFrame, limit: int = 20) -> DataFrame:

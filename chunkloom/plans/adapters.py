@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from chunkloom.constants import STAGE_PROGRESS
 from chunkloom.functions.text import fixed_pieces
 from chunkloom.operators.chunks import chunk_documents, with_chunk_id
 from chunkloom.sources.files import spread
@@ -151,6 +152,12 @@ def citations(spark, sf) -> DataFrame:
 def tasks(spark, sf) -> DataFrame:
     o = table(spark, sf, "orders")
     i = F.col("o_orderkey")
+    step = F.floor(i / 3)
+    stage = (
+        F.when(i % 3 == 0, choose(step % 8, *STAGE_PROGRESS["ingest_document"]))
+        .when(i % 3 == 1, choose(step % 6, *STAGE_PROGRESS["chat_generate"]))
+        .otherwise(F.lit("started"))
+    )
     return o.select(
         i.alias("id"),
         F.concat(F.lit("t"), i.cast("string")).alias("task_id"),
@@ -159,6 +166,7 @@ def tasks(spark, sf) -> DataFrame:
         F.col("o_custkey").alias("entity_id"),
         choose(i % 6, "PENDING", "STARTED", "PROGRESS", "SUCCESS", "FAILURE", "FAILED").alias("state"),
         (F.col("o_totalprice").cast("long") % 101).cast("int").alias("progress"),
+        F.concat(F.lit('{"stage": "'), stage, F.lit('"}')).alias("meta_json"),
         F.col("o_orderdate").cast("timestamp").alias("created_at"),
     )
 

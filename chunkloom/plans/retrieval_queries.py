@@ -319,7 +319,7 @@ def build_prompts(spark, sf):
     return P.build_prompts(modes, found)
 
 
-_LINES = f"""string_agg(rank || '. [chunk_index=' || chunk_index || ', score=' || score || '] ' || {O.strip('content')}, chr(10) ORDER BY rank)"""
+_LINES = f"""string_agg(rank || '. [chunk_index=' || chunk_index || ', score=' || coalesce(score::VARCHAR, 'None') || '] ' || {O.strip('content')}, chr(10) ORDER BY rank)"""
 
 
 @query(_mode_sql(f"""SELECT query_id, CASE WHEN lines IS NULL THEN {_sql_fill(K.TEMPLATE_ANSWER_EMPTY, 'question')}
@@ -329,10 +329,10 @@ _LINES = f"""string_agg(rank || '. [chunk_index=' || chunk_index || ', score=' |
       || shorter || {_sql_text(chr(10) + chr(10) + K.FALLBACK_ANSWER_TAIL)} END AS short_answer
   FROM queries LEFT JOIN (SELECT query_id, {_LINES} AS lines,
       string_agg(rank || '. ' || {O.cut(O.strip('content'), 200, "' ...'")}, chr(10) ORDER BY rank) FILTER (WHERE rank <= 3) AS shorter
-    FROM (SELECT * REPLACE (coalesce(score, 0.5) AS score) FROM context) WHERE query_id % 7 <> 0 GROUP BY query_id) USING (query_id)"""))
+    FROM context WHERE query_id % 7 <> 0 GROUP BY query_id) USING (query_id)"""))
 def template_answer(spark, sf):
     q, found, _ = _asked(spark, sf)
-    scored = found.withColumn("snippet", F.lit("")).withColumn("score", F.coalesce("score", F.lit(0.5)))
+    scored = found.withColumn("snippet", F.lit(""))
     short = P.fallback_answer(q, scored).withColumnRenamed("answer", "short_answer")
     return P.template_answer(q, scored).join(short, "query_id")
 
