@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chunkloom import constants as K
-from chunkloom.operators.ranking import top_n
+from chunkloom.operators.ranking import ordered_index, top_n
 
 SCORE_DIGITS = 6
 VECTOR_BLOCK = 1024
@@ -63,11 +63,20 @@ def vector_blocks(vectors: DataFrame, size: int = VECTOR_BLOCK) -> DataFrame:
     )
 
 
-def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> DataFrame:
-    """At most ``size`` queries of one document per row."""
-    block = F.floor(F.col("query_id") / F.lit(size)).cast("long")
+def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK, few: bool = False) -> DataFrame:
+    """At most ``size`` queries of one document per row, and full rows where there are many.
+
+    Query ids may be sparse, so they are numbered per document first; ``few`` says that all
+    queries together are known to be few, which makes a plain window enough.
+    """
+    if few:
+        order = Window.partitionBy("doc_id").orderBy("query_id")
+        numbered = queries.withColumn("_at", F.row_number().over(order) - 1)
+    else:
+        numbered = ordered_index(queries, "doc_id", "query_id", "_at")
+    block = F.floor(F.col("_at") / F.lit(size)).cast("long")
     return (
-        queries.groupBy("doc_id", block.alias("query_block"))
+        numbered.groupBy("doc_id", block.alias("query_block"))
         .agg(F.collect_list(F.struct("query_id", "embedding")).alias("q"))
         .select(
             "doc_id",
@@ -132,10 +141,14 @@ def blocks_by_document(queries: DataFrame, vectors: DataFrame, broadcast_rows: i
     No (query, chunk) pair is ever a row. Up to ``broadcast_rows`` queries (counted) are
     broadcast; beyond that both sides shuffle on (document, salt), which spreads the blocks
     of a hot document over many tasks. Arrow batches are bounded by Spark's byte limit.
+    ``vectors`` may be plain rows or blocks stored at indexing time, which then do not move
+    when queries are broadcast.
     """
     wanted = queries.select("query_id", "doc_id", "embedding")
-    q, v = query_blocks(wanted), vector_blocks(vectors)
-    if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    few = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
+    q = query_blocks(wanted, few=few)
+    v = vectors if "matrix" in vectors.columns else vector_blocks(vectors)
+    if few:
         met = v.join(F.broadcast(q), "doc_id")
     else:
         q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

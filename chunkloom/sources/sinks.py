@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from chunkloom.operators.chunks import index_row_id, vector_index_meta
+from chunkloom.operators.retrieval import vector_blocks
 
 DOC_BUCKETS = 64
 
@@ -40,6 +41,12 @@ def write_vector_index(vectors: DataFrame, path: str, buckets: int = DOC_BUCKETS
     return vector_index_meta(vectors)
 
 
+def write_vector_blocks(vectors: DataFrame, path: str, buckets: int = DOC_BUCKETS) -> None:
+    """Store vectors as search blocks by document bucket, so that a search need not shuffle them."""
+    blocks = with_bucket(vector_blocks(vectors), buckets)
+    blocks.hint("rebalance", "doc_bucket").write.partitionBy("doc_bucket").mode("overwrite").parquet(path)
+
+
 def metric_rows(records: DataFrame, extra: list[str]) -> DataFrame:
     """Flags as 0/1 and the extra fields as one JSON text."""
     flags = {c: F.coalesce(F.col(c), F.lit(False)).cast("int") for c in ("no_context", "timed_out")}

@@ -40,7 +40,21 @@ def test_topk_with_small_blocks(spark):
     blocks = S.vector_blocks(v, 16)
     assert blocks.agg(F.max(F.size("chunk_ids"))).first()[0] <= 16
     assert blocks.agg(F.sum(F.size("chunk_ids"))).first()[0] == 90
-    assert S.query_blocks(q, 7).agg(F.max(F.size("query_ids"))).first()[0] <= 7
+    for few in (True, False):
+        sizes = [r[0] for r in S.query_blocks(q, 7, few).select(F.size("query_ids")).collect()]
+        assert max(sizes) == 7 and sum(sizes) == 90
+
+
+def test_search_over_stored_blocks(spark):
+    from chunkloom.session import scratch_path
+    from chunkloom.sources.sinks import write_vector_blocks
+
+    _, v = vectors(spark, 120)
+    q = v.where(F.col("chunk_id") % 7 == 0).select((F.col("chunk_id") * 1000).alias("query_id"), "doc_id", "embedding")
+    path = scratch_path(spark, "blocks")
+    write_vector_blocks(v, path)
+    stored = S.vector_topk(q, spark.read.parquet(path), 4)
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, S.vector_topk(q, v, 4).collect()))
 
 
 def scored(spark, rows):
