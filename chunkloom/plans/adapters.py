@@ -71,10 +71,10 @@ def vector_contents(spark, sf) -> DataFrame:
 
 
 def queries(spark, sf) -> DataFrame:
-    """Every vector asks its own document; the question is a conversation-sized text."""
+    """Every vector asks its own document; the benchmark texts are dealt out as questions."""
     ids = vectors(spark, sf).select(F.col("chunk_id").alias("query_id"), "doc_id", "embedding", "label")
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("_item"), F.col("text").alias("question"))
-    return ids.withColumn("_item", F.col("query_id") % 40).join(b, "_item").drop("_item")
+    return ids.withColumn("_item", F.col("query_id") % b.count()).join(b, "_item").drop("_item")
 
 
 def relevance(spark, sf) -> DataFrame:
@@ -119,7 +119,8 @@ def messages(spark, sf) -> DataFrame:
 def citation_hits(spark, sf) -> DataFrame:
     """Three hits per assistant message."""
     m = messages(spark, sf).where(F.col("role") == "assistant").select("message_id", F.explode(F.array(*[F.lit(j) for j in range(3)])).alias("j"))
-    picked = m.withColumn("chunk_id", (F.col("message_id") * 7 + F.col("j") * 13) % 500)
+    vector_count = table(spark, sf, "embeddings").count()
+    picked = m.withColumn("chunk_id", (F.col("message_id") * 7 + F.col("j") * 13) % vector_count)
     v = vectors(spark, sf).select("chunk_id", "doc_id", "chunk_index").join(vector_contents(spark, sf), "chunk_id")
     score = F.round(0.9 - 0.1 * F.col("j"), 6)
     rerank = F.when(F.col("message_id") % 3 != 0, F.round(0.2 + 0.3 * F.col("j"), 6))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chunkloom import constants as K
 from chunkloom.functions import records as R, text as T
-from chunkloom.operators import conversations as C, documents as D, metrics as M, prompts as P
+from chunkloom.operators import conversations as C, metrics as M, prompts as P
 from chunkloom.plans import adapters as A, oracle as O
 from chunkloom.plans.catalog import query
 from chunkloom.session import scratch_path

@@ -121,7 +121,7 @@ cte(
 cte(
     "queries",
     """SELECT chunk_id AS query_id, doc_id, embedding, label, text AS question
-  FROM vectors JOIN benchmark ON item_id = chunk_id % 40""",
+  FROM vectors JOIN benchmark ON item_id = chunk_id % (SELECT count(*) FROM benchmark)""",
     "vectors",
 )
 cte(
@@ -203,7 +203,7 @@ cte(
     CASE WHEN message_id % 5 <> 0 THEN round(0.9::DOUBLE - 0.1::DOUBLE * j, 6) END AS score,
     CASE WHEN message_id % 3 <> 0 THEN round(0.2::DOUBLE + 0.3::DOUBLE * j, 6) END AS rerank_score, content
   FROM (SELECT message_id, unnest([0, 1, 2]) AS j FROM messages WHERE role = 'assistant') m
-  JOIN vectors v ON v.chunk_id = (message_id * 7 + j * 13) % 500 JOIN contents USING (chunk_id)""",
+  JOIN vectors v ON v.chunk_id = (message_id * 7 + j * 13) % (SELECT count(*) FROM embeddings) JOIN contents USING (chunk_id)""",
     "messages",
     "vectors",
     "contents",

@@ -8,7 +8,7 @@ from chunkloom.plans import adapters as A, oracle as O
 from chunkloom.plans.catalog import query
 from chunkloom.plans.metric_queries import DAY, REQUESTS_SQL, scope_sql
 from chunkloom.session import scratch_path
-from chunkloom.sources import files, sinks, sse
+from chunkloom.sources import sinks, sse
 from chunkloom.streaming import deltas as W, ingest as I, metrics as SM, rate_limit as SR, runner as R, tasks as ST
 
 CHAT, CHAT_OK = O.CHAT, O.CHAT_OK
@@ -63,15 +63,15 @@ def stream_ttft(spark, sf):
     return W.stream_timing(A.stream_events(A.answers(spark, sf)))
 
 
-@query(O.using("stream_events", body="""SELECT stream_id, index, 'data: ' || CASE type
+@query(O.using("stream_events", body="""SELECT 'data: ' || CASE type
     WHEN 'delta' THEN '{"type": "delta", "delta": ' || to_json(delta)::VARCHAR || ', "index": ' || index || '}'
     WHEN 'done' THEN '{"type": "done", "message": "stream finished"}' ELSE '{"type": "error", "message": ' || to_json(message)::VARCHAR || '}' END
-    || chr(10) || chr(10) AS event_text FROM stream_events"""))
+    AS event_text FROM stream_events"""))
 def write_sse_events(spark, sf):
-    """Written as text and read back as events."""
-    events = sse.event_text(A.stream_events(A.answers(spark, sf)))
-    sinks.write_sse_events(events, scratch_path(spark, "sse"))
-    return events.select("stream_id", "index", "event_text")
+    """Written as text and read back, one row per blank-line frame."""
+    path = scratch_path(spark, "sse")
+    sinks.write_sse_events(sse.event_text(A.stream_events(A.answers(spark, sf))), path)
+    return spark.read.text(path, lineSep="\n\n").select(F.col("value").alias("event_text"))
 
 
 @query(O.using("stream_events", body="""SELECT stream_id, (row_number() OVER (PARTITION BY stream_id ORDER BY index) - 1)::INTEGER AS position, type, delta,
