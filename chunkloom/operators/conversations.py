@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from chunkloom import constants as K
 from chunkloom.functions import records as R, text as T
 from chunkloom.operators.ranking import top_n
+from chunkloom.session import written
 
 SALTS = 32
 
@@ -81,17 +82,19 @@ def messages_with_citations(messages: DataFrame, citations: DataFrame, page: int
         "chunk_index",
         F.coalesce("snippet", F.lit("")).alias("snippet"),
     )
-    # Only messages over the page size have an entry; their citations are dealt out over salts.
+    arrays = F.array_sort(F.collect_list(item)).alias("_items")
     span = citations.groupBy("message_id").agg(F.min("id").alias("_first"), F.count("*").alias("_n"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    large = span.where(F.col("_n") > page).select("message_id", "_first", salts.alias("_salt"))
-    salted = citations.withColumn("_salt", F.pmod("id", F.lit(SALTS)).cast("int"))
-    page_no = F.coalesce(F.floor((F.col("id") - F.col("_first")) / F.lit(page)), F.lit(0)).cast("long")
-    grouped = (
-        salted.join(large, ["message_id", "_salt"], "left")
-        .groupBy("message_id", page_no.alias("page_no"))
-        .agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    )
+    large = span.where(F.col("_n") > page).select("message_id", "_first")
+    paged = not large.isEmpty()
+    if paged:
+        # The citations of large messages are dealt out over salts before they are cut into pages.
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        salted = citations.withColumn("_salt", F.pmod("id", F.lit(SALTS)).cast("int"))
+        joined = salted.join(large.withColumn("_salt", salts), ["message_id", "_salt"], "left")
+        number = F.coalesce(F.floor((F.col("id") - F.col("_first")) / F.lit(page)), F.lit(0)).cast("long")
+        grouped = written(joined.groupBy("message_id", number.alias("page_no")).agg(arrays), "citation-pages")
+    else:
+        grouped = citations.groupBy("message_id").agg(arrays).withColumn("page_no", F.lit(0).cast("long"))
     public = F.transform(
         "_items",
         lambda c: F.struct(
@@ -105,10 +108,11 @@ def messages_with_citations(messages: DataFrame, citations: DataFrame, page: int
     )
     kind = "array<struct<citation_id:bigint,doc_id:bigint,chunk_id:bigint,chunk_index:int,score:double,snippet:string>>"
     # Page 0 keeps messages without citations; an inner join of the rest splits under skew.
-    first = messages.join(grouped.where(F.col("page_no") == 0), "message_id", "left")
-    rest = messages.join(grouped.where(F.col("page_no") > 0), "message_id")
+    out = messages.join(grouped.where(F.col("page_no") == 0), "message_id", "left")
+    if paged:
+        out = out.unionByName(messages.join(grouped.where(F.col("page_no") > 0), "message_id"))
     return (
-        first.unionByName(rest)
+        out
         .withColumn("citations", F.coalesce(public.cast(kind), F.array().cast(kind)))
         .withColumn("page_no", F.coalesce("page_no", F.lit(0).cast("long")))
         .drop("_items")

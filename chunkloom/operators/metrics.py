@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from chunkloom import constants as K
 from chunkloom.functions import records as R, text as T
 from chunkloom.operators.evaluation import retrieval_eval_macro
-from chunkloom.operators.ranking import exact_percentiles, one_row, running_totals
+from chunkloom.operators.ranking import exact_percentiles, one_row, running_totals, value_counts
+from chunkloom.session import written
 
 CHAT_TYPES = ("chat_async", "chat_stream")
 PERCENTILES = {"p50": 50, "p95": 95, "p99": 99}
@@ -65,12 +66,18 @@ def long_values(metrics: DataFrame, columns: dict[str, Column]) -> DataFrame:
     )
 
 
+def weighted_mean() -> Column:
+    """Mean of counted values."""
+    return F.sum(F.col("value") * F.col("_c")) / F.sum("_c")
+
+
 def latency_summary(values: DataFrame, digits: int = 1) -> DataFrame:
     """last, avg, p50, p95, p99 per metric of (metric, id, value)."""
-    base = values.groupBy("metric").agg(
-        F.count("*").alias("samples"), F.max_by("value", "id").alias("last"), F.avg("value").alias("avg")
+    counts = value_counts(values, ["metric"], F.max("id").alias("_id"))
+    base = counts.groupBy("metric").agg(
+        F.sum("_c").alias("samples"), F.max_by("value", "_id").alias("last"), weighted_mean().alias("avg")
     )
-    joined = base.join(exact_percentiles(values, ["metric"], PERCENTILES), "metric")
+    joined = base.join(exact_percentiles(counts, ["metric"], PERCENTILES), "metric")
     return joined.select(
         "metric", "samples", *[R.rounded(F.col(c), digits).alias(c) for c in ("last", "avg", "p50", "p95", "p99")]
     )
@@ -204,10 +211,12 @@ def concurrency_by_instant(intervals: DataFrame) -> DataFrame:
     edge = lambda ts, sign: F.struct(F.col(ts).alias("ts"), F.lit(sign).alias("d"), (stream * sign).alias("s"))
     edges = intervals.select("session_id", F.explode(F.array(edge("started_at", 1), edge("ended_at", -1))).alias("e"))
     per_session = edges.groupBy("session_id", "e.ts").agg(F.sum("e.d").alias("d"), F.sum("e.s").alias("s"))
+    # A running sum reads its input twice, so both inputs are stored.
+    per_session = written(per_session, "session-edges")
     depth = running_totals(per_session, ["session_id"], hour, [F.col("ts")], {"depth": F.col("d")})
     before = F.col("depth") - F.col("d")
     change = F.when((before <= 0) & (F.col("depth") > 0), 1).when((before > 0) & (F.col("depth") <= 0), -1).otherwise(0)
-    instants = depth.groupBy("ts").agg(F.sum(change).alias("d"), F.sum("s").alias("s"))
+    instants = written(depth.groupBy("ts").agg(F.sum(change).alias("d"), F.sum("s").alias("s")), "instants")
     return running_totals(
         instants, [], hour, [F.col("ts")], {"sessions": F.col("d"), "streams": F.col("s")}
     ).select("ts", "sessions", "streams")
@@ -245,9 +254,9 @@ def load_test_report(results: DataFrame, phase_seconds: float) -> DataFrame:
         "e2e_latency_ms": F.when(ok, either("server_e2e_ms", "client_e2e_ms")),
         "retrieval_ms": F.when(ok, F.col("retrieval_ms").cast("double")),
     }
-    values = long_values(results, series)
-    summary = exact_percentiles(values, ["metric"], PERCENTILES).join(
-        values.groupBy("metric").agg(F.avg("value").alias("avg")), "metric"
+    counts = value_counts(long_values(results, series), ["metric"])
+    summary = exact_percentiles(counts, ["metric"], PERCENTILES).join(
+        counts.groupBy("metric").agg(weighted_mean().alias("avg")), "metric"
     )
     stats = [*PERCENTILES, "avg"]
     wide = summary.agg(
@@ -259,7 +268,7 @@ def load_test_report(results: DataFrame, phase_seconds: float) -> DataFrame:
     )
     good = lambda c: F.when(ok, F.col(c))
     total = F.count("*")
-    counts = results.agg(
+    rates = results.agg(
         R.rounded(F.avg(good("prompt_tokens")), 2).alias("prompt_tokens_avg"),
         R.rounded(F.avg(good("completion_tokens")), 2).alias("completion_tokens_avg"),
         R.rounded(F.avg(good("citation_count")), 2).alias("citation_count_avg"),
@@ -272,4 +281,4 @@ def load_test_report(results: DataFrame, phase_seconds: float) -> DataFrame:
         F.count_if(F.col("mode") == "stream").alias("stream_requests"),
         F.count_if(ok).alias("successful_requests"),
     )
-    return one_row(wide, counts)
+    return one_row(wide, rates)

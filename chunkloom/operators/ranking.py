@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from chunkloom.session import written
+
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, out: str = "rank") -> DataFrame:
     """The first ``n`` rows per key. Spark limits each map task to ``n`` rows per key before the shuffle."""
@@ -57,16 +59,22 @@ def ordered_index(df: DataFrame, key: str, position: str, out: str, block_size:
     return counted.withColumn(out, (F.col("_n") - 1).cast("int")).drop("_n")
 
 
+def value_counts(values: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """Equal non-null values per key counted (``_c``), stored once for the several readers below."""
+    counted = values.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("_c"), *more)
+    return written(counted, "value-counts")
+
+
 def exact_percentiles(
-    values: DataFrame, keys: Sequence[str], points: dict[str, float], bucket_width: float = 64.0
+    hist: DataFrame, keys: Sequence[str], points: dict[str, float], bucket_width: float = 64.0
 ) -> DataFrame:
-    """Linear-interpolation percentiles of column ``value`` per key.
+    """Linear-interpolation percentiles of counted values (see :func:`value_counts`) per key.
 
-    Equal values are counted first (map-side), then only buckets of the value range are
-    ranked per key, and the values inside one bucket among themselves.
+    Only buckets of the value range are ranked per key, and the values inside one bucket
+    among themselves.
     """
     keys = list(keys)
-    hist = values.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("_c"))
+    hist = hist.select(*keys, "value", "_c")
     hist = hist.withColumn("_b", F.floor(F.col("value") / F.lit(bucket_width)))
     coarse = hist.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
     per_key = Window.partitionBy(*keys)

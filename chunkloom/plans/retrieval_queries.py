@@ -11,6 +11,7 @@ from chunkloom.operators import context as X, embedding as M, evaluation as V, p
 from chunkloom.operators.chunks import index_row_id
 from chunkloom.plans import adapters as A, oracle as O
 from chunkloom.plans.catalog import query
+from chunkloom.session import written
 
 
 def _top(spark, sf, k):
@@ -260,6 +261,8 @@ def _asked(spark, sf):
     """All questions; every seventh finds nothing."""
     q = A.queries(spark, sf).select("query_id", "doc_id", "question")
     found = X.assemble_context(_raw_hits(spark, sf)).where(F.col("query_id") % 7 != 0)
+    # Read by the mode and by the prompt: searched once, stored.
+    found = written(found, "context")
     return q, found, X.context_mode(q, found, min_score=0.999999)
 
 

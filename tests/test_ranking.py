@@ -33,7 +33,7 @@ def test_percentiles(spark):
     series = {"a": [1, 2, 3, 3.3, 10, 57], "b": [rng.randint(-500, 5000) for _ in range(3001)], "c": [4.0], "d": [7.0] * 50}
     rows = [(k, float(v)) for k, values in series.items() for v in values] + [("a", None)]
     df = spark.createDataFrame(rows, "k string, value double")
-    got = {r.k: r for r in K.exact_percentiles(df, ["k"], {"p50": 50, "p95": 95, "p99": 99}).collect()}
+    got = {r.k: r for r in K.exact_percentiles(K.value_counts(df, ["k"]), ["k"], {"p50": 50, "p95": 95, "p99": 99}).collect()}
     for key, values in series.items():
         for name, p in (("p50", 50), ("p95", 95), ("p99", 99)):
             assert abs(got[key][name] - np.percentile(values, p)) < 1e-9
