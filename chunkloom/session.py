@@ -49,9 +49,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df, name: str, partition_by: tuple[str, ...] = ()):
+def written(df, name: str, partition_by: tuple[str, ...] = (), **options: str):
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.options(**options).partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
