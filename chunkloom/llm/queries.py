@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chunkloom.llm import packing, token_files
+from chunkloom.llm import byte_bpe, packing, token_files, url_filter
 from chunkloom.llm.common import table
 from chunkloom.session import written
 
@@ -33,3 +33,43 @@ def op4_token_files(spark, sf_dir):
     path = token_files.token_file_path(spark)
     token_files.write_token_files(tokens, path)
     return packing.checksums(token_files.read_token_files(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op3_byte_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    tokens = byte_bpe.encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    both = byte_bpe.decoded(tokens, path)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+URL_RULES = [
+    url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/"),
+]
+
+
+@query
+def op8_url_filter(spark, sf_dir):
+    return url_filter.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLE["op8_url_filter"] = f"""
+WITH rests AS (
+    SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWERED}') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM rests
+), rules(verdict, host, path) AS (VALUES {', '.join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)}),
+judged AS (
+    SELECT p.page_id, p.host, p.path,
+        (SELECT arg_max(r.host || r.path, length(r.host || r.path)) FROM rules r
+            WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)) AS rule,
+        (SELECT arg_max(r.verdict, length(r.host || r.path)) FROM rules r
+            WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)) AS ruled,
+        list_has_any(string_split_regex(p.host, '[.-]'), {list(url_filter.BLOCKED_WORDS)!r}) AS listed_word
+    FROM parts p
+)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN listed_word THEN 'block' ELSE 'allow' END) AS verdict, listed_word FROM judged
+"""
