@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chunkloom.llm import byte_bpe, packing, token_files, url_filter
+from chunkloom.llm import byte_bpe, license_scan, packing, token_files, url_filter
 from chunkloom.llm.common import table
 from chunkloom.session import written
 
@@ -73,3 +73,8 @@ judged AS (
 )
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN listed_word THEN 'block' ELSE 'allow' END) AS verdict, listed_word FROM judged
 """
+
+
+@query
+def op6_license_scan(spark, sf_dir):
+    return license_scan.scanned(table(spark, sf_dir, "documents")).drop("detections")
