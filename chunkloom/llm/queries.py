@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chunkloom.llm import byte_bpe, license_scan, packing, token_files, url_filter
+from chunkloom.llm import byte_bpe, classifier, license_scan, packing, quality_rules, token_files, url_filter
 from chunkloom.llm.common import table
 from chunkloom.session import written
 
@@ -78,3 +78,16 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN listed_word THEN 'bl
 @query
 def op6_license_scan(spark, sf_dir):
     return license_scan.scanned(table(spark, sf_dir, "documents")).drop("detections")
+
+
+@query
+def op7_quality_rules(spark, sf_dir):
+    counts = written(quality_rules.measured(table(spark, sf_dir, "documents")), "quality-counts")
+    cutoffs = quality_rules.choose_cutoffs(counts, table(spark, sf_dir, "labels"))
+    return quality_rules.judged(counts, cutoffs).select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept")
+
+
+@query
+def op2_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return classifier.scored(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
