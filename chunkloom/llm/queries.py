@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chunkloom.llm import byte_bpe, classifier, license_scan, packing, quality_rules, simhash, token_files, url_filter
+from chunkloom.llm import byte_bpe, classifier, jaccard, license_scan, packing, quality_rules, simhash, token_files, url_filter
 from chunkloom.llm.common import table
 from chunkloom.session import written
 
@@ -97,3 +97,8 @@ def op2_classifier(spark, sf_dir):
 def op9_simhash(spark, sf_dir):
     rows = written(simhash.compared(table(spark, sf_dir, "documents")), "fingerprints")
     return simhash.with_near_counts(rows).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near")
+
+
+@query
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard.joined(table(spark, sf_dir, "documents"))
