@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chunkloom.llm import byte_bpe, classifier, jaccard, license_scan, packing, quality_rules, simhash, token_files, url_filter
+from chunkloom.llm import byte_bpe, chat, classifier, jaccard, license_scan, packing, quality_rules, simhash, token_files, url_filter
 from chunkloom.llm.common import table
 from chunkloom.session import written
 
@@ -102,3 +102,12 @@ def op9_simhash(spark, sf_dir):
 @query
 def op10_jaccard_join(spark, sf_dir):
     return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_chat_tree(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn int, role string, text string")
+    nodes, members = chat.formatted(turns.union(added.select("conv_id", F.col("turn").cast(turns.schema["turn"].dataType), "role", "text")))
+    return chat.read_back(written(nodes, "chat-tree"), members)
