@@ -76,7 +76,7 @@ def held_out(id_column: str = "doc_id"):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text", label: str = "quality") -> tuple[list[tuple[int, int, np.ndarray]], dict[int, int]]:
-    """(draw, label, slots) of the sampled documents, and how many there are of each label. Held-out ids, null labels and labels without a document are left out.
+    """(draw, label, slots) of the sampled documents, and how many there are of each label. Held-out ids and null labels are left out; labels without a document only count for the classes' shares.
 
     Ids with both labels are left out as well. The drawn ids are few by construction and are broadcast; the texts stay where they lie.
     """
