@@ -68,29 +68,32 @@ def client_ip(forwarded_for: Column, real_ip: Column, peer: Column, trusted: Col
     return F.when(trusted, F.coalesce(first, second, peer)).otherwise(peer)
 
 
-def flatten_content(raw: Column) -> Column:
-    """Message content given as JSON text: a string, or a list of typed parts and plain strings."""
-    parts = F.from_json(raw, "array<string>")
-    one = lambda item: (
-        F.when(
-            F.get_json_object(item, "$.type").isin(*TEXT_PART_TYPES),
-            F.coalesce(F.get_json_object(item, "$.text"), F.lit("")),
-        )
-        .when(F.substring(item, 1, 1) == "{", F.lit(""))
-        .otherwise(F.coalesce(item, F.lit("")))
-    )
-    joined = F.array_join(F.transform(parts, one), "")
-    return F.when(F.substring(raw, 1, 1) == "[", joined).otherwise(raw)
+def flatten_content(content: Column) -> Column:
+    """Text of a message content (a variant): a string as it is, or typed parts and plain values of a list put together."""
+    kind = F.schema_of_variant
+
+    def one(item):
+        typed = F.try_variant_get(item, "$.type", "string").isin(*TEXT_PART_TYPES)
+        text = F.when(typed, F.try_variant_get(item, "$.text", "string"))
+        plain = F.when(~kind(item).startswith("OBJECT"), F.try_variant_get(item, "$", "string"))
+        return F.coalesce(F.when(kind(item).startswith("OBJECT"), text).otherwise(plain), F.lit(""))
+
+    parts = F.array_join(F.transform(F.try_variant_get(content, "$", "array<variant>"), one), "")
+    return F.when(kind(content).startswith("ARRAY"), parts).otherwise(F.try_variant_get(content, "$", "string"))
+
+
+def answer_content(response: Column) -> Column:
+    """Content of the first choice as a variant: its message's, else its text; null when both are missing or null."""
+    body = F.try_parse_json(response)
+    found = [F.try_variant_get(body, path, "variant") for path in ("$.choices[0].message.content", "$.choices[0].text")]
+    return F.coalesce(*[F.when(~F.is_variant_null(v), v) for v in found])
 
 
 def extract_answer(response: Column) -> Column:
     """First choice's text without think tags, with the reason when there is none."""
-    content = F.coalesce(
-        F.get_json_object(response, "$.choices[0].message.content"),
-        F.get_json_object(response, "$.choices[0].text"),
-    )
+    content = answer_content(response)
     answer = strip_think_tags(flatten_content(content))
-    has_choice = F.get_json_object(response, "$.choices[0]").isNotNull()
+    has_choice = F.try_variant_get(F.try_parse_json(response), "$.choices[0]", "variant").isNotNull()
     error = (
         F.when(~has_choice, F.lit("llm response missing choices"))
         .when(content.isNull(), F.lit("llm response missing answer content"))

@@ -35,6 +35,11 @@ def coalesce_hit_fields(raw: DataFrame, max_chars: int = K.CONTEXT_CHUNK_CHARS)
     )
 
 
+def cut_contents(contents: DataFrame, max_chars: int = K.CONTEXT_CHUNK_CHARS) -> DataFrame:
+    """Chunk texts trimmed and cut once per chunk, so that a join of hits carries no whole texts. Cutting again changes nothing."""
+    return contents.withColumn("content", T.truncate_hit(T.strip(F.coalesce("content", F.lit(""))), max_chars))
+
+
 def filter_empty_hits(hits: DataFrame) -> DataFrame:
     return hits.where(R.stripped_or_empty(F.col("content")) != "")
 

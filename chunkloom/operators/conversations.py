@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from chunkloom import constants as K
 from chunkloom.functions import records as R, text as T
-from chunkloom.operators.ranking import top_n
-from chunkloom.session import written
-
-SALTS = 32
+from chunkloom.operators.ranking import running_totals, top_n
 
 
 def validate_messages(messages: DataFrame) -> DataFrame:
@@ -66,13 +63,11 @@ def order_citations(citations: DataFrame) -> DataFrame:
     return citations.orderBy(F.asc("message_id"), F.desc("score"), F.asc("id"))
 
 
-def messages_with_citations(messages: DataFrame, citations: DataFrame, page: int = 1024) -> DataFrame:
-    """Messages with their citations as an ordered array, empty without any.
+def messages_with_citations(messages: DataFrame, citations: DataFrame) -> DataFrame:
+    """Messages with all their citations as one array ordered by (score desc, id), empty without any.
 
-    A request cites at most its top-k (100), so nearly every message is one row with
-    ``page_no`` 0. Citations beyond ``page`` per message come as further rows of the same
-    message with the next ``page_no``: pages follow the citation id, order inside a page is
-    (score desc, id), and nothing is dropped.
+    A message cites at most the top-k of its request (100), so the array is a value. Where callers attach more than that
+    to one message, :func:`message_citations_flat` gives the same order as rows.
     """
     item = F.struct(
         (-F.coalesce("score", F.lit(0.0))).alias("minus_score"),
@@ -82,19 +77,7 @@ def messages_with_citations(messages: DataFrame, citations: DataFrame, page: int
         "chunk_index",
         F.coalesce("snippet", F.lit("")).alias("snippet"),
     )
-    arrays = F.array_sort(F.collect_list(item)).alias("_items")
-    span = citations.groupBy("message_id").agg(F.min("id").alias("_first"), F.count("*").alias("_n"))
-    large = span.where(F.col("_n") > page).select("message_id", "_first")
-    paged = not large.isEmpty()
-    if paged:
-        # The citations of large messages are dealt out over salts before they are cut into pages.
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        salted = citations.withColumn("_salt", F.pmod("id", F.lit(SALTS)).cast("int"))
-        joined = salted.join(large.withColumn("_salt", salts), ["message_id", "_salt"], "left")
-        number = F.coalesce(F.floor((F.col("id") - F.col("_first")) / F.lit(page)), F.lit(0)).cast("long")
-        grouped = written(joined.groupBy("message_id", number.alias("page_no")).agg(arrays), "citation-pages")
-    else:
-        grouped = citations.groupBy("message_id").agg(arrays).withColumn("page_no", F.lit(0).cast("long"))
+    grouped = citations.groupBy("message_id").agg(F.array_sort(F.collect_list(item)).alias("_items"))
     public = F.transform(
         "_items",
         lambda c: F.struct(
@@ -107,16 +90,20 @@ def messages_with_citations(messages: DataFrame, citations: DataFrame, page: int
         ),
     )
     kind = "array<struct<citation_id:bigint,doc_id:bigint,chunk_id:bigint,chunk_index:int,score:double,snippet:string>>"
-    # Page 0 keeps messages without citations; an inner join of the rest splits under skew.
-    out = messages.join(grouped.where(F.col("page_no") == 0), "message_id", "left")
-    if paged:
-        out = out.unionByName(messages.join(grouped.where(F.col("page_no") > 0), "message_id"))
-    return (
-        out
-        .withColumn("citations", F.coalesce(public.cast(kind), F.array().cast(kind)))
-        .withColumn("page_no", F.coalesce("page_no", F.lit(0).cast("long")))
-        .drop("_items")
-    )
+    out = messages.join(grouped, "message_id", "left")
+    return out.withColumn("citations", F.coalesce(public.cast(kind), F.array().cast(kind))).drop("_items")
+
+
+def message_citations_flat(messages: DataFrame, citations: DataFrame) -> DataFrame:
+    """A row per (message, citation) with its ``position`` in (score desc, id), whatever their number per message.
+
+    Positions are counted in steps of the score first and inside a step then, so that a message with a third of all
+    citations is numbered by many tasks. Messages without citations give no row.
+    """
+    score = F.coalesce("score", F.lit(0.0))
+    step = F.floor(-score * F.lit(1024)).cast("long")
+    ranked = running_totals(citations, ["message_id"], step, [F.desc(score), F.asc("id")], {"position": F.lit(1).cast("long")})
+    return messages.join(ranked, "message_id")
 
 
 def session_summary(messages: DataFrame) -> DataFrame:

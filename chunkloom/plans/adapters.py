@@ -312,22 +312,30 @@ def rate_requests(spark, sf) -> DataFrame:
 
 
 def provider_responses(spark, sf) -> DataFrame:
-    """One response per document text, in six shapes."""
+    """One response per document text, in ten shapes; some texts look like lists or objects and are none."""
     d = texts(spark, sf)
     i = F.col("doc_id")
     body = F.when(i % 3 == 0, F.concat(F.lit("<think>hm</think> "), F.col("text"))).otherwise(F.col("text"))
-    boxed = F.to_json(F.array(body))
-    quoted = F.substring(boxed, F.lit(2), F.char_length(boxed) - 2)
+
+    def quoted(text):
+        boxed = F.to_json(F.array(text))
+        return F.substring(boxed, F.lit(2), F.char_length(boxed) - 2)
+
     usage = F.concat(
         F.lit(', "usage": {"prompt_tokens": '), (i % 400).cast("string"), F.lit(', "output_tokens": "'), (i % 90).cast("string"), F.lit('"}')
     )
-    kind = i % 6
+    kind = i % 10
+    said = lambda text: F.concat(F.lit('{"message": {"content": '), quoted(text), F.lit("}}"))
     choice = (
-        F.when(kind == 0, F.concat(F.lit('{"message": {"content": '), quoted, F.lit("}}")))
-        .when(kind == 1, F.concat(F.lit('{"message": {"content": [{"type": "text", "text": '), quoted, F.lit('}, {"type": "image", "text": "no"}, "tail"]}}')))
-        .when(kind == 2, F.concat(F.lit('{"text": '), quoted, F.lit("}")))
+        F.when(kind == 0, said(body))
+        .when(kind == 1, F.concat(F.lit('{"message": {"content": [{"type": "text", "text": '), quoted(body), F.lit('}, {"type": "image", "text": "no"}, null, "{tail"]}}')))
+        .when(kind == 2, F.concat(F.lit('{"message": {"content": null}, "text": '), quoted(body), F.lit("}")))
         .when(kind == 3, F.lit('{"message": {"content": "<think>only</think>"}}'))
         .when(kind == 4, F.lit('{"finish_reason": "stop"}'))
+        .when(kind == 6, said(F.concat(F.lit("[1] "), body)))
+        .when(kind == 7, said(F.lit("[Chunk 1] yes")))
+        .when(kind == 8, said(F.concat(F.lit("{"), body)))
+        .when(kind == 9, said(F.lit('["a","b"]')))
         .otherwise(F.lit(""))
     )
     return d.select(

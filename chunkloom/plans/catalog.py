@@ -32,4 +32,5 @@ def load() -> None:
         retrieval_queries,
         stream_queries,
         task_queries,
+        training_queries,
     )

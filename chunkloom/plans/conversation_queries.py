@@ -47,7 +47,7 @@ def message_session_check(spark, sf):
     return C.message_session_check(asked, m)
 
 
-@query(O.using("messages", "citations", body="""SELECT m.message_id, m.role, 0::BIGINT AS page_no, count(c.id) AS citations_count,
+@query(O.using("messages", "citations", body="""SELECT m.message_id, m.role, count(c.id) AS citations_count,
     coalesce(string_agg(c.id || ':' || c.chunk_index || ':' || c.score, ',' ORDER BY c.score DESC, c.id), '') AS citations
   FROM messages m LEFT JOIN citations c USING (message_id) GROUP BY ALL"""))
 def messages_with_citations(spark, sf):
@@ -56,12 +56,19 @@ def messages_with_citations(spark, sf):
     return nested.select(
         "message_id",
         "role",
-        "page_no",
         F.size("citations").cast("long").alias("citations_count"),
         F.array_join(F.transform("citations", line), ",").alias("citations"),
     )
 
 
+@query(O.using("messages", "citations", body="""SELECT m.message_id, m.role, c.id AS citation_id, c.chunk_index, c.score,
+    row_number() OVER (PARTITION BY m.message_id ORDER BY c.score DESC, c.id) AS position
+  FROM messages m JOIN citations c USING (message_id)"""))
+def message_citations_flat(spark, sf):
+    flat = C.message_citations_flat(A.messages(spark, sf).select("message_id", "role"), A.citations(spark, sf))
+    return flat.select("message_id", "role", F.col("id").alias("citation_id"), "chunk_index", "score", "position")
+
+
 _CITED = """SELECT message_id, rank, doc_id, chunk_id, chunk_index, coalesce(rerank_score, score, 0.0) AS score,
   substring(content, 1, 300) AS snippet, substring(content, 1, 200) AS preview FROM citation_hits"""
 
@@ -165,7 +172,8 @@ def prompt_preview(spark, sf):
 
 # --- provider answers --------------------------------------------------------
 
-_CONTENT = """CASE doc_id % 6 WHEN 0 THEN body WHEN 1 THEN body || 'tail' WHEN 2 THEN body WHEN 3 THEN '<think>only</think>' END"""
+_CONTENT = """CASE doc_id % 10 WHEN 0 THEN body WHEN 1 THEN body || '{tail' WHEN 2 THEN body WHEN 3 THEN '<think>only</think>'
+    WHEN 6 THEN '[1] ' || body WHEN 7 THEN '[Chunk 1] yes' WHEN 8 THEN '{' || body WHEN 9 THEN '["a","b"]' END"""
 _BODIES = (
     "bodies",
     """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '<think>hm</think> ' || text ELSE text END AS body FROM documents""",
@@ -174,12 +182,10 @@ _BODIES = (
 
 @query(O.using(extra=(_BODIES,), body=f"SELECT doc_id, {_CONTENT} AS content FROM bodies"))
 def flatten_content_parts(spark, sf):
-    r = F.col("response")
-    raw = F.coalesce(F.get_json_object(r, "$.choices[0].message.content"), F.get_json_object(r, "$.choices[0].text"))
-    return A.provider_responses(spark, sf).select("doc_id", R.flatten_content(raw).alias("content"))
+    return A.provider_responses(spark, sf).select("doc_id", R.flatten_content(R.answer_content(F.col("response"))).alias("content"))
 
 
-@query(O.using(extra=(_BODIES,), body=f"""SELECT doc_id, nullif(answer, '') AS answer, CASE WHEN doc_id % 6 = 5 THEN 'llm response missing choices'
+@query(O.using(extra=(_BODIES,), body=f"""SELECT doc_id, nullif(answer, '') AS answer, CASE WHEN doc_id % 10 = 5 THEN 'llm response missing choices'
     WHEN answer IS NULL THEN 'llm response missing answer content' WHEN answer = '' THEN 'llm response answer is empty' END AS error
   FROM (SELECT doc_id, {O.think(_CONTENT)} AS answer FROM bodies)"""))
 def extract_answer(spark, sf):

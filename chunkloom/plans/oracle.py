@@ -139,16 +139,21 @@ cte(
     "pair_scores",
 )
 cte("top5", "SELECT * EXCLUDE (original_rank), original_rank AS rank FROM ranked WHERE original_rank <= 5", "ranked")
+cte("chunk_words", f"SELECT chunk_id, list_distinct(regexp_split_to_array({strip('lower(content)')}, '{WS}+')) AS words FROM contents", "contents")
+cte(
+    "asked_words",
+    f"SELECT question, list_distinct(regexp_split_to_array({strip('lower(question)')}, '{WS}+')) AS asked FROM (SELECT DISTINCT question FROM queries)",
+    "queries",
+)
 cte(
     "candidates",
-    f"""SELECT r.*, content, question,
-    list_distinct(regexp_split_to_array({strip('lower(question)')}, '{WS}+')) AS asked,
-    list_distinct(regexp_split_to_array({strip('lower(content)')}, '{WS}+')) AS words
-  FROM ranked r JOIN contents USING (chunk_id) JOIN (SELECT query_id, question FROM queries) USING (query_id)
+    """SELECT r.*, question, asked, words
+  FROM ranked r JOIN (SELECT query_id, question FROM queries) USING (query_id) JOIN asked_words USING (question) JOIN chunk_words USING (chunk_id)
   WHERE original_rank <= 30""",
     "ranked",
-    "contents",
     "queries",
+    "asked_words",
+    "chunk_words",
 )
 cte(
     "scored",

@@ -85,7 +85,8 @@ def hits_to_chunks(spark, sf):
     return S.hits_to_chunks(hits, mapping).select("hit_id", "doc_id", "row_id", "chunk_id", "chunk_index")
 
 
-@query(O.using("candidates", body="""SELECT query_id, chunk_id, original_rank::INTEGER AS original_rank, question, content FROM candidates"""))
+@query(O.using("candidates", "contents", body="""SELECT query_id, chunk_id, original_rank::INTEGER AS original_rank, question, content
+  FROM candidates JOIN contents USING (chunk_id)"""))
 def rerank_pairs(spark, sf):
     return _candidates(spark, sf).select("query_id", "chunk_id", "original_rank", "question", "content")
 
@@ -190,7 +191,7 @@ def first_relevant_rank(spark, sf):
 def _raw_hits(spark, sf):
     """Top-10 hits whose contents repeat, are blank or hide under other names."""
     hits = _top(spark, sf, 10).withColumnRenamed("rank", "position")
-    joined = hits.join(A.vector_contents(spark, sf), "chunk_id")
+    joined = hits.join(X.cut_contents(A.vector_contents(spark, sf)), "chunk_id")
     shape = F.col("chunk_id") % 5
     body = F.col("content")
     shared = F.concat(F.lit("shared "), (F.col("chunk_id") % 3).cast("string"))
@@ -211,12 +212,14 @@ def _raw_hits(spark, sf):
 
 _BODY = "CASE WHEN chunk_id % 5 = 3 THEN chr(32) || chr(10) || chr(32) WHEN chunk_id % 5 = 4 THEN 'shared ' || chunk_id % 3 ELSE content END"
 _TRIMMED = O.strip(_BODY)
+#: Texts are trimmed and cut once per chunk, before hits are joined to them.
+O.cte("chunk_bodies", f"""SELECT chunk_id, {O.cut('body', 1000, "' ...'")} AS content FROM (SELECT chunk_id, {_TRIMMED} AS body FROM contents)""", "contents")
 _NORMALIZED = (
     "normalized",
-    f"""SELECT query_id, original_rank::INTEGER AS rank, {O.cut(_TRIMMED, 1000, "' ...'")} AS content, doc_id,
+    """SELECT query_id, original_rank::INTEGER AS rank, content, doc_id,
     CASE WHEN chunk_id % 5 = 1 THEN chunk_id ELSE nullif(chunk_id, 0) END AS chunk_id, chunk_index,
     CASE WHEN query_id % 9 <> 0 THEN score END AS score
-  FROM ranked JOIN contents USING (chunk_id) WHERE original_rank <= 10""",
+  FROM ranked JOIN chunk_bodies USING (chunk_id) WHERE original_rank <= 10""",
 )
 _CONTEXT = (
     "context",
@@ -228,24 +231,24 @@ FIELDS = "query_id, rank, content, doc_id, chunk_id, chunk_index, score"
 
 
 def _context_sql(body: str, *names: str) -> str:
-    return O.using("ranked", "contents", *names, extra=(_NORMALIZED, _CONTEXT), body=body)
+    return O.using("ranked", "chunk_bodies", *names, extra=(_NORMALIZED, _CONTEXT), body=body)
 
 
 def _names():
     return FIELDS.split(", ")
 
 
-@query(O.using("ranked", "contents", extra=(_NORMALIZED,), body=f"SELECT {FIELDS} FROM normalized"))
+@query(O.using("ranked", "chunk_bodies", extra=(_NORMALIZED,), body=f"SELECT {FIELDS} FROM normalized"))
 def coalesce_hit_fields(spark, sf):
     return X.coalesce_hit_fields(_raw_hits(spark, sf)).select(*_names())
 
 
-@query(O.using("ranked", "contents", extra=(_NORMALIZED,), body=f"SELECT {FIELDS} FROM normalized WHERE content <> ''"))
+@query(O.using("ranked", "chunk_bodies", extra=(_NORMALIZED,), body=f"SELECT {FIELDS} FROM normalized WHERE content <> ''"))
 def filter_empty_hits(spark, sf):
     return X.filter_empty_hits(X.coalesce_hit_fields(_raw_hits(spark, sf))).select(*_names())
 
 
-@query(O.using("ranked", "contents", extra=(_NORMALIZED,), body=f"""SELECT {FIELDS} FROM normalized WHERE content <> ''
+@query(O.using("ranked", "chunk_bodies", extra=(_NORMALIZED,), body=f"""SELECT {FIELDS} FROM normalized WHERE content <> ''
   QUALIFY row_number() OVER (PARTITION BY query_id, content ORDER BY rank) = 1"""))
 def dedup_hits_keep_first(spark, sf):
     hits = X.filter_empty_hits(X.coalesce_hit_fields(_raw_hits(spark, sf)))
@@ -274,7 +277,7 @@ _MODE = (
 
 
 def _mode_sql(body: str, *extra: tuple[str, str]) -> str:
-    return O.using("ranked", "contents", "queries", extra=(_NORMALIZED, _CONTEXT, _MODE, *extra), body=body)
+    return O.using("ranked", "chunk_bodies", "queries", extra=(_NORMALIZED, _CONTEXT, _MODE, *extra), body=body)
 
 
 @query(_mode_sql("SELECT query_id, mode FROM modes"))

@@ -88,16 +88,17 @@ def test_latest_non_null(spark):
     assert {tuple(r) for r in ST.task_state(df).collect()} == {(1, "SUCCESS", 100, None), (2, "FAILURE", 100, "boom")}
 
 
-def test_citations_of_a_hot_message_are_paged_whole(spark):
+def test_citations_of_a_hot_message_stay_whole_and_in_order(spark):
     cites = spark.range(5000).select(
         F.col("id"), F.lit(1).cast("long").alias("message_id"), F.lit(2).cast("long").alias("doc_id"), F.col("id").alias("chunk_id"),
         F.col("id").cast("int").alias("chunk_index"), (F.col("id") % 10 / 10).alias("score"), F.lit(None).cast("string").alias("snippet"),
     )
     m = spark.createDataFrame([(1,), (2,)], "message_id long")
-    got = C.messages_with_citations(m, cites, page=1000).collect()
-    assert sorted((r.message_id, r.page_no, len(r.citations)) for r in got) == [(1, p, 1000) for p in range(5)] + [(2, 0, 0)]
-    page = [r for r in got if r.page_no == 0 and r.message_id == 1][0].citations
-    assert [(-c.score, c.citation_id) for c in page] == sorted((-c.score, c.citation_id) for c in page)
+    want = sorted(range(5000), key=lambda i: (-(i % 10), i))
+    got = {r.message_id: [c.citation_id for c in r.citations] for r in C.messages_with_citations(m, cites).collect()}
+    assert got == {1: want, 2: []}
+    flat = sorted((r.position, r.id) for r in C.message_citations_flat(m, cites).collect())
+    assert flat == [(i + 1, x) for i, x in enumerate(want)]
 
 
 def test_empty_summaries(spark):
