@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from chunkloom import constants as K
 from chunkloom.functions.text import strip, strip_think_tags
 
 TEXT_PART_TYPES = ("text", "output_text", "input_text")
@@ -108,7 +109,7 @@ def file_extension(name: Column) -> Column:
 
 def sanitize_file_name(name: Column) -> Column:
     clean = F.regexp_replace(F.coalesce(name, F.lit("")), r'[/\\:*?"<>|]', "_")
-    return F.when(clean == "", F.lit("upload.bin")).otherwise(clean)
+    return F.when(clean == "", F.lit(K.EMPTY_FILE_NAME)).otherwise(clean)
 
 
 def stripped_or_empty(text: Column) -> Column:

@@ -14,7 +14,8 @@ from chunkloom.operators.ranking import ordered_index, top_n
 SCORE_DIGITS = 6
 VECTOR_BLOCK = 1024
 QUERY_BLOCK = 256
-BROADCAST_QUERY_ROWS = 50_000
+#: Bytes of query vectors that are broadcast at most.
+BROADCAST_QUERY_BYTES = 64 << 20
 SALTS = 32
 
 SCORED = "query_id long, doc_id long, chunk_id long, chunk_index long, raw double"
@@ -135,17 +136,17 @@ def _block_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays(columns, names=["query_id", "pairs", "best", "worst"])
 
 
-def blocks_by_document(queries: DataFrame, vectors: DataFrame, broadcast_rows: int = BROADCAST_QUERY_ROWS) -> DataFrame:
+def blocks_by_document(queries: DataFrame, vectors: DataFrame, broadcast_bytes: int = BROADCAST_QUERY_BYTES) -> DataFrame:
     """Blocks of vectors next to the blocks of queries of the same document.
 
-    No (query, chunk) pair is ever a row. Up to ``broadcast_rows`` queries (counted) are
-    broadcast; beyond that both sides shuffle on (document, salt), which spreads the blocks
+    No (query, chunk) pair is ever a row. Query vectors of up to ``broadcast_bytes``
+    together (summed up) are broadcast; beyond that both sides shuffle on (document, salt), which spreads the blocks
     of a hot document over many tasks. Arrow batches are bounded by Spark's byte limit.
     ``vectors`` may be plain rows or blocks stored at indexing time, which then do not move
     when queries are broadcast.
     """
     wanted = queries.select("query_id", "doc_id", "embedding")
-    few = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
+    few = (wanted.agg(F.sum(F.size("embedding") * 4 + 16)).head()[0] or 0) <= broadcast_bytes
     q = query_blocks(wanted, few=few)
     v = vectors if "matrix" in vectors.columns else vector_blocks(vectors)
     if few:
@@ -167,10 +168,10 @@ def score_query_vs_chunks(queries: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def vector_topk(
-    queries: DataFrame, vectors: DataFrame, k: int, broadcast_rows: int = BROADCAST_QUERY_ROWS
+    queries: DataFrame, vectors: DataFrame, k: int, broadcast_bytes: int = BROADCAST_QUERY_BYTES
 ) -> DataFrame:
     """Exact top-k of each query inside its document; each block product hands on about k rows per query."""
-    hits = blocks_by_document(queries, vectors, broadcast_rows).mapInArrow(_block_search(k), SCORED).select(
+    hits = blocks_by_document(queries, vectors, broadcast_bytes).mapInArrow(_block_search(k), SCORED).select(
         "query_id",
         "doc_id",
         "chunk_id",

@@ -9,7 +9,7 @@ from chunkloom.plans.catalog import query
 from chunkloom.plans.metric_queries import DAY, REQUESTS_SQL, scope_sql
 from chunkloom.session import scratch_path
 from chunkloom.sources import sinks, sse
-from chunkloom.streaming import deltas as W, ingest as I, metrics as SM, rate_limit as SR, runner as R, tasks as ST
+from chunkloom.streaming import deltas as W, ingest as I, late as L, metrics as SM, rate_limit as SR, runner as R, tasks as ST
 
 CHAT, CHAT_OK = O.CHAT, O.CHAT_OK
 
@@ -70,7 +70,7 @@ def stream_ttft(spark, sf):
 def write_sse_events(spark, sf):
     """Written as text and read back, one row per blank-line frame."""
     path = scratch_path(spark, "sse")
-    sinks.write_sse_events(sse.event_text(A.stream_events(A.answers(spark, sf))), path)
+    sinks.write_sse_events(sse.event_text(A.stream_events(A.answers(spark, sf))), path, "1")
     return spark.read.text(path, lineSep="\n\n").select(F.col("value").alias("event_text"))
 
 
@@ -130,20 +130,41 @@ def stream_to_metrics_sink(spark, sf):
     return R.run_append(SM.deduplicated(twice, "1 hour").select("id", "request_type", "created_at"), "metrics-sink")
 
 
+_PARTS = ("parts", """SELECT id, created_at, CASE WHEN created_at >= middle THEN 1 WHEN id % 10 = 0 THEN 2 ELSE 0 END AS part
+  FROM metrics, (SELECT to_timestamp((epoch(min(created_at)) + epoch(max(created_at))) / 2)::TIMESTAMP AS middle FROM metrics)""")
+
+
+@query(O.using("metrics", extra=(_PARTS,), body="""SELECT id, created_at, part, coalesce(created_at < (SELECT max(created_at) - INTERVAL 1 HOUR FROM parts e WHERE e.part < p.part), false) AS late FROM parts p"""))
+def stream_late_rows(spark, sf):
+    """Three deliveries, the last with rows of the first half: they land in the late table, all others in the windows' input."""
+    rows = A.metrics(spark, sf).select("id", "created_at")
+    ends = rows.agg(F.unix_micros(F.min("created_at").cast("timestamp")).alias("a"), F.unix_micros(F.max("created_at").cast("timestamp")).alias("b")).head()
+    second_half = F.unix_micros(F.col("created_at").cast("timestamp")) >= (ends["a"] + ends["b"]) / 2
+    parts = rows.withColumn("part", F.when(second_half, 1).when(F.col("id") % 10 == 0, 2).otherwise(0))
+    path, out, state = (scratch_path(spark, n) for n in ("deliveries", "late", "late-state"))
+    for part in range(3):
+        parts.where(F.col("part") == part).write.mode("append").parquet(path)
+        source = spark.readStream.schema(parts.schema).parquet(path)
+        on_time, late = L.run_with_late_rows(source, "created_at", 3600, out, state)
+    return on_time.withColumn("late", F.lit(False)).union(late.withColumn("late", F.lit(True)))
+
+
 @query(O.using("chunks", body="""SELECT doc_id, chunk_index, content, 1 AS version FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM labels)
   UNION ALL SELECT doc_id, 0, 'replaced ' || quality, 2 FROM labels"""))
 def incremental_ingest(spark, sf):
-    """All documents arrive, then the labelled ones again with a new text."""
+    """All documents arrive, then the labelled ones again with a new text; the second run reads only those."""
     path = scratch_path(spark, "uploads")
     first = A.texts(spark, sf).select("doc_id", F.lit(1).alias("version"), "text")
     labels = A.table(spark, sf, "labels")
     again = labels.select(
         "doc_id", F.lit(2).alias("version"), F.concat(F.lit("replaced "), F.col("quality").cast("string")).alias("text")
     )
+    out, state = scratch_path(spark, "ingest"), scratch_path(spark, "ingest-state")
+    uploads = lambda: spark.readStream.schema(first.schema).parquet(path)
     first.write.parquet(path)
-    again.coalesce(1).write.mode("append").parquet(path)
-    uploads = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    current, _ = I.run_incremental_ingest(uploads)
+    I.run_incremental_ingest(uploads(), out, state)
+    again.write.mode("append").parquet(path)
+    current, _ = I.run_incremental_ingest(uploads(), out, state)
     return current.select("doc_id", "chunk_index", "content", "version")
 
 

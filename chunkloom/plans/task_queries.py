@@ -44,11 +44,11 @@ def state_tone(spark, sf):
 
 
 @query(O.using("tasks", body="""SELECT task_id, 'remote' AS source, state FROM tasks WHERE id % 3 > 0
-  UNION ALL SELECT task_id, 'local', state FROM tasks WHERE id % 3 = 0 AND id % 2 = 0"""))
+  UNION ALL SELECT task_id, 'local', state FROM tasks WHERE id % 3 = 0"""))
 def merge_task_lists(spark, sf):
     t = A.tasks(spark, sf).select("id", "task_id", "state")
     remote = t.where(F.col("id") % 3 > 0).select("task_id", F.lit("remote").alias("source"), "state")
-    local = t.where(F.col("id") % 2 == 0).select("task_id", F.lit("local").alias("source"), "state")
+    local = t.where((F.col("id") % 2 == 0) | (F.col("id") % 6 == 3)).select("task_id", F.lit("local").alias("source"), "state")
     return K.merge_task_lists(remote, local)
 
 

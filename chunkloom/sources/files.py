@@ -14,10 +14,11 @@ MAPPING_SCHEMA = "row_id int, chunk_id long, doc_id long, chunk_index int, conte
 
 
 def read_files(spark: SparkSession, path: str, extensions: Sequence[str] = K.SUPPORTED_EXTENSIONS) -> DataFrame:
-    """Uploaded files with path, size and bytes; other suffixes are not even listed."""
+    """Uploaded files with path, size and bytes, their suffix in any case; other suffixes are not even listed."""
+    any_case = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions]
     return (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
+        .option("pathGlobFilter", "*.{" + ",".join(any_case) + "}")
         .option("recursiveFileLookup", "true")
         .load(path)
         .select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size_bytes"), "content")

@@ -48,23 +48,25 @@ def write_vector_blocks(vectors: DataFrame, path: str, buckets: int = DOC_BUCKET
 
 
 def metric_rows(records: DataFrame, extra: list[str]) -> DataFrame:
-    """Flags as 0/1 and the extra fields as one JSON text."""
+    """Flags as 0/1 and the extra fields as one JSON text, nulls included."""
     flags = {c: F.coalesce(F.col(c), F.lit(False)).cast("int") for c in ("no_context", "timed_out")}
-    return records.withColumns({**flags, "extra_json": F.to_json(F.struct(*extra))}).drop(*extra)
+    return records.withColumns({**flags, "extra_json": F.to_json(F.struct(*extra), {"ignoreNullFields": "false"})}).drop(*extra)
 
 
-def append_request_metrics(records: DataFrame, path: str) -> None:
+def append_request_metrics(records: DataFrame, path: str, batch: str) -> None:
+    """Add a batch by day. A batch that is written again replaces itself, so a retried job doubles nothing."""
     day = records.withColumn("created_day", F.to_date("created_at"))
-    day.hint("rebalance", "created_day").write.mode("append").partitionBy("created_day").parquet(path)
+    day.hint("rebalance", "created_day").write.mode("overwrite").partitionBy("created_day").parquet(f"{path}/batch={batch}")
 
 
-def write_citations(citations: DataFrame, path: str) -> None:
-    citations.write.mode("append").parquet(path)
+def write_citations(citations: DataFrame, path: str, batch: str) -> None:
+    """Add a batch; one that is written again replaces itself."""
+    citations.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def write_sse_events(event_rows: DataFrame, path: str) -> None:
-    """Event text by stream bucket. The writer ends each row with one of the two closing newlines."""
+def write_sse_events(event_rows: DataFrame, path: str, batch: str) -> None:
+    """Event text by stream bucket. The writer ends each row with one of the two closing newlines. A batch written again replaces itself."""
     bucket = F.pmod(F.xxhash64("stream_id"), F.lit(DOC_BUCKETS)).cast("int")
     text = F.regexp_replace("event_text", r"\n\z", "")
     rows = event_rows.select(text.alias("value"), bucket.alias("stream_bucket"))
-    rows.hint("rebalance", "stream_bucket").write.partitionBy("stream_bucket").mode("append").text(path)
+    rows.hint("rebalance", "stream_bucket").write.partitionBy("stream_bucket").mode("overwrite").text(f"{path}/batch={batch}")

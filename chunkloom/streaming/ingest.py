@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from chunkloom.operators.chunks import chunk_documents, with_chunk_id
 from chunkloom.operators.embedding import embed_chunks
 from chunkloom.operators.ranking import last_per_key
-from chunkloom.session import scratch_path
 
 
 def ingest_batch(documents: DataFrame) -> DataFrame:
@@ -18,19 +17,19 @@ def ingest_batch(documents: DataFrame) -> DataFrame:
     return embed_chunks(chunks).join(versions, "doc_id")
 
 
-def run_incremental_ingest(uploads: DataFrame, name: str = "ingest") -> tuple[DataFrame, DataFrame]:
+def run_incremental_ingest(uploads: DataFrame, path: str, checkpoint: str) -> tuple[DataFrame, DataFrame]:
     """Drain a stream of (doc_id, version, text); returns current chunks and document index rows.
 
-    Every batch writes its own folder, so a repeated batch replaces itself. The current view
+    ``path`` and ``checkpoint`` belong together and are kept by the caller: a later run with the same two takes up where this
+    one ended, after a crash as well. Every batch writes its own folder, so a repeated batch replaces itself. The current view
     joins the chunks with the winning version of each document: a re-upload replaces all
     chunks of the older one, also when the new text is shorter.
     """
     spark = uploads.sparkSession
-    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    out, state = path, checkpoint
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        versions = batch.groupBy("doc_id").agg(F.max("version").alias("version"))
-        versions.write.mode("overwrite").parquet(f"{out}/documents/batch={batch_id}")
+        batch.groupBy("doc_id").agg(F.max("version").alias("version")).write.mode("overwrite").parquet(f"{out}/documents/batch={batch_id}")
         ingest_batch(batch).write.mode("overwrite").parquet(f"{out}/chunks/batch={batch_id}")
 
     query = (

@@ -12,7 +12,7 @@ from chunkloom.session import scratch_path
 
 def read_stream(spark: SparkSession, folder: str, table: str, schema, max_files: int | None = None) -> DataFrame:
     """One parquet table of a folder as a file stream."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*")
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(folder)

@@ -18,15 +18,15 @@ def vectors(spark, n=300, docs=3, dim=8, seed=1):
     return data, spark.createDataFrame(rows, "chunk_id long, doc_id long, chunk_index int, embedding array<float>")
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
 @pytest.mark.parametrize("k", [1, 5, 400])
-def test_topk_equals_brute_force(spark, monkeypatch, broadcast_rows, k):
+def test_topk_equals_brute_force(spark, monkeypatch, broadcast_bytes, k):
     monkeypatch.setattr(S, "VECTOR_BLOCK", 16)
     data, v = vectors(spark)
     docs = {r.chunk_id: r.doc_id for r in v.collect()}
     q = v.where(F.col("chunk_id") % 10 == 0).select(F.col("chunk_id").alias("query_id"), "doc_id", "embedding")
     got = {}
-    for r in S.vector_topk(q, v, k, broadcast_rows=broadcast_rows).collect():
+    for r in S.vector_topk(q, v, k, broadcast_bytes=broadcast_bytes).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.chunk_id, r.score))
     for i in range(0, len(data), 10):
         mine = [c for c in docs if docs[c] == docs[i]]

@@ -117,3 +117,39 @@ def test_concurrency(spark):
     )
     got = {int(r.ts.timestamp()) // 3000: (r.sessions, r.streams) for r in M.concurrency_by_instant(df).collect()}
     assert got == {0: (1, 0), 5: (1, 1), 8: (2, 2), 9: (1, 1), 10: (1, 1), 20: (1, 0), 30: (0, 0)}
+
+
+def test_suffixes_in_any_case_are_read(spark, tmp_path):
+    from chunkloom.sources import files
+
+    for name in ("a.txt", "b.TXT", "c.Md", "d.json", "e.exe", "f.Docx"):
+        (tmp_path / name).write_text(name)
+    got = {r.path.rsplit("/", 1)[1]: bytes(r.content).decode() for r in files.read_files(spark, str(tmp_path)).collect()}
+    assert got == {n: n for n in ("a.txt", "b.TXT", "c.Md", "d.json", "f.Docx")}
+
+
+def test_a_second_ingest_reads_only_what_is_new(spark, tmp_path):
+    from chunkloom.streaming import ingest as I
+
+    path, out, state = (f"file://{tmp_path}/{n}" for n in ("in", "out", "state"))
+    schema = "doc_id long, version int, text string"
+    run = lambda: I.run_incremental_ingest(spark.readStream.schema(schema).parquet(path), out, state)
+    spark.createDataFrame([(1, 1, "one two"), (2, 1, "three")], schema).write.parquet(path)
+    run()
+    spark.createDataFrame([(1, 2, "new")], schema).write.mode("append").parquet(path)
+    current, index = run()
+    assert {(r.doc_id, r.version, r.content) for r in current.collect()} == {(1, 2, "new"), (2, 1, "three")}
+    assert {(r.doc_id, r.chunk_count) for r in index.collect()} == {(1, 1), (2, 1)}
+    batches = spark.read.parquet(f"{out}/documents").groupBy("batch").count().collect()
+    assert sorted((r.batch, r["count"]) for r in batches) == [(0, 2), (1, 1)]
+
+
+def test_answers_that_look_like_lists_stay_text(spark):
+    from chunkloom.functions import records as R
+
+    said = ['"[1] According to"', '"[Chunk 1] yes"', '"[\\"a\\"]"', '"{x"', '[{"type": "text", "text": "a"}, {"type": "image", "text": "no"}, "{b", null, 3]', "7", "null"]
+    rows = [(i, '{"choices": [{"message": {"content": %s}}]}' % c) for i, c in enumerate(said)] + [(7, '{"choices": []}'), (8, "broken")]
+    got = {r.i: (r.r.answer, r.r.error) for r in spark.createDataFrame(rows, "i int, j string").select("i", R.extract_answer(F.col("j")).alias("r")).collect()}
+    missing = "llm response missing "
+    assert [got[i][0] for i in range(9)] == ["[1] According to", "[Chunk 1] yes", '["a"]', "{x", "a{b3", "7", None, None, None]
+    assert got[6][1] == missing + "answer content" and got[7][1] == got[8][1] == missing + "choices"
