@@ -66,16 +66,18 @@ def value_counts(values: DataFrame, keys: Sequence[str], *more: Column) -> DataF
 
 
 def exact_percentiles(
-    hist: DataFrame, keys: Sequence[str], points: dict[str, float], bucket_width: float = 64.0
+    hist: DataFrame, keys: Sequence[str], points: dict[str, float], buckets: int = 1024
 ) -> DataFrame:
     """Linear-interpolation percentiles of counted values (see :func:`value_counts`) per key.
 
-    Only buckets of the value range are ranked per key, and the values inside one bucket
-    among themselves.
+    Only buckets are ranked per key, and the values inside one bucket among themselves. The buckets part each key's own
+    range of values evenly.
     """
     keys = list(keys)
     hist = hist.select(*keys, "value", "_c")
-    hist = hist.withColumn("_b", F.floor(F.col("value") / F.lit(bucket_width)))
+    ends = hist.groupBy(*keys).agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
+    place = F.when(F.col("_high") > F.col("_low"), (F.col("value") - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(F.lit(0.0))
+    hist = hist.join(ends, keys).withColumn("_b", F.floor(place * buckets)).drop("_low", "_high")
     coarse = hist.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
     per_key = Window.partitionBy(*keys)
     earlier = per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -18,6 +18,8 @@ from chunkloom.session import written
 
 MICROS = 1_000_000
 HOT_ROWS = 4096
+#: Times in a block of a hot key, at least.
+LEAST_BLOCK = 64
 SALTS = 32
 NEVER = np.iinfo("int64").min // 2
 
@@ -106,16 +108,20 @@ def window_starts(
     """Add ``window_start`` (microseconds) to each request of a key.
 
     Keys with up to ``hot_rows`` distinct times are folded in one array each; the others
-    take the blocked way. Both give the same answer.
+    take the blocked way. Both give the same answer. Blocks are ``blocks`` windows wide, or as narrow, also less than
+    a window, as the densest key needs for about ``hot_rows`` times in each.
     """
     window = window_seconds * MICROS
-    span = window * blocks
     timed = requests.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    timed = timed.withColumn("_block", F.floor(F.col("_t") / F.lit(span)).cast("long"))
     # The distinct times are read several times: stored once, also against lost executors.
-    times = written(timed.select(F.col(key).alias("_key"), "_block", "_t").distinct(), "request-times")
-    hot = times.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select("_key")
-    if hot.isEmpty():
+    times = written(timed.select(F.col(key).alias("_key"), "_t").distinct(), "request-times")
+    per_key = times.groupBy("_key").agg(F.count("*").alias("_n"), (F.max("_t") - F.min("_t")).alias("_range")).where(F.col("_n") > hot_rows)
+    narrowest = per_key.agg(F.min(F.col("_range") * max(hot_rows, LEAST_BLOCK) / F.col("_n"))).head()[0]
+    span = window * blocks if narrowest is None else max(1, min(window * blocks, int(narrowest)))
+    block = F.floor(F.col("_t") / F.lit(span)).cast("long")
+    timed, times = timed.withColumn("_block", block), times.withColumn("_block", block)
+    hot = per_key.select("_key")
+    if narrowest is None:
         starts = _small_starts(times, span, window)
     else:
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))

@@ -60,3 +60,13 @@ def test_chain(spark):
     got = {r.request_id: (r.ip_allowed, r.user_count, r.allowed) for r in L.chained_limits(df, 60, 3, 2).collect()}
     # Request 4 fails at the address and never reaches the user counter.
     assert got == {1: (True, 1, True), 2: (True, 1, True), 3: (True, 2, True), 4: (False, None, False), 5: (True, 3, False), 6: (True, None, True)}
+
+
+def test_a_hot_key_inside_one_window_is_many_blocks(spark, monkeypatch):
+    rows = [(i, 0, i * 1000) for i in range(20_000)] + [(50_000 + i, 1, i * 3000) for i in range(50)]
+    blocks = []
+    whole = L._hot_starts
+    monkeypatch.setattr(L, "_hot_starts", lambda times, *more: (blocks.append(times.groupBy("_key", "_block").count().collect()), whole(times, *more))[1])
+    got = L.fixed_window_limit(frame(spark, rows), "key", "ts", "request_id", 86_400, 3, hot_rows=1000).collect()
+    assert {r.request_id: (r["count"], r.allowed) for r in got} == plain(rows, 86_400 * 1_000_000, 3)
+    assert len(blocks[0]) >= 15 and max(r["count"] for r in blocks[0]) <= 2000
