@@ -22,25 +22,6 @@ TEXTS = ["", "   ", "\n\n", "x" * 800, "x" * 801, "y" * 1500, "z" * 1501, "a\r\n
 TEXTS += [random_text(seed, seed * 97) for seed in range(1, 30)]
 
 
-def normal(text):
-    out = []
-    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
-        line = line.rstrip()
-        if line or not out or out[-1]:
-            out.append(line)
-    return "\n".join(out).strip()
-
-
-def windows(text, size, overlap):
-    text, out, at = normal(text), [], 0
-    while at < len(text):
-        out.append(text[at : at + size].strip())
-        if at + size >= len(text):
-            break
-        at += size - overlap
-    return [c for c in out if c]
-
-
 def column(spark, texts, expression):
     rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
     got = rows.select("i", expression(F.col("text")).alias("out")).collect()
@@ -48,17 +29,37 @@ def column(spark, texts, expression):
 
 
 def test_normalize(spark):
-    assert column(spark, TEXTS, T.normalize_document_text) == [normal(t) for t in TEXTS]
+    cases = {"a\r\nb\rc": "a\nb\nc", "a \t\nb": "a\nb", "a\n\n\n\nb": "a\n\nb", " \n a b \n ": "a b", "a\n \n\t\nb": "a\n\nb", "": "", None: ""}
+    assert column(spark, list(cases), T.normalize_document_text) == list(cases.values())
+    clean = column(spark, TEXTS, T.normalize_document_text)
+    assert column(spark, clean, T.normalize_document_text) == clean
+    for before, after in zip(TEXTS, clean):
+        assert "\r" not in after and "\n\n\n" not in after and after == after.strip()
+        assert not any(x.isspace() and x != "\n" and y == "\n" for x, y in zip(after, after[1:]))
+        assert "".join(before.split()) == "".join(after.split())
 
 
 @pytest.mark.parametrize("size,overlap", [(800, 100), (50, 0), (50, 25), (50, 40), (7, 6)])
-def test_chunks(spark, size, overlap):
+def test_chunks_cover_the_text(spark, size, overlap):
     rows = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     got = {}
     for r in C.chunk_documents(rows, size, overlap).orderBy("doc_id", "chunk_index").collect():
         got.setdefault(r.doc_id, []).append(r.content)
         assert r.chunk_index == len(got[r.doc_id]) - 1
-    assert got == {i: windows(t, size, overlap) for i, t in enumerate(TEXTS) if windows(t, size, overlap)}
+    for i, text in enumerate(column(spark, TEXTS, T.normalize_document_text)):
+        pieces = got.get(i, [])
+        assert all(p and p == p.strip() and len(p) <= size and p in text for p in pieces)
+        step = size - overlap
+        assert all(any(part in p for p in pieces) for k in range(0, len(text), step) if (part := text[k : k + step].strip()))
+        assert len(pieces) <= max(0, -(-(len(text) - size) // step)) + 1
+
+
+def test_neighbouring_chunks_share_the_overlap(spark):
+    rows = spark.createDataFrame([(1, "abcdefghijklmnopqrstuvwxyz"), (2, "abcdefghij"), (3, " "), (4, "abc      defg")], "doc_id long, text string")
+    got = {}
+    for r in C.chunk_documents(rows, 10, 4).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r.doc_id, []).append(r.content)
+    assert got == {1: ["abcdefghij", "ghijklmnop", "mnopqrstuv", "stuvwxyz"], 2: ["abcdefghij"], 4: ["abc      d", "defg"]}
 
 
 @pytest.mark.parametrize("size,overlap", [(0, 0), (10, -1), (10, 10)])
@@ -124,7 +125,8 @@ def test_file_names(spark):
 def test_content_parts(spark):
     cases = {
         '["a", {"type": "text", "text": "b"}, {"type": "image", "text": "c"}, null, {"type": "input_text"}]': "ab",
-        "plain": "plain",
+        '"plain"': "plain",
+        '"[not a list"': "[not a list",
         None: None,
     }
-    assert column(spark, list(cases), R.flatten_content) == list(cases.values())
+    assert column(spark, list(cases), lambda c: R.flatten_content(F.try_parse_json(c))) == list(cases.values())
