@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,19 +12,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 from chunkloom import constants as K
 from chunkloom.functions import text as T
 
+#: Words whose slots a task remembers.
+REMEMBERED_WORDS = 200_000
 EmbedBatch = Callable[[list[str]], np.ndarray]
 
 
 def hashing_model(dim: int = 64) -> Callable[[], EmbedBatch]:
-    """Signed feature hashing of lower-case words into ``dim`` slots, unit length."""
+    """Signed feature hashing of lower-case words into ``dim`` slots, unit length. Slot and sign come from the word's md5."""
 
     def load() -> EmbedBatch:
+        known: dict[str, tuple[int, float]] = {}
+
+        def place(word: str) -> tuple[int, float]:
+            if word not in known:
+                if len(known) >= REMEMBERED_WORDS:
+                    known.clear()
+                h = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16)
+                known[word] = h % dim, 1.0 if (h >> 16) & 1 else -1.0
+            return known[word]
+
         def embed(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dim), dtype="float32")
             for i, text in enumerate(texts):
-                for word in text.lower().split():
-                    h = zlib.crc32(word.encode("utf-8"))
-                    out[i, h % dim] += 1.0 if (h >> 16) & 1 else -1.0
+                places = [place(word) for word in text.lower().split()]
+                if places:
+                    slots, signs = zip(*places)
+                    out[i] = np.bincount(slots, weights=signs, minlength=dim)
             norms = np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
             return out / norms
 

@@ -389,18 +389,30 @@ def truncate_for_context(spark, sf):
     return once.withColumn("prompt_text", T.truncate_prompt(F.col("context_text"), 1000))
 
 
-@query(O.using("chunks", body="SELECT chunk_id, 64 AS dimension, 1.0::DOUBLE AS norm FROM chunks"))
-def embed_chunks(spark, sf):
-    """Unit vectors of the default model for every chunk."""
+def _embedded_sql(source: str, key: str, text: str) -> str:
+    """The default model again: signed counts of words by md5 slots, at unit length."""
+    return O.using(source, extra=(
+        ("words", f"SELECT {key}, ('0x' || substring(md5(word), 1, 8))::BIGINT AS h FROM (SELECT {key}, unnest(list_filter(regexp_split_to_array(lower({text}), '{O.WS}+'), lambda w: w <> '')) AS word FROM {source})"),
+        ("slots", f"SELECT {key}, h % 64 AS slot, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0 END) AS v FROM words GROUP BY ALL"),
+        ("norms", f"SELECT {key}, sqrt(sum(v * v)) AS norm FROM slots GROUP BY {key}"),
+    ), body=f"""SELECT {key}, 64 AS dimension, CASE WHEN any_value(norm) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm,
+    coalesce(sum(round(v / nullif(norm, 0) * 1000) * (slot + 1)), 0)::BIGINT AS digest FROM slots JOIN norms USING ({key}) GROUP BY {key}""")
+
+
+def _embedded(df, key):
     from chunkloom.functions.vectors import l2_norm
 
-    e = M.embed_chunks(A.chunks(spark, sf))
-    return e.select("chunk_id", F.size("embedding").alias("dimension"), F.round(l2_norm(F.col("embedding")), 4).alias("norm"))
+    thousandths = F.transform("embedding", lambda x, i: F.round(x.cast("double") * 1000).cast("long") * (i + 1))
+    digest = F.aggregate(thousandths, F.lit(0).cast("long"), lambda a, x: a + x)
+    return df.select(key, F.size("embedding").alias("dimension"), F.round(l2_norm(F.col("embedding")), 4).alias("norm"), digest.alias("digest"))
 
 
-@query(O.using("queries", body="SELECT query_id, 64 AS dimension, 1.0::DOUBLE AS norm FROM queries"))
-def embed_queries(spark, sf):
-    from chunkloom.functions.vectors import l2_norm
+@query(_embedded_sql("chunks", "chunk_id", "content"))
+def embed_chunks(spark, sf):
+    """Unit vectors of the default model for every chunk."""
+    return _embedded(M.embed_chunks(A.chunks(spark, sf)), "chunk_id")
 
-    e = M.embed_queries(A.queries(spark, sf).select("query_id", "question"), prefix="query: ")
-    return e.select("query_id", F.size("embedding").alias("dimension"), F.round(l2_norm(F.col("embedding")), 4).alias("norm"))
+
+@query(_embedded_sql("queries", "query_id", "'query: ' || question"))
+def embed_queries(spark, sf):
+    return _embedded(M.embed_queries(A.queries(spark, sf).select("query_id", "question"), prefix="query: "), "query_id")
