@@ -95,12 +95,13 @@ def metrics_at_k_grid(hits: DataFrame, labels: DataFrame, ks: Sequence[int] = (1
     )
 
 
+def macro_columns() -> list[Column]:
+    """Aggregates of recall_at_k, mrr and ndcg; the sample count is the first non-zero of the three counts."""
+    names = ("recall_at_k", "mrr", "ndcg")
+    counts = [F.nullif(F.count(c), F.lit(0)) for c in names]
+    return [F.coalesce(*counts, F.lit(0)).alias("retrieval_eval_samples"), *[F.round(F.avg(c), 4).alias(f"{c}_avg") for c in names]]
+
+
 def retrieval_eval_macro(per_query: DataFrame) -> DataFrame:
-    """Averages in one row; the sample count is the first non-zero of the three counts."""
-    counts = [F.nullif(F.count(c), F.lit(0)) for c in ("recall_at_k", "mrr", "ndcg")]
-    return per_query.agg(
-        F.coalesce(*counts, F.lit(0)).alias("retrieval_eval_samples"),
-        F.round(F.avg("recall_at_k"), 4).alias("recall_at_k_avg"),
-        F.round(F.avg("mrr"), 4).alias("mrr_avg"),
-        F.round(F.avg("ndcg"), 4).alias("ndcg_avg"),
-    )
+    """Averages in one row."""
+    return per_query.agg(*macro_columns())

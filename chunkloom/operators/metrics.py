@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chunkloom import constants as K
 from chunkloom.functions import records as R, text as T
-from chunkloom.operators.evaluation import retrieval_eval_macro
+from chunkloom.operators.evaluation import macro_columns
 from chunkloom.operators.ranking import exact_percentiles, one_row, running_totals, value_counts
 from chunkloom.session import written
 
@@ -164,7 +164,8 @@ def monitor_overview(window: DataFrame, queue: DataFrame, corpus: DataFrame, win
     columns: list[Column] = []
     points = F.array(*[F.lit(p / 100.0) for p in PERCENTILES.values()])
     series = latency_columns()
-    rows = window.withColumns({f"_{n}": c for n, c in series.items()})
+    quality = {c: extra(c) for c in ("recall_at_k", "mrr", "ndcg")}
+    rows = window.withColumns({**{f"_{n}": c for n, c in series.items()}, **quality})
     for name in series:
         value = F.col(f"_{name}")
         last = F.max_by(value, F.when(value.isNotNull(), F.col("id")))
@@ -184,9 +185,9 @@ def monitor_overview(window: DataFrame, queue: DataFrame, corpus: DataFrame, win
         total.alias("samples_total"),
         chat.alias("samples_chat"),
         F.count_if(F.col("request_type") == "ingest").alias("samples_ingest"),
+        *macro_columns(),
     )
-    quality = retrieval_eval_macro(extra_eval_values(window))
-    return one_row(summary, quality, queue, corpus).withColumn("window_seconds", F.lit(window_seconds))
+    return one_row(summary, queue, corpus).withColumn("window_seconds", F.lit(window_seconds))
 
 
 def timings_breakdown(metrics: DataFrame, stages=K.INGEST_TIMINGS) -> DataFrame:

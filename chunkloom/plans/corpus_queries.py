@@ -189,6 +189,7 @@ def documents_left_join_chunks(spark, sf):
 def orphan_rows_anti_join(spark, sf):
     rows = A.chunks(spark, sf).select("chunk_id", "doc_id")
     parents = A.corpus_documents(spark, sf).where(F.col("status") != "FAILED")
+    rows = written(rows, "chunk-ids")  # read by both sides: chunked once
     gone = D.orphans(rows, parents, "doc_id", "id").withColumn("orphan", F.lit(True))
     kept = D.keep_linked(rows, parents, "doc_id", "id").withColumn("orphan", F.lit(False))
     return gone.unionByName(kept).select("chunk_id", "doc_id", "orphan")
