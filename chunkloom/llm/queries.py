@@ -111,3 +111,22 @@ def op5_chat_tree(spark, sf_dir):
     added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn int, role string, text string")
     nodes, members = chat.formatted(turns.union(added.select("conv_id", F.col("turn").cast(turns.schema["turn"].dataType), "role", "text")))
     return chat.read_back(written(nodes, "chat-tree"), members)
+
+
+ORACLE["op10_jaccard_join"] = f"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWERED}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+    FROM texts
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM sets x JOIN sets y USING (s) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, ends.b FROM reach JOIN ends ON reach.b = ends.a),
+lowest AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a),
+degrees AS (SELECT a AS doc_id, count(*) AS n_links FROM ends GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
+FROM documents JOIN lowest USING (doc_id) LEFT JOIN sizes USING (doc_id) LEFT JOIN degrees USING (doc_id)
+"""

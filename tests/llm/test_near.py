@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chunkloom.llm import chat, components, jaccard, queries, simhash
+from compare import compare
 from llm.helpers import SENTENCE, TEXTS, documents, jaccard_brute, plain
 
 
@@ -55,6 +56,11 @@ def test_jaccard_query_on_the_given_tables(spark, sf_dir):
     assert got == jaccard_brute([(r.doc_id, r.text) for r in docs])
 
 
+def test_jaccard_query_equals_sql(spark, con, sf_dir):
+    problems, _, rows = compare(spark, con, "op10", queries.op10_jaccard_join, queries.ORACLE["op10_jaccard_join"], sf_dir)
+    assert not problems and rows > 0
+
+
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 540)] + [(7, 7), (9, 8), (8, 9)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
