@@ -11,7 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one numpy step handles.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Texts that are copied out of an Arrow batch at a time.
+SLICE_ROWS = 1000
 #: Odd multipliers of the rolling hash over bytes and of its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -57,18 +59,17 @@ def text_slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.nd
     """(first row, bytes, offsets) for runs of whole texts of about ``SLICE_BYTES``; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    if len(column) == 0:
-        return
-    _, raw, data = column.buffers()
-    offsets = np.frombuffer(raw, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
-    start = 0
-    while start < len(column):
-        end = int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, side="right")) - 1
-        end = min(max(end, start + 1), len(column))
-        yield start, data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
-        start = end
+    for begin in range(0, len(column), SLICE_ROWS):
+        part = pc.fill_null(column.slice(begin, SLICE_ROWS).cast(pa.large_string()), "")
+        _, raw, data = part.buffers()
+        offsets = np.frombuffer(raw, dtype=np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+        start = 0
+        while start < len(part):
+            end = int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, side="right")) - 1
+            end = min(max(end, start + 1), len(part))
+            yield begin + start, data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
+            start = end
 
 
 def powers(base: int, n: int) -> np.ndarray:

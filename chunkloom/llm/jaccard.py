@@ -33,10 +33,12 @@ WORDS = 5
 #: Links from 75 hundredths on.
 PERCENT = 75
 #: Entries of a row block (as far as whole documents allow) and of a column block. On executors with more memory larger blocks move fewer, longer arrays.
-ROW_BLOCK, COLUMN_BLOCK = 2_000_000, 2_000_000
+ROW_BLOCK, COLUMN_BLOCK = 1_000_000, 1_000_000
 #: Entries of the first columns up to which a column gives pairs; beyond, its rows are multiplied in chunks.
 SPARSE_COLUMN = 64
 CHUNK = 256
+#: Entries of a chunk that are multiplied at a time.
+PRODUCT_ENTRIES = 400_000
 LOW_40 = np.uint64((1 << 40) - 1)
 
 
@@ -251,8 +253,24 @@ def _counted_pairs(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "columns_a", "columns_b").mapInArrow(run, "a long, b long")
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
-    """Overlap counts of all rows of two chunks: dense strips of the columns that both have, multiplied and summed up."""
+def _stretches(rows: list[np.ndarray]) -> list[tuple[int, int]]:
+    """The rows in stretches of about ``PRODUCT_ENTRIES`` entries."""
+    ends = np.cumsum([len(r) for r in rows]) // PRODUCT_ENTRIES
+    borders = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(rows)]
+    return list(zip(borders[:-1], borders[1:]))
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Overlap counts of all rows of two chunks, a few hundred thousand entries of each at a time."""
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    for a, b in _stretches(left):
+        for c, d in _stretches(right):
+            out[a:b, c:d] = _product(left[a:b], right[c:d])
+    return out
+
+
+def _product(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Dense strips of the columns that both sides have, multiplied and summed up."""
     a, b = np.concatenate(left), np.concatenate(right)
     common = np.intersect1d(np.unique(a), np.unique(b), assume_unique=True)
     out = np.zeros((len(left), len(right)), dtype=np.float32)
