@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chunkloom.llm.common import with_running_base
@@ -81,9 +80,10 @@ def ranked_ids(tokens: DataFrame) -> np.ndarray:
 
 
 def write_token_files(tokens: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Write all documents of ``tokens`` (doc_id, ids) in ascending order of doc_id, null first; equal keys follow their ids.
+    """Write all documents of ``tokens`` (doc_id long, ids) in ascending order of doc_id, null first; equal keys follow their ids.
 
-    Ids become ranks and are coded before the one shuffle, by ranges of the key, so that it carries about 1.5 bytes per id.
+    Ids become ranks and are coded before the one shuffle, so that it carries about 1.5 bytes per id. It deals by ranges of the
+    key, bounded by approximate quantiles of the keys alone: a sample of whole rows would code every document twice.
     The table from rank to id lies beside the blocks.
     """
     spark = tokens.sparkSession
@@ -91,6 +91,9 @@ def write_token_files(tokens: DataFrame, path: str, partitions: int | None = Non
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, dtype=np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     spread = spark.sparkContext.broadcast(rank_of)  # 4 bytes per entry of the vocabulary
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / partitions for i in range(1, partitions)] or [0.5]
+    bounds = np.unique(np.array(tokens.agg(F.percentile_approx("doc_id", shares, 100 * partitions)).head()[0] or [], dtype=np.int64))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = spread.value
@@ -99,46 +102,49 @@ def write_token_files(tokens: DataFrame, path: str, partitions: int | None = Non
                 rows = batch.slice(start, 1000)
                 ids = [np.frombuffer(x or b"", dtype="<u4") for x in rows.column(1).to_pylist()]
                 coded = [encode_ranks(table[x]) for x in ids]
+                keys = rows.column(0).fill_null(-(1 << 63)).to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
-                    ["doc_id", "n_tokens", "control", "data"],
+                    [
+                        rows.column(0), pa.array(np.searchsorted(bounds, keys, side="right")), pa.array([len(x) for x in ids], pa.int64()),
+                        pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary()),
+                    ],
+                    ["doc_id", "shard", "n_tokens", "control", "data"],
                 )
 
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    coded = tokens.select("doc_id", "ids").mapInArrow(code, f"doc_id {kind}, n_tokens long, control binary, data binary")
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = coded.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "control", "data")
+    coded = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(code, "doc_id long, shard long, n_tokens long, control binary, data binary")
+    ordered = coded.repartition(partitions, "shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "control", "data")
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, number, before = TaskContext.get().partitionId(), 0, 0
+        shard, number, before = None, 0, 0
         keys, sizes, control, data, held = [], [], [], [], 0
 
         def closed():
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([shard], pa.int64()), pa.array([number], pa.int64()), pa.array([before], pa.int64()), pa.array([sum(sizes)], pa.int64()),
-                    pa.array([keys], pa.list_(key_type)), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(control)], pa.binary()), pa.array([b"".join(data)], pa.binary()),
+                    pa.array([keys], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(control)], pa.binary()), pa.array([b"".join(data)], pa.binary()),
                 ],
                 ["shard", "block", "shard_start", "n_tokens", "doc_ids", "sizes", "control", "data"],
             )
 
         for batch in batches:
-            key_type = batch.schema.field(0).type
-            for r in range(batch.num_rows):
-                keys.append(batch.column(0)[r].as_py())
-                sizes.append(batch.column(1)[r].as_py())
-                control.append(batch.column(2)[r].as_py())
-                data.append(batch.column(3)[r].as_py())
-                held += len(data[-1])
-                if held >= BLOCK_BYTES:
-                    yield closed()
-                    number, before = number + 1, before + sum(sizes)
-                    keys, sizes, control, data, held = [], [], [], [], 0
+            for start in range(0, batch.num_rows, 1000):
+                rows = batch.slice(start, 1000)
+                for key, place, size, codes, coded_data in zip(*(rows.column(c).to_pylist() for c in range(5))):
+                    if keys and (held >= BLOCK_BYTES or place != shard):
+                        yield closed()
+                        number, before = (number + 1, before + sum(sizes)) if place == shard else (0, 0)
+                        keys, sizes, control, data, held = [], [], [], [], 0
+                    shard, held = place, held + len(coded_data)
+                    keys.append(key)
+                    sizes.append(size)
+                    control.append(codes)
+                    data.append(coded_data)
         if keys:
             yield closed()
 
     blocks = ordered.mapInArrow(
-        block, f"shard long, block long, shard_start long, n_tokens long, doc_ids array<{kind}>, sizes array<long>, control binary, data binary"
+        block, "shard long, block long, shard_start long, n_tokens long, doc_ids array<long>, sizes array<long>, control binary, data binary"
     )
     blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
     spark.createDataFrame([(by_rank.astype("<u4").tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks")
@@ -173,9 +179,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     columns = ["doc_ids", "sizes", "control", "data", "at"]
-    return placed.select(*columns).mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids binary")
+    return placed.select(*columns).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_file_path(spark: SparkSession) -> str:
