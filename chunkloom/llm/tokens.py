@@ -22,7 +22,7 @@ ODD = re.compile(f" (?:[{BLANK}]|$)")
 CUT = re.compile(f" (?=[^{BLANK}])")
 #: Pieces and words that a worker remembers (about 200 bytes each); the first ones stay, common ones come early.
 #: After so many misses it forgets them and starts anew.
-REMEMBERED, FORGETS = 400_000, 20_000_000
+PIECES, WORDS, FORGETS = 200_000, 400_000, 20_000_000
 #: Longer pieces are encoded each time.
 LONGEST = 100
 STEP_CHARS = 4_000_000
@@ -41,8 +41,8 @@ def lowered_pieces(text: str) -> list[str]:
 class Memory:
     """What ``make`` returns for keys, asked for many at a time."""
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]]):
-        self.make, self.known, self.misses = make, {}, 0
+    def __init__(self, make: Callable[[list[str]], list[bytes]], size: int):
+        self.make, self.size, self.known, self.misses = make, size, {}, 0
 
     def of(self, keys: set[str]) -> dict[str, bytes]:
         known = self.known
@@ -54,7 +54,7 @@ class Memory:
         if self.misses > FORGETS:
             known.clear()
             self.misses = 0
-        if len(known) < REMEMBERED:
+        if len(known) < self.size:
             known.update((k, v) for k, v in made.items() if len(k) <= LONGEST)
         return out
 
@@ -63,9 +63,9 @@ class Encoder:
     """``encode_words`` turns words (what a splitting pattern finds) into packed 32-bit ids."""
 
     def __init__(self, encode_words: Callable[[list[str]], list[bytes]], find, prepare=None, drops_blanks: bool = False):
-        self.words, self.find, self.prepare = Memory(encode_words), find, prepare
+        self.words, self.find, self.prepare = Memory(encode_words, WORDS), find, prepare
         self.cut, self.space = (lowered_pieces, "") if drops_blanks else (pieces, " ")
-        self.pieces = Memory(self._pieces)
+        self.pieces = Memory(self._pieces, PIECES)
 
     def _pieces(self, new: list[str]) -> list[bytes]:
         return self._whole([self.space + p for p in new])
