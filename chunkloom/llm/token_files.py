@@ -21,36 +21,47 @@ from chunkloom.session import scratch_path
 
 #: Data bytes after which a block is closed (one document is never split).
 BLOCK_BYTES = 4 << 20
-#: Bytes of each of the four ids of a control byte, and where each begins.
+#: Bytes of each of the four ids of a control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
-STARTS = np.cumsum(LENGTHS, axis=1) - LENGTHS
-WIDTH = LENGTHS.sum(axis=1)
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of numbers below 2**32. The last control byte counts absent ids as of one byte, without data."""
-    n = len(ranks)
+def _present(sizes: np.ndarray) -> np.ndarray:
+    """Of the places that whole control bytes have, those that hold an id; each document begins a control byte."""
+    places = -(-sizes // 4) * 4
+    return np.arange(places.sum()) - np.repeat(np.cumsum(places) - places, places) < np.repeat(sizes, places)
+
+
+def encode_ranks(ranks: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control bytes and data bytes of each document; ``sizes`` parts the numbers (below 2**32) into documents.
+
+    In a document's last control byte absent ids count as of one byte, and have no data.
+    """
     ranks = ranks.astype("<u4")
-    size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    codes = np.zeros(-(-n // 4) * 4, dtype=np.uint8)
-    codes[:n] = size - 1
+    length = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    present = _present(sizes)
+    codes = np.zeros(len(present), dtype=np.uint8)
+    codes[present] = length - 1
     codes = codes.reshape(-1, 4)
-    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    kept = np.arange(4) < size[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[kept].tobytes()
-
-
-def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The numbers again."""
-    codes = np.frombuffer(control, dtype=np.uint8)
-    raw = np.zeros(len(data) + 4 + 4, dtype=np.uint8)
-    raw[: len(data)] = np.frombuffer(data, dtype=np.uint8)
-    width = WIDTH[codes]
-    begin = ((np.cumsum(width) - width)[:, None] + STARTS[codes]).ravel()[:n]
-    size = LENGTHS[codes].ravel()[:n]
+    control = (codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6).astype(np.uint8).tobytes()
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < length[:, None]].tobytes()
+    ends = np.cumsum(-(-sizes // 4))
+    data_ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])[np.cumsum(sizes)]
+    return _cut(control, ends), _cut(data, data_ends)
+
+
+def _cut(data: bytes, ends: np.ndarray) -> list[bytes]:
+    ends = ends.tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def decode_ranks(control: bytes, data: bytes, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all documents of a block, one after the other."""
+    length = LENGTHS[np.frombuffer(control, dtype=np.uint8)].ravel()[_present(sizes)]
+    begin = np.cumsum(length) - length
+    raw = np.frombuffer(data, dtype=np.uint8)
     out = raw[begin].astype(np.uint32)
     for k in (1, 2, 3):
-        more = np.flatnonzero(size > k)
+        more = np.flatnonzero(length > k)
         if len(more):
             out[more] |= raw[begin[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
@@ -100,14 +111,12 @@ def write_token_files(tokens: DataFrame, path: str, partitions: int | None = Non
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 rows = batch.slice(start, 1000)
-                ids = [np.frombuffer(x or b"", dtype="<u4") for x in rows.column(1).to_pylist()]
-                coded = [encode_ranks(table[x]) for x in ids]
+                packed = [x or b"" for x in rows.column(1).to_pylist()]
+                sizes = np.array([len(x) // 4 for x in packed], dtype=np.int64)
+                control, data = encode_ranks(table[np.frombuffer(b"".join(packed), dtype="<u4")], sizes)
                 keys = rows.column(0).fill_null(-(1 << 63)).to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column(0), pa.array(np.searchsorted(bounds, keys, side="right")), pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary()),
-                    ],
+                    [rows.column(0), pa.array(np.searchsorted(bounds, keys, side="right")), pa.array(sizes), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
                     ["doc_id", "shard", "n_tokens", "control", "data"],
                 )
 
@@ -163,17 +172,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
             for row in range(batch.num_rows):
                 keys, sizes = batch.column("doc_ids")[row].values, batch.column("sizes")[row].values.to_numpy()
                 control, data = batch.column("control")[row].as_py(), batch.column("data")[row].as_py()
-                groups = -(-sizes // 4)
-                # A document's last control byte counts absent ids as one byte each; they have no data.
-                width = WIDTH[np.frombuffer(control, dtype=np.uint8)]
-                ends = np.cumsum(groups)
-                running = np.concatenate([[0], np.cumsum(width)])
-                used = running[ends] - running[ends - groups] - (4 * groups - sizes)
-                data_ends = np.cumsum(used)
-                packed = [
-                    spread.value[decode_ranks(control[ends[i] - groups[i] : ends[i]], data[data_ends[i] - used[i] : data_ends[i]], sizes[i])].astype("<u4").tobytes() if sizes[i] else b""
-                    for i in range(len(sizes))
-                ]
+                ids = spread.value[decode_ranks(control, data, sizes)].astype("<u4").tobytes()
+                packed = _cut(ids, 4 * np.cumsum(sizes))
                 yield pa.RecordBatch.from_arrays(
                     [keys, pa.array(batch.column("at")[row].as_py() + np.cumsum(sizes) - sizes), pa.array(sizes), pa.array(packed, pa.binary())],
                     ["doc_id", "start", "n_tokens", "ids"],

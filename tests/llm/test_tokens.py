@@ -80,11 +80,13 @@ def test_token_files_of_nothing(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=50))
-def test_coded_ranks_round_trip(numbers):
-    control, data = token_files.encode_ranks(np.array(numbers, dtype=np.uint32))
-    assert token_files.decode_ranks(control, data, len(numbers)).tolist() == numbers
-    assert len(control) == -(-len(numbers) // 4) and len(data) == sum(max(1, -(-n.bit_length() // 8)) for n in numbers)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=12), max_size=6))
+def test_coded_ranks_round_trip(texts):
+    sizes, numbers = np.array([len(t) for t in texts], dtype=np.int64), [n for t in texts for n in t]
+    control, data = token_files.encode_ranks(np.array(numbers, dtype=np.uint32), sizes)
+    assert token_files.decode_ranks(b"".join(control), b"".join(data), sizes).tolist() == numbers
+    assert [len(c) for c in control] == [-(-len(t) // 4) for t in texts]
+    assert [len(d) for d in data] == [sum(max(1, -(-n.bit_length() // 8)) for n in t) for t in texts]
 
 
 def test_rank_queue_merges_as_the_library_does():
