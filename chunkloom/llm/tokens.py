@@ -8,6 +8,7 @@ does not remember go to the tokenizer, all in one call.
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -33,11 +34,17 @@ def pieces(text: str) -> list[str]:
     return CUT.split(text) if ODD.search(text) else text.split(" ")
 
 
-def lowered_pieces(text: str) -> list[str]:
+def blank_pieces(text: str) -> list[str]:
     """For tokenizers that drop white space: cut at every space and line end."""
     return ["", *text.replace("\n", " ").split(" ")]
 
 
+def lowered_pieces(text: str) -> list[str]:
+    """The same for tokenizers that lower letters as well: done at once where whole-text and letter-by-letter lowering agree."""
+    plain = text.isascii() or (unicodedata.is_normalized("NFC", text) and "\u03a3" not in text and "\u0130" not in text)
+    return blank_pieces(text.lower() if plain else text)
+
+
 class Memory:
     """What ``make`` returns for keys, asked for many at a time."""
 
@@ -62,9 +69,9 @@ class Memory:
 class Encoder:
     """``encode_words`` turns words (what a splitting pattern finds) into packed 32-bit ids."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], find, prepare=None, drops_blanks: bool = False):
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], find, prepare=None, drops_blanks: Callable[[str], list[str]] | None = None):
         self.words, self.find, self.prepare = Memory(encode_words, WORDS), find, prepare
-        self.cut, self.space = (lowered_pieces, "") if drops_blanks else (pieces, " ")
+        self.cut, self.space = (drops_blanks, "") if drops_blanks else (pieces, " ")
         self.pieces = Memory(self._pieces, PIECES)
 
     def _pieces(self, new: list[str]) -> list[bytes]:
@@ -140,7 +147,7 @@ def library_encoder(path: str) -> Encoder:
                     out += [ids[a:b] for a, b in zip([0, *ends], ends)]
             return out
 
-        prepare = None
+        prepare = drops = None
         if normalizer is not None:
             simple = re.compile(r"[ -~]*\Z").match
 
@@ -148,6 +155,7 @@ def library_encoder(path: str) -> Encoder:
                 return piece.lower() if simple(piece) and lowers else normalizer.normalize_str(piece)
 
             lowers = normalizer.normalize_str("Ab Z") == "ab z"
-        return Encoder(encode_words, regex.compile(pattern).findall, prepare, drops_blanks=normalizer is not None)
+            drops = lowered_pieces if lowers else blank_pieces
+        return Encoder(encode_words, regex.compile(pattern).findall, prepare, drops)
 
     return in_worker(("tokenizer", path), build)
