@@ -1,12 +1,14 @@
-"""SimHash: signed votes of weighted term hashes, and permuted block tables that find near fingerprints.
+"""SimHash: signed votes of weighted term hashes, and block tables with flipped bits that find near fingerprints.
 
 Terms are pairs of neighbouring words (a single word stands for itself), weighted by 1 + ln(count). Each of 128 bits is the sign of
 the sum of weights, plus where the term's hash has the bit, minus where it has not. Weights are whole
 numbers, so sums do not depend on their order.
 
-Fingerprints within a Hamming radius r agree in at least one of r + 1 blocks. There is a table for each block, keyed by its bits;
-pairs that meet in a table are compared in full. A bucket with many different fingerprints is split again by the blocks
-of its other bits, which is exact by the same argument.
+Of fingerprints within a Hamming radius r, cut into r // 3 + 1 blocks, one block differs in two bits at most: both fingerprints
+reach a common key by at most one flipped bit each. There is a table for each block. It is dealt by the first bits of the keys, so that only
+flips among those send a fingerprint to further groups; the other flips are made inside the task. A pair is
+taken once, at the first of its blocks that is near enough and the smallest of its common keys. A group with many fingerprints is
+met chunk by chunk.
 """
 
 from __future__ import annotations
@@ -22,9 +24,12 @@ from pyspark.sql import DataFrame, functions as F
 from chunkloom.llm.common import mix, shingles, text_slices, word_hashes, words
 
 BITS = 128
-RADIUS = 3
-#: Different fingerprints in a bucket, beyond which it is split by the other blocks.
-FULL_BUCKET = 32
+#: Finds 92 of 100 copies with three changed words in 200 (README); texts that share nothing lie about 64 apart.
+RADIUS = 14
+#: Different fingerprints of a group that one task meets with each other; larger groups are cut into chunks.
+FULL_BUCKET = 50_000
+#: Fingerprints packed into rows at a time, and those in a row at most.
+PACKED, PIECE = 100_000, 4096
 
 
 def fingerprints(column: pa.Array) -> np.ndarray:
@@ -164,48 +169,169 @@ def compared(docs: DataFrame, partitions: int | None = None, id_column: str = "d
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(first, past last) hex digit of each of radius + 1 blocks."""
-    digits, n = BITS // 4, radius + 1
-    return [(digits * i // n, digits * (i + 1) // n) for i in range(n)]
+    """(first, past last) bit of each block; each is a 64-bit number at most."""
+    n = max(2, radius // 3 + 1)
+    return [(BITS * i // n, BITS * (i + 1) // n) for i in range(n)]
 
 
-def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b, distance) of all pairs a < b of different fingerprints within ``radius``; ``prints`` has the column fingerprint.
+def _values(prints: np.ndarray, blocks: list[tuple[int, int]]) -> list[np.ndarray]:
+    """The number that each block's bits stand for; ``prints`` are (n, 2) 64-bit halves."""
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(-1, BITS // 8), axis=1)
+    out = []
+    for a, b in blocks:
+        value = np.zeros(len(bits), dtype=np.uint64)
+        for k in range(a, b):
+            value = value << np.uint64(1) | bits[:, k]
+        out.append(value)
+    return out
 
-    Equal fingerprints count once. Each pair is looked for in every table and given once.
-    """
+
+def _first_bits(n: int, blocks: list[tuple[int, int]]) -> int:
+    """So many first bits of a key that an even spread leaves groups of half a full bucket at most."""
+    p = 1
+    while p < min(16, *(b - a for a, b in blocks)) and 2 * n * (p + 1) > FULL_BUCKET << p:
+        p += 1
+    return p
+
+
+def _dealt(prints: DataFrame, blocks: list[tuple[int, int]], p: int) -> DataFrame:
+    """(group, prints, copies, entries): packed fingerprints of each group of keys, by block and first p bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, copies, n = [], [], 0
+
+        def packed():
+            every, times = np.concatenate(held), np.concatenate(copies)
+            groups, at = [], []
+            for i, (value, (a, b)) in enumerate(zip(_values(every, blocks), blocks)):
+                first = (value >> np.uint64(b - a - p)).astype(np.int64)
+                for flip in (0, *(1 << k for k in range(p))):
+                    groups.append(i << p | (first ^ flip))
+                    at.append(np.arange(len(every)))
+            group, at = np.concatenate(groups), np.concatenate(at)
+            order = np.argsort(group, kind="stable")
+            group, at = group[order], at[order]
+            borders = [*np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist(), len(group)]
+            out = []
+            for begin, end in zip(borders[:-1], borders[1:]):
+                for c in range(begin, end, PIECE):
+                    rows = at[c : min(end, c + PIECE)]
+                    out.append((int(group[begin]), every[rows].tobytes(), times[rows].tobytes(), len(rows)))
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+            for c in range(0, len(out), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out[c : c + 1000]), kinds)], ["group", "prints", "copies", "entries"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint64).reshape(-1, 2))
+            copies.append(batch.column(1).to_numpy().astype("<i8"))
+            n += batch.num_rows
+            if n >= PACKED:
+                yield from packed()
+                held, copies, n = [], [], 0
+        if held:
+            yield from packed()
+
+    return prints.select(F.unhex("fingerprint"), "copies").mapInArrow(run, "group long, prints binary, copies binary, entries long")
+
+
+def _met(group: int, prints: np.ndarray, side: np.ndarray, blocks: list[tuple[int, int]], p: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, distance) in stretches, of the pairs within ``radius`` that this group of keys has to give; of two sides only pairs across."""
+    i, head = group >> p, np.uint64(group & (1 << p) - 1)
+    values = _values(prints, blocks)
+    value, low = values[i], np.uint64(blocks[i][1] - blocks[i][0] - p)
+    own = np.flatnonzero(value >> low == head)
+    other = np.flatnonzero(value >> low != head)
+    keys = [value[own], *(value[own] ^ np.uint64(1 << k) for k in range(int(low))), head << low | value[other] & np.uint64((1 << int(low)) - 1)]
+    key, at = np.concatenate(keys), np.concatenate([*[own] * (1 + int(low)), other])
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], at[order]
+    across = side.any() and not side.all()
+    here, step = np.arange(len(key)), 0
+    while True:
+        # Entries that have another one so many steps on under the same key.
+        step += 1
+        here = here[here + step < len(key)]
+        here = here[key[here] == key[here + step]]
+        if not len(here):
+            return
+        a, b = at[here], at[here + step]
+        far = distance(prints[a], prints[b])
+        near = far <= radius
+        if across:
+            near &= side[a] != side[b]
+        a, b, far, at_key = a[near], b[near], far[near], key[here][near]
+        x, y = value[a], value[b]
+        unlike = x ^ y
+        flip = np.where(np.bitwise_count(unlike) == 2, unlike & (~unlike + np.uint64(1)), np.uint64(0))
+        once = np.minimum(x ^ flip, y ^ flip) == at_key
+        for earlier in values[:i]:
+            once &= np.bitwise_count(earlier[a] ^ earlier[b]) > 2
+        if once.any():
+            yield a[once], b[once], far[once]
+
+
+def _tables(prints: DataFrame, radius: int, give, schema: str) -> DataFrame:
+    """``give(prints, copies, stretches of pairs)`` for each group of keys; ``prints`` has fingerprint and copies, each fingerprint once."""
     if not 0 <= radius < BITS // 4:
         raise ValueError("the radius must leave each block four bits at least")
     blocks = _blocks(radius)
-    one = prints.select("fingerprint").where("fingerprint is not null").distinct()
-    keys = F.explode(F.array(*[F.concat(F.lit(f"{i} "), F.substring("fingerprint", a + 1, b - a)) for i, (a, b) in enumerate(blocks)]))
-    tables = one.select("fingerprint", keys.alias("block"))
-    sizes = tables.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = tables.join(sizes, "block")
-    # The other bits of a full bucket, cut into radius + 1 blocks in their turn.
-    number = F.substring_index("block", " ", 1).cast("int")
-    rest = F.element_at(F.array(*[F.concat(F.substring("fingerprint", 1, a), F.substring("fingerprint", b + 1, BITS // 4)) for a, b in blocks]), number + 1)
-    parts = F.array(*[
-        F.concat("block", F.lit(f" {j} "), F.expr(f"substring(rest, cast(floor(length(rest) * {j} / {radius + 1}) as int) + 1, cast(floor(length(rest) * {j + 1} / {radius + 1}) - floor(length(rest) * {j} / {radius + 1}) as int))"))
-        for j in range(radius + 1)
-    ])
-    split = placed.where(F.col("n") > FULL_BUCKET).withColumn("rest", rest).select("fingerprint", F.explode(parts).alias("block"))
-    both = placed.where(F.col("n") <= FULL_BUCKET).select("fingerprint", "block").union(split)
-    left, right = both.withColumnRenamed("fingerprint", "a"), both.withColumnRenamed("fingerprint", "b")
-    pairs = left.join(right, "block").where("a < b")
-    unlike = sum((F.bit_count(_word("a", i).bitwiseXOR(_word("b", i))) for i in range(4)), F.lit(0))
-    return pairs.select("a", "b", unlike.cast("int").alias("distance")).where(F.col("distance") <= radius).distinct()
-
-
-def _word(column: str, i: int):
-    return F.conv(F.substring(column, 8 * i + 1, 8), 16, 10).cast("long")
+    p = _first_bits(prints.count(), blocks)
+    # In order, so that a task that runs again packs the same rows.
+    pieces = _dealt(prints.sortWithinPartitions("fingerprint"), blocks, p)
+    full = pieces.groupBy("group").agg(F.sum("entries").alias("n")).where(F.col("n") > FULL_BUCKET)
+    full = full.select("group", F.ceil(F.col("n") / F.lit(FULL_BUCKET)).cast("int").alias("chunks"))
+    placed = pieces.join(F.broadcast(full), "group", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("prints"), F.col("chunks")).cast("int"))
+    placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    placed = placed.select("group", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "prints", "copies")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = [r for batch in batches for r in batch.to_pylist()]
+        first = records[0]
+        halves = [np.frombuffer(r["prints"], dtype=np.uint64).reshape(-1, 2) for r in records]
+        side = np.repeat([r["chunk"] == first["j"] for r in records], [len(h) for h in halves])
+        if first["i"] < first["j"] and (side.all() or not side.any()):
+            return
+        halves = np.concatenate(halves)
+        copies = np.concatenate([np.frombuffer(r["copies"], dtype="<i8") for r in records])
+        yield from give(halves, copies, _met(first["group"], halves, side, blocks, p, radius))
+
+    return placed.groupBy("group", "i", "j").applyInArrow(run, schema)
+
+
+def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b, distance) of all pairs a < b of different fingerprints within ``radius``; ``prints`` has the column fingerprint.
+
+    Equal fingerprints count once. Each pair is given once.
+    """
+
+    def give(halves, copies, stretches):
+        for a, b, far in stretches:
+            ends = [sorted(pair) for pair in zip(hexed(halves[a]), hexed(halves[b]))]
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in ends]), pa.array([e[1] for e in ends]), pa.array(far, pa.int32())], ["a", "b", "distance"])
+
+    one = prints.select("fingerprint").where("fingerprint is not null").distinct().withColumn("copies", F.lit(1).cast("long"))
+    return _tables(one, radius, give, "a string, b string, distance int")
 
 
 def with_near_counts(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``rows`` (with doc_id and fingerprint) and n_near: how many other rows have a fingerprint within ``radius``."""
-    sizes = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"))
-    pairs = near_pairs(rows, radius)
-    links = pairs.select("a", "b").union(pairs.select("b", "a"))
-    others = links.join(sizes, links["b"] == sizes["fingerprint"]).groupBy("a").agg(F.sum("copies").alias("others"))
+    """``rows`` (with doc_id and fingerprint) and n_near: how many other rows have a fingerprint within ``radius``.
+
+    Pairs are counted where they are found and never become rows.
+    """
+
+    def give(halves, copies, stretches):
+        others = np.zeros(len(halves), dtype=np.int64)
+        for a, b, _ in stretches:
+            np.add.at(others, a, copies[b])
+            np.add.at(others, b, copies[a])
+        has = np.flatnonzero(others)
+        if len(has):
+            yield pa.RecordBatch.from_arrays([pa.array(hexed(halves[has])), pa.array(others[has])], ["a", "others"])
+
+    sizes = rows.where("fingerprint is not null").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"))
+    others = _tables(sizes, radius, give, "a string, others long").groupBy("a").agg(F.sum("others").alias("others"))
     counts = sizes.join(others, sizes["fingerprint"] == others["a"], "left").select("fingerprint", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
     return rows.join(counts, "fingerprint")

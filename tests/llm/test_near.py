@@ -113,6 +113,37 @@ def test_near_counts_count_copies(spark):
     assert {r.doc_id: r.n_near for r in simhash.with_near_counts(rows).collect()} == {1: 2, 2: 2, 3: 2, 4: 0}
 
 
+@pytest.mark.parametrize("full, piece", [(50_000, 4096), (40, 7)])
+def test_near_pairs_of_the_registered_radius_are_exact(spark, monkeypatch, full, piece):
+    monkeypatch.setattr(simhash, "FULL_BUCKET", full)
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    draw = random.Random(4)
+    base = [draw.getrandbits(128) for _ in range(8)]
+    values = base + [b ^ sum(1 << k for k in draw.sample(range(128), draw.randint(1, 16))) for b in base for _ in range(25)]
+    prints = spark.createDataFrame([(i, f"{v:032x}") for i, v in enumerate([*values, *base])], "doc_id long, fingerprint string")
+    want = {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in set(values) for b in set(values) if a < b and (a ^ b).bit_count() <= simhash.RADIUS}
+    got = [(r.a, r.b, r.distance) for r in simhash.near_pairs(prints).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    every = [*values, *base]
+    counts = {r.doc_id: r.n_near for r in simhash.with_near_counts(prints).collect()}
+    assert counts == {i: sum((a ^ b).bit_count() <= simhash.RADIUS for b in every) - 1 for i, a in enumerate(every)}
+
+
+def test_texts_with_few_changed_words_are_near(spark):
+    draw = random.Random(6)
+    texts = []
+    for _ in range(60):
+        words = [f"w{draw.randrange(5000)}" for _ in range(200)]
+        texts.append(" ".join(words))
+        for changed in (1, 2):
+            other = list(words)
+            for k in draw.sample(range(200), changed):
+                other[k] = f"new{draw.randrange(5000)}"
+            texts.append(" ".join(other))
+    got = plain(simhash.with_near_counts(simhash.compared(documents(spark, texts)))).sort_values("doc_id").n_near.to_numpy()
+    assert (got <= 2).all() and (got > 0).mean() > 0.97 and got.mean() > 1.8
+
+
 def test_simhash_query_tells_edits_from_strangers(spark, sf_dir):
     got = plain(queries.op9_simhash(spark, sf_dir))
     got = got[got.n_chars > 200]
