@@ -142,6 +142,30 @@ def test_license_rules(spark, text, labels):
     assert plain(license_scan.scanned(documents(spark, [text]))).labels[0] == labels
 
 
+LICENSE_HEADERS = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"),
+    (" * Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted", "isc"),
+    ("Copyright (c) 2011 The Authors. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without\n# modification, are permitted provided", "bsd"),
+    ("Copyright 2011 A Company. All rights reserved.", "proprietary"),
+    ("https://creativecommons.org/licenses/by-sa/4.0/", "cc-by-sa-4.0"),
+    ("see https://creativecommons.org/publicdomain/zero/1.0/", "cc0"),
+    ("code is GPLv3", "gpl-3"), ("LGPLv2", "lgpl-2"), ("LGPLv2.1+", "lgpl-2.1"),
+    ("// SPDX-License-Identifier: MIT OR Apache-2.0", "apache-2,mit"),
+    ("SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note OR BSD-3-Clause) AND ISC AND MPL-2.0 AND Zlib", "bsd-3-clause,gpl-2,isc,mpl-2,zlib"),
+    ("Apache-2.0", "apache-2"), ("MPL 2.0", "mpl-2"), ("BSD-2-Clause", "bsd-2-clause"),
+    ("the MIT and Apache 2.0 licenses", "apache-2,mit"),
+    ("Licensed under MIT or Apache 2.0", "apache-2,mit"),
+    ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "lgpl-2.1"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("his licenses expired, the domain was creative and hereby he left a clause", ""),
+]
+
+
+def test_license_texts_notices_and_expressions(spark):
+    got = plain(license_scan.scanned(documents(spark, [t for t, _ in LICENSE_HEADERS]))).sort_values("doc_id")
+    assert got.labels.tolist() == [labels for _, labels in LICENSE_HEADERS]
+
+
 def test_hundreds_of_license_rules():
     assert len(license_scan.signature_rules()) > 300
 
