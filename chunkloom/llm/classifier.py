@@ -20,7 +20,7 @@ from chunkloom.llm.common import shingles, text_slices, word_hashes, words
 
 SLOTS = 1 << 18
 #: Labelled documents of each class that the model is fitted on, at most (on average; the draw is by hash).
-SAMPLE = 3000
+SAMPLE = 4000
 #: One fifth of all ids is held out of every fit.
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3

@@ -119,6 +119,10 @@ def base_places(text):
     return len(words), places
 
 
+def test_sample_is_not_lowered_to_save_memory():
+    assert classifier.SAMPLE == 4000 and classifier.training_sample.__defaults__[0] == 4000
+
+
 def test_license_base_is_counted_exactly(spark, sf_dir):
     texts = [*TEXTS, "under the mit license " * 40, "MIT License", "SPDX-License-Identifier: GPL-3.0", *[r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]]
     docs = documents(spark, texts, {"words": F.lit(1), "labels": F.lit(2), "places": F.lit(3)})
