@@ -21,6 +21,8 @@ WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: A-Z lowered; bytes of ASCII that are no letter or digit become a space.
+TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +74,11 @@ def text_slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.nd
             start = end
 
 
+def terms(text: bytes | None) -> list[bytes]:
+    """The runs of ASCII letters, digits and bytes beyond ASCII, A-Z lowered; of null there are none."""
+    return text.translate(TERM_BYTES).split() if text else []
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n - 1) modulo 2**64; short ones are kept by the worker."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chunkloom.llm import byte_bpe, chat, classifier, jaccard, license_scan, packing, quality_rules, simhash, token_files, url_filter
+from chunkloom.llm import byte_bpe, chat, classifier, decontaminate, jaccard, license_scan, packing, quality_rules, simhash, token_files, url_filter
 from chunkloom.llm.common import table
 from chunkloom.session import written
 
@@ -130,3 +130,35 @@ degrees AS (SELECT a AS doc_id, count(*) AS n_links FROM ends GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
 FROM documents JOIN lowest USING (doc_id) LEFT JOIN sizes USING (doc_id) LEFT JOIN degrees USING (doc_id)
 """
+
+
+@query
+def op11_decontaminate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", ids, "contaminated", F.size("spans").cast("long").alias("n_spans"))
+
+
+#: Words of a text in SQL: letters, digits and characters beyond ASCII, A-Z lowered.
+SQL_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWERED}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE["op11_decontaminate"] = f"""
+WITH texts AS (SELECT doc_id, {SQL_TERMS} AS w FROM documents),
+item_words AS (SELECT item_id, {SQL_TERMS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS width, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i : i + 9], ' '))) AS pattern
+    FROM item_words WHERE len(w) > 0
+), widths AS (SELECT DISTINCT width FROM windows),
+starts AS (SELECT doc_id, width, w, unnest(range(1, len(w) - width + 2)) AS i FROM texts, widths),
+places AS (SELECT doc_id, width, i, array_to_string(w[i : i + width - 1], ' ') AS pattern FROM starts),
+hits AS (SELECT doc_id, width, i, item_id FROM places JOIN windows USING (width, pattern)),
+hit_words AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + width)) AS j FROM hits) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id),
+firsts AS (
+    SELECT doc_id, j, max(e) OVER (PARTITION BY doc_id ORDER BY j, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+    FROM (SELECT DISTINCT doc_id, i AS j, i + width AS e FROM hits)
+), spans AS (SELECT doc_id, count(*) AS n FROM firsts WHERE before IS NULL OR j > before GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(t.ids, '')) AS items_sha256,
+    coalesce(h.n, 0) > 0 AS contaminated, coalesce(s.n, 0) AS n_spans
+FROM texts LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items t USING (doc_id) LEFT JOIN spans s USING (doc_id)
+"""
