@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chunkloom.llm import byte_bpe, chat, classifier, decontaminate, jaccard, license_scan, packing, quality_rules, simhash, token_files, url_filter
+from chunkloom.llm import byte_bpe, chat, classifier, decontaminate, jaccard, lexical, license_scan, negatives, packing, quality_rules, simhash, token_files, url_filter
 from chunkloom.llm.common import table
 from chunkloom.session import written
 
@@ -162,3 +162,62 @@ SELECT doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS
     coalesce(h.n, 0) > 0 AS contaminated, coalesce(s.n, 0) AS n_spans
 FROM texts LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items t USING (doc_id) LEFT JOIN spans s USING (doc_id)
 """
+
+
+@query
+def op12_lexical_search(spark, sf_dir):
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op12_lexical_search"] = f"""
+WITH texts AS (SELECT row_number() OVER () AS place, doc_id, {SQL_TERMS} AS w FROM documents),
+said AS (SELECT place, doc_id, len(w)::BIGINT AS n FROM texts WHERE len(w) > 0),
+sums AS (SELECT count(*)::BIGINT AS documents, sum(n)::BIGINT AS total FROM said),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({SQL_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL) GROUP BY ALL),
+counted AS (
+    SELECT place, term, count(*)::BIGINT AS tf FROM (SELECT place, unnest(w) AS term FROM texts)
+    WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight
+    FROM (SELECT term, count(*)::BIGINT AS df FROM counted GROUP BY term), sums
+),
+parts AS (
+    SELECT place, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * documents) // total))) AS part
+    FROM counted JOIN said USING (place) JOIN weights USING (term), sums
+),
+scored AS (
+    SELECT item_id, doc_id, place, sum(times * part)::BIGINT AS score FROM asked JOIN parts USING (term) JOIN said USING (place)
+    WHERE doc_id IS NOT NULL GROUP BY item_id, doc_id, place
+)
+SELECT item_id, rank, doc_id, score FROM (
+    SELECT item_id, doc_id, score, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM scored WHERE score > 0
+) WHERE rank <= 10
+"""
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
+    rows = written(negatives.quantised(table(spark, sf_dir, "embeddings").select("vec_id", label, "embedding")), "quantised")
+    return negatives.mined(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+ORACLE["op13_hard_negatives"] = """
+WITH vectors AS (
+    SELECT row_number() OVER () AS place, vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.place AS anchor, a.vec_id AS anchor_id, r.place, r.vec_id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+    FROM vectors a JOIN vectors r ON a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor, anchor_id, place AS positive, vec_id AS positive_id, score AS positive_score FROM scored WHERE same AND vec_id <> anchor_id
+    QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor, positive ORDER BY score DESC, vec_id))::INTEGER AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s USING (anchor) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
