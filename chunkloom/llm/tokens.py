@@ -27,6 +27,8 @@ PIECES, WORDS, FORGETS = 200_000, 400_000, 20_000_000
 #: Longer pieces are encoded each time.
 LONGEST = 100
 STEP_CHARS = 4_000_000
+#: Letters of the commonest scripts, with a space in front or none, and one mark at most behind them.
+PLAIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+([.,;:!?]?)\\Z")
 
 
 def pieces(text: str) -> list[str]:
@@ -51,12 +53,14 @@ class Memory:
     def __init__(self, make: Callable[[list[str]], list[bytes]], size: int):
         self.make, self.size, self.known, self.misses = make, size, {}, 0
 
-    def of(self, keys: set[str]) -> dict[str, bytes]:
+    def of(self, keys: list[str]) -> list[bytes]:
         known = self.known
-        out = {k: known[k] for k in keys if k in known}
-        new = list(keys.difference(out))
+        out = list(map(known.get, keys))
+        new = list({k for k, found in zip(keys, out) if found is None})
+        if not new:
+            return out
         made = dict(zip(new, self.make(new)))
-        out.update(made)
+        out = [made[k] if found is None else found for k, found in zip(keys, out)]
         self.misses += len(new)
         if self.misses > FORGETS:
             known.clear()
@@ -67,22 +71,42 @@ class Memory:
 
 
 class Encoder:
-    """``encode_words`` turns words (what a splitting pattern finds) into packed 32-bit ids."""
+    """``encode_words`` turns words (what a splitting pattern finds) into packed 32-bit ids.
+
+    Strings in ``marks`` are ids of their own wherever they stand; what lies between them is encoded as a text of its own.
+    """
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], find, prepare=None, drops_blanks: Callable[[str], list[str]] | None = None):
+    def __init__(
+        self, encode_words: Callable[[list[str]], list[bytes]], find, prepare=None, drops_blanks: Callable[[str], list[str]] | None = None,
+        marks: dict[str, int] | None = None,
+    ):
         self.words, self.find, self.prepare = Memory(encode_words, WORDS), find, prepare
         self.cut, self.space = (drops_blanks, "") if drops_blanks else (pieces, " ")
         self.pieces = Memory(self._pieces, PIECES)
+        self.marks = {m: array("I", [i]).tobytes() for m, i in (marks or {}).items()}
+        self.marked = re.compile("(" + "|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))) + ")")
+        # Letters with one mark behind them are nearly all pieces; where the pattern cuts those in two, no pattern is run on them.
+        self.plain = PLAIN.match if find(self.space + "Ab.") == [self.space + "Ab", "."] and find(self.space + "Ab") == [self.space + "Ab"] else None
 
     def _pieces(self, new: list[str]) -> list[bytes]:
-        return self._whole([self.space + p for p in new])
+        return self._whole([self.space + p for p in new] if self.space else new)
+
+    def _found(self, text: str) -> list[str]:
+        if self.plain and (m := self.plain(text)):
+            return [text[:-1], text[-1]] if m[1] else [text]
+        return self.find(text)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         if self.prepare is not None:
             texts = [self.prepare(t) for t in texts]
-        found = [self.find(t) for t in texts]
-        ids = self.words.of(set(chain.from_iterable(found)))
-        return [ids[f[0]] if len(f) == 1 else b"".join([ids[w] for w in f]) for f in found]
+        found = [self._found(t) for t in texts]
+        ids = self.words.of(list(chain.from_iterable(found)))
+        out, at = [], 0
+        for f in found:
+            n = len(f)
+            out.append(ids[at] if n == 1 else b"".join(ids[at : at + n]))
+            at += n
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         start = 0
@@ -91,13 +115,20 @@ class Encoder:
             while end < len(texts) and chars < STEP_CHARS:
                 chars += len(texts[end])
                 end += 1
-            cut = [self.cut(t) for t in texts[start:end]]
+            step = texts[start:end]
+            odd = {i for i, t in enumerate(step) if any(m in t for m in self.marks)} if self.marks else ()
+            cut = [self.cut("" if i in odd else t) for i, t in enumerate(step)]
             heads = self._whole([c[0] for c in cut])
             for c in cut:
                 del c[0]
-            ids = self.pieces.of(set(chain.from_iterable(cut)))
-            for head, rest in zip(heads, cut):
-                yield head + b"".join([ids[p] for p in rest])
+            ids, at = self.pieces.of(list(chain.from_iterable(cut))), 0
+            for i, (head, rest) in enumerate(zip(heads, cut)):
+                if i in odd:
+                    parts = self.marked.split(step[i])
+                    yield b"".join(self.marks[p] if j % 2 else next(self.encode([p])) for j, p in enumerate(parts))
+                else:
+                    yield head + b"".join(ids[at : at + len(rest)])
+                at += len(rest)
             start = end
 
 
@@ -108,10 +139,12 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def library_encoder(path: str) -> Encoder:
-    """For a file of the tokenizers library whose splitting is one pattern; special tokens inside texts are ordinary text.
+def library_encoder(path: str, special: bool = True) -> Encoder:
+    """For a file of the tokenizers library whose splitting is one pattern.
 
-    The file's splitting pattern is applied here, its normalizer and its merges by the library.
+    The file's splitting pattern is applied here, its normalizer and its merges by the library. Strings of its special tokens
+    inside texts get those ids, as the library's plain call gives them; without ``special`` they are ordinary text
+    (the library's ``encode_special_tokens``), which keeps texts from putting in control ids.
     """
 
     def build():
@@ -125,7 +158,10 @@ def library_encoder(path: str) -> Encoder:
 
         tokenizer = Tokenizer.from_file(path)
         normalizer = tokenizer.normalizer
-        said = json.load(open(path, encoding="utf-8"))["pre_tokenizer"]
+        file = json.load(open(path, encoding="utf-8"))
+        said, added = file["pre_tokenizer"], file["added_tokens"]
+        if any(not t["special"] or t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError(f"{path} has added tokens of other kinds than plain special ones")
         steps = said.get("pretokenizers", [said])
         if [s["type"] for s in steps] == ["ByteLevel"] and not steps[0]["add_prefix_space"]:
             pattern = public_tokenizers.PATTERN
@@ -136,14 +172,24 @@ def library_encoder(path: str) -> Encoder:
         merges = Tokenizer(tokenizer.model)  # the bare merges, for words that are split and spelled in byte letters already
         letters = byte_letters()
 
+        suffix = file["model"].get("end_of_word_suffix") or ""
+        width = np.zeros(tokenizer.get_vocab_size(), dtype=np.int64)  # byte letters of each token
+        for token, number in file["model"]["vocab"].items():
+            width[number] = len(token) - (len(suffix) if suffix and token.endswith(suffix) else 0)
+
         def encode_words(words: list[str]) -> list[bytes]:
             out = []
             for i in range(0, len(words), 20_000):
                 spelled = [w.encode().decode("latin-1").translate(letters) for w in words[i : i + 20_000]]
                 if spelled:
-                    found = merges.encode_batch([spelled], is_pretokenized=True, add_special_tokens=False)[0]
-                    ids, counts = array("I", found.ids).tobytes(), np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(spelled))
-                    ends = (4 * np.cumsum(counts)).tolist()
+                    ids = merges.encode_batch_fast([spelled], is_pretokenized=True, add_special_tokens=False)[0].ids
+                    # Every letter is in one token: where the letters of a word end, its tokens do.
+                    held = np.cumsum(width[ids])
+                    sizes = np.cumsum([len(w) for w in spelled])
+                    if not len(held) or held[-1] != sizes[-1]:
+                        raise ValueError(f"{path} leaves out letters")
+                    ends = (4 * (np.searchsorted(held, sizes) + 1)).tolist()
+                    ids = array("I", ids).tobytes()
                     out += [ids[a:b] for a, b in zip([0, *ends], ends)]
             return out
 
@@ -156,6 +202,7 @@ def library_encoder(path: str) -> Encoder:
 
             lowers = normalizer.normalize_str("Ab Z") == "ab z"
             drops = lowered_pieces if lowers else blank_pieces
-        return Encoder(encode_words, regex.compile(pattern).findall, prepare, drops)
+        marks = {t["content"]: t["id"] for t in added} if special else None
+        return Encoder(encode_words, regex.compile(pattern).findall, prepare, drops, marks)
 
-    return in_worker(("tokenizer", path), build)
+    return in_worker(("tokenizer", path, special), build)

@@ -21,7 +21,6 @@ PACK, FILES, RANKS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "
 
 def library_ids(path, texts, end):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return [e.ids + [end] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
