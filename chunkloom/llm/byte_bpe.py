@@ -3,7 +3,8 @@
 Each merge rank has a bucket of places (first bytes of the left parts). A bitmap of three levels of 64-bit words says
 which buckets hold something, so the smallest rank is found with three find-first-set steps, however long the pre-token is.
 Parts form a linked list. An entry whose pair has changed meanwhile is stale and skipped when it comes up.
-The smallest rank goes first, and of equal ranks the leftmost.
+The smallest rank goes first, and of equal ranks the leftmost. Many short pre-tokens lie in one list with stops between them, so that
+one step through the bitmap serves them all.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from heapq import heappop, heappush
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -28,16 +30,16 @@ class RankQueue:
         self.low, self.middle, self.top = [0] * words, [0] * ((words >> 6) + 1), 0
         self.buckets: dict[int, list[int]] = {}
 
-    def add(self, rank: int, place: int) -> None:
+    def add(self, rank: int, places: list[int]) -> None:
         bucket = self.buckets.get(rank)
         if bucket is None:
-            self.buckets[rank] = [place]
+            self.buckets[rank] = places
             word = rank >> 6
             self.low[word] |= 1 << (rank & 63)
             self.middle[word >> 6] |= 1 << (word & 63)
             self.top |= 1 << (word >> 6)
         else:
-            heappush(bucket, place)
+            bucket += places
 
     def first(self) -> int:
         """The smallest rank that has places; -1 if there is none."""
@@ -49,18 +51,21 @@ class RankQueue:
         bits = self.low[word]
         return word << 6 | (bits & -bits).bit_length() - 1
 
-    def take(self, rank: int) -> int:
-        bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            word = rank >> 6
-            self.low[word] &= ~(1 << (rank & 63))
-            if not self.low[word]:
-                self.middle[word >> 6] &= ~(1 << (word & 63))
-                if not self.middle[word >> 6]:
-                    self.top &= ~(1 << (word >> 6))
-        return place
+    def take(self, rank: int) -> list[int]:
+        """All places of a rank, from the left."""
+        word = rank >> 6
+        self.low[word] &= ~(1 << (rank & 63))
+        if not self.low[word]:
+            self.middle[word >> 6] &= ~(1 << (word & 63))
+            if not self.middle[word >> 6]:
+                self.top &= ~(1 << (word >> 6))
+        places = self.buckets.pop(rank)
+        places.sort()
+        return places
+
+
+#: Bytes of pre-tokens in one linked list; a longer pre-token has one of its own.
+LIST_BYTES = 100_000
 
 
 class BytePairs:
@@ -69,48 +74,85 @@ class BytePairs:
             raise ValueError("the rank file lacks single bytes")
         self.ranks, self.queue = ranks, RankQueue(max(ranks.values()) + 1)
         self.token = {rank: token for token, rank in ranks.items()}
+        self.single = np.array([ranks[bytes([b])] for b in range(256)])
+        self.double = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
 
     def encode(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks, n = self.ranks, len(word)
-        if (whole := ranks.get(word)) is not None:
-            return [whole]
-        if n < 2:
-            return [ranks[word[i : i + 1]] for i in range(n)]
-        queue, get = self.queue, ranks.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # where the next part begins, where the one before does
-        waiting = [-1] * n  # the rank under which a place waits for its merge with the next part
-        for i in range(n - 1):
-            if (rank := get(word[i : i + 2])) is not None:
-                waiting[i] = rank
-                queue.add(rank, i)
+        return self.encode_all([word])[0]
+
+    def encode_all(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each pre-token."""
+        out: list[list[int] | None] = []
+        waiting, size = [], 0
+        for i, word in enumerate(words):
+            whole = self.ranks.get(word)
+            out.append([whole] if whole is not None else [])
+            if whole is None and word:
+                if waiting and size + len(word) > LIST_BYTES:
+                    self._merge(words, waiting, out)
+                    waiting, size = [], 0
+                waiting.append(i)
+                size += len(word)
+        if waiting:
+            self._merge(words, waiting, out)
+        return out
+
+    def _merge(self, words: list[bytes], numbers: list[int], out: list) -> None:
+        data = b"".join([words[i] for i in numbers])
+        ends = list(accumulate(len(words[i]) for i in numbers))
+        n = ends[-1]
+        stop = bytearray(n + 1)  # where no part of the same pre-token begins
+        for e in ends:
+            stop[e] = 1
+        letters = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+        part = self.single[letters].tolist()  # the token that begins at a place
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # where a part ends, where the one before begins
+        before[0] = -1
+        for e in ends[:-1]:
+            before[e] = -1
+        pairs = np.full(n, -1)
+        pairs[:-1] = self.double[letters[:-1] << 8 | letters[1:]]
+        pairs[np.array(ends) - 1] = -1
+        queue, get = self.queue, self.ranks.get
+        order = np.argsort(pairs, kind="stable")
+        order = order[np.searchsorted(pairs[order], 0) :]
+        for places in np.split(order, np.flatnonzero(np.diff(pairs[order])) + 1) if len(order) else ():
+            queue.add(int(pairs[places[0]]), places.tolist())
+        waiting = pairs.tolist()  # the rank under which a place waits for its merge with the next part
         while (rank := queue.first()) >= 0:
-            i = queue.take(rank)
-            if waiting[i] != rank:
-                continue
-            j = after[i]
-            k = after[i] = after[j]
-            waiting[j] = -1
-            if k < n:
-                before[k] = i
-                found = get(word[i : after[k]])
-                waiting[i] = -1 if found is None else found
-                if found is not None:
-                    queue.add(found, i)
-            else:
-                waiting[i] = -1
-            if (h := before[i]) >= 0:
-                found = get(word[h:k])
-                if found is None:
-                    waiting[h] = -1
-                elif waiting[h] != found:
-                    waiting[h] = found
-                    queue.add(found, h)
-        ids, i = [], 0
-        while i < n:
-            ids.append(ranks[word[i : after[i]]])
-            i = after[i]
-        return ids
+            places = queue.take(rank)
+            for at, i in enumerate(places):
+                if waiting[i] != rank:
+                    continue
+                j = end[i]
+                k = end[i] = end[j]
+                part[i], waiting[j], lower = rank, -1, False
+                found = -1
+                if not stop[k]:
+                    before[k] = i
+                    found = get(data[i : end[k]], -1)
+                    if found >= 0:
+                        queue.add(found, [i])
+                        lower = found <= rank
+                waiting[i] = found
+                if (h := before[i]) >= 0:
+                    found = get(data[h:k], -1)
+                    if waiting[h] != found:
+                        waiting[h] = found
+                        if found >= 0:
+                            queue.add(found, [h])
+                            lower = lower or found <= rank
+                if lower:  # what is new goes first
+                    if at + 1 < len(places):
+                        queue.add(rank, places[at + 1 :])
+                    break
+        start = 0
+        for number, e in zip(numbers, ends):
+            ids = out[number]
+            while start < e:
+                ids.append(part[start])
+                start = end[start]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -133,7 +175,7 @@ def encoder(path: str, pattern: str) -> Encoder:
         import regex
 
         pairs = byte_pairs(path)
-        return Encoder(lambda words: [array("I", pairs.encode(w.encode())).tobytes() for w in words], regex.compile(pattern).findall)
+        return Encoder(lambda words: [array("I", ids).tobytes() for ids in pairs.encode_all([w.encode() for w in words])], regex.compile(pattern).findall)
 
     return in_worker(("byte pairs", path, pattern), build)
 
