@@ -14,9 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 SLICE_BYTES = 1 << 19
 #: Texts that are copied out of an Arrow batch at a time.
 SLICE_ROWS = 1000
-#: Odd multipliers of the rolling hash over bytes and of its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+#: An odd multiplier that tells places apart in hashes.
+PLACE = np.uint64(0x9E3779B97F4A7C15)
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -80,16 +79,10 @@ def terms(text: bytes | None) -> list[bytes]:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) modulo 2**64; short ones are kept by the worker."""
-
-    def build(size):
-        out = np.full(size, base & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    if n > 2 * SLICE_BYTES:
-        return build(n)
-    return in_worker(("powers", base), lambda: build(2 * SLICE_BYTES))[:n]
+    """base**0 .. base**(n - 1) modulo 2**64."""
+    out = np.full(n, base & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -120,10 +113,22 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, from running sums over the bytes: no loop over words or bytes."""
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(BASE_INVERSE, len(data) + 1)[starts])
+    """64-bit hash of each word (one byte at least): the sum over its stretches of eight bytes, each mixed with its place first.
+
+    A plain polynomial modulo 2**64 over the bytes would give words built like a Thue-Morse sequence the same hash.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    size = ends - starts
+    count = (size + 7) >> 3
+    begins = np.cumsum(count) - count
+    place = np.arange(begins[-1] + count[-1]) - np.repeat(begins, count)
+    rest = np.minimum(np.repeat(size, count) - 8 * place, 8).astype(np.uint64)
+    letters = eight[np.repeat(starts, count) + 8 * place].astype(np.uint64) & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - (rest << np.uint64(3))))
+    mixed = mix(mix(letters + np.uint64(1)) + place.astype(np.uint64) * PLACE)
+    return mix(np.add.reduceat(mixed, begins) + size.astype(np.uint64) * PLACE)
 
 
 def shingles(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

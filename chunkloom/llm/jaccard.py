@@ -37,6 +37,10 @@ ROW_BLOCK, COLUMN_BLOCK = 1_000_000, 1_000_000
 #: Entries of the first columns up to which a column gives pairs; beyond, its rows are multiplied in chunks.
 SPARSE_COLUMN = 64
 CHUNK = 256
+#: A column with so many rows in one row block is one weighted entry of that block on its way to the column's count; its rows stay with the block.
+DENSE = 32
+#: Entries of a chunk, on average at most.
+CHUNK_ENTRIES = 500_000
 #: Entries of a chunk that are multiplied at a time.
 PRODUCT_ENTRIES = 400_000
 LOW_40 = np.uint64((1 << 40) - 1)
@@ -89,8 +93,30 @@ def _from_five_bytes(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-BLOCKS = "block long, bucket int, rows binary, columns binary, ids binary, sizes binary, signs binary"
-NAMES = ["block", "bucket", "rows", "columns", "ids", "sizes", "signs"]
+#: Row numbers from here on stand for a block's dense columns.
+MARK = 1 << 31
+BLOCKS = "block long, bucket int, rows binary, columns binary, weights binary, ids binary, sizes binary, signs binary, dense binary"
+NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
+
+
+def _dense_apart(row: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """(rows, grams, weights of the dense columns, packed rows of the dense columns) of a block's entries, marks of dense columns last."""
+    order = np.argsort(gram, kind="stable")
+    row, gram = row[order], gram[order]
+    begins = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, dtype=np.int64)
+    counts = np.diff(np.append(begins, len(gram)))
+    dense = np.flatnonzero(counts >= DENSE)
+    apart = np.repeat(counts >= DENSE, counts)
+    marks = (MARK + np.arange(len(dense))).astype(np.uint32)
+    packed = np.concatenate([[len(dense)], counts[dense], row[apart]]).astype("<u4").tobytes()
+    return np.concatenate([row[~apart], marks]), np.concatenate([gram[~apart], gram[begins[dense]]]), counts[dense], packed
+
+
+def _dense_rows(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Borders of the dense columns of a block, and their rows."""
+    numbers = np.frombuffer(packed, dtype="<u4")
+    n = int(numbers[0])
+    return np.concatenate([[0], np.cumsum(numbers[1 : n + 1], dtype=np.int64)]), numbers[n + 1 :]
 
 
 def _matrix(docs: DataFrame, buckets: int, n: int) -> DataFrame:
@@ -113,7 +139,7 @@ def _matrix(docs: DataFrame, buckets: int, n: int) -> DataFrame:
             signs = np.stack(signs, axis=1)
             _, firsts, which = np.unique(np.column_stack([signs, sizes.astype(np.uint64)]), axis=0, return_index=True, return_inverse=True)
             stays = (firsts[which.ravel()] == np.arange(len(every)))[row]
-            row, gram = row[stays].astype(np.uint32), gram[stays]
+            row, gram, weight, dense = _dense_apart(row[stays].astype(np.uint32), gram[stays])
             bucket = (gram % np.uint64(buckets)).astype(np.int64)
             column = gram // np.uint64(buckets) & LOW_40
             order = np.argsort(bucket, kind="stable")
@@ -121,12 +147,12 @@ def _matrix(docs: DataFrame, buckets: int, n: int) -> DataFrame:
             borders = np.searchsorted(bucket[order], np.arange(buckets + 1))
             block = part << 24 | number
             empty = b""
-            out = [(block, block % buckets, empty, empty, every.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), signs.astype("<u8").tobytes())]
-            out += [
-                (block, b, row[borders[b] : borders[b + 1]].astype("<u4").tobytes(), _five_bytes(column[borders[b] : borders[b + 1]]), empty, empty, empty)
-                for b in np.flatnonzero(np.diff(borders)).tolist()
-            ]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int64(), pa.int32(), *[pa.binary()] * 5])], NAMES)
+            out = [(block, block % buckets, empty, empty, empty, every.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), signs.astype("<u8").tobytes(), dense)]
+            for b in np.flatnonzero(np.diff(borders)).tolist():
+                own = row[borders[b] : borders[b + 1]]
+                weights = weight[own[own >= MARK] - MARK].astype("<u4").tobytes()
+                out.append((block, b, own.astype("<u4").tobytes(), _five_bytes(column[borders[b] : borders[b + 1]]), weights, empty, empty, empty, empty))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int64(), pa.int32(), *[pa.binary()] * 7])], NAMES)
 
         for batch in batches:
             keys = batch.column(0).to_numpy()
@@ -144,10 +170,13 @@ def _matrix(docs: DataFrame, buckets: int, n: int) -> DataFrame:
 
 
 def _shared_columns(matrix: DataFrame) -> DataFrame:
-    """By column block: the entries of columns with two or more, sent back to their row blocks with the column's number and count."""
+    """By column block: the entries of columns with two or more, sent back to their row blocks with the column's number and count.
+
+    A column that many documents share has one entry here for each row block, not for each document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, rows, columns, bucket = [], [], [], 0
+        blocks, rows, columns, weights, bucket = [], [], [], [], 0
         for batch in batches:
             for record in batch.to_pylist():
                 if record["ids"]:
@@ -157,6 +186,8 @@ def _shared_columns(matrix: DataFrame) -> DataFrame:
                     blocks.append(record["block"])
                     rows.append(np.frombuffer(record["rows"], dtype="<u4"))
                     columns.append(_from_five_bytes(record["columns"]))
+                    weights.append(np.ones(len(rows[-1]), dtype=np.int64))
+                    weights[-1][rows[-1] >= MARK] = np.frombuffer(record["weights"], dtype="<u4")
         if not blocks:
             return
         source = np.repeat(np.arange(len(blocks)), [len(r) for r in rows])
@@ -164,8 +195,7 @@ def _shared_columns(matrix: DataFrame) -> DataFrame:
         order = np.argsort(column, kind="stable")
         column = column[order]
         begins = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
-        counts = np.diff(np.append(begins, len(column)))
-        count = np.repeat(counts, counts)
+        count = np.repeat(np.add.reduceat(np.concatenate(weights)[order], begins), np.diff(np.append(begins, len(column))))
         shared = count > 1
         order, column, count = order[shared], column[shared], count[shared]
         source, row = source[order], row[order]
@@ -175,8 +205,9 @@ def _shared_columns(matrix: DataFrame) -> DataFrame:
         for i, block in enumerate(blocks):
             at = order[borders[i] : borders[i + 1]]
             if len(at):
-                values = [block, bucket, row[at].astype("<u4").tobytes(), column[at].astype("<u8").tobytes(), b"", b"", b"", np.minimum(count[at], 0xFFFFFFFF).astype("<u4").tobytes()]
-                kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 6]
+                counts = np.minimum(count[at], 0xFFFFFFFF).astype("<u4").tobytes()
+                values = [block, bucket, row[at].astype("<u4").tobytes(), column[at].astype("<u8").tobytes(), b"", b"", b"", b"", b"", counts]
+                kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 8]
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [*NAMES, "counts"])
 
     return matrix.groupBy("bucket").applyInArrow(run, f"{BLOCKS}, counts binary")
@@ -190,12 +221,12 @@ def _rows(shared: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, columns, counts = [], [], []
-        ids = sizes = signs = None
+        ids = sizes = signs = dense = None
         for batch in batches:
             for record in batch.to_pylist():
                 if record["ids"]:
                     ids, sizes = np.frombuffer(record["ids"], dtype="<i8"), np.frombuffer(record["sizes"], dtype="<u4").astype(np.int64)
-                    signs = np.frombuffer(record["signs"], dtype="<u8").reshape(-1, 2)
+                    signs, dense = np.frombuffer(record["signs"], dtype="<u8").reshape(-1, 2), record["dense"]
                 if record["rows"]:
                     rows.append(np.frombuffer(record["rows"], dtype="<u4"))
                     columns.append(np.frombuffer(record["columns"], dtype="<u8"))
@@ -203,6 +234,12 @@ def _rows(shared: DataFrame, percent: int) -> DataFrame:
         packed: list[bytes | None] = [None] * len(ids)
         if rows:
             row, column, count = np.concatenate(rows), np.concatenate(columns), np.concatenate(counts)
+            marked = row >= MARK
+            borders, members = _dense_rows(dense)
+            which = row[marked] - MARK
+            times = borders[which + 1] - borders[which]
+            at = np.repeat(borders[which] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            row, column, count = (np.concatenate([x[~marked], y]) for x, y in ((row, members[at]), (column, np.repeat(column[marked], times)), (count, np.repeat(count[marked], times))))
             order = np.lexsort((column, count, row))
             row, column = row[order], column[order]
             borders = np.searchsorted(row, np.arange(len(ids) + 1))
@@ -322,9 +359,10 @@ def _chunk_products(rows: DataFrame, groups: DataFrame, percent: int) -> DataFra
 
     ``links`` is 0 in pairs that connect, and the number of documents that a is linked to in rows where b is a.
     """
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    chunks = F.ceil(F.col("members") / F.lit(CHUNK)).cast("int")
-    member = rows.join(groups, rows["id"] == groups["node"]).join(sizes, "component")
+    member = rows.join(groups, rows["id"] == groups["node"])
+    sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("entries"))
+    chunks = F.greatest(F.ceil(F.col("members") / F.lit(CHUNK)), F.ceil(F.col("entries") / F.lit(CHUNK_ENTRIES))).cast("int")
+    member = member.join(sizes, "component")
     member = member.select("component", "id", "n", "copies", "columns", chunks.alias("chunks"), F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"))
     dealt = member.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     dealt = dealt.select("component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "n", "copies", "columns")

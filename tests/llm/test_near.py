@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chunkloom.llm import chat, components, jaccard, queries, simhash
+from chunkloom.llm import chat, components, jaccard, quality_rules, queries, simhash
 from compare import compare
 from llm.helpers import SENTENCE, TEXTS, documents, jaccard_brute, plain
 
@@ -37,6 +37,34 @@ def test_jaccard_classes_and_links(spark, monkeypatch, sparse, chunk, block):
     assert got == jaccard_brute(list(enumerate(texts)))
 
 
+def test_a_column_of_all_documents_is_one_entry_of_a_row_block(spark, monkeypatch):
+    """One n-gram in all documents: its column block gets an entry for each row block, however many rows that has."""
+    for name, value in (("ROW_BLOCK", 3000), ("COLUMN_BLOCK", 500)):
+        monkeypatch.setattr(jaccard, name, value)
+    draw = random.Random(8)
+    texts = ["all of them share this " + " ".join(f"x{draw.randrange(10**6)}" for _ in range(20)) for _ in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    matrix = jaccard._matrix(docs, 100, 5)
+    entries = [len(r.rows) // 4 for r in matrix.where("octet_length(rows) > 0").collect()]
+    blocks = matrix.where("octet_length(ids) > 0").count()
+    assert sum(entries) == 2000 * 20 + blocks and blocks < 40
+    per_bucket = matrix.groupBy("bucket").agg(F.sum(F.octet_length("rows") / 4).alias("n")).collect()
+    assert max(r.n for r in per_bucket) < 600
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.joined(docs).collect()}
+    assert got == {i: (21, i, 0) for i in range(2000)}
+
+
+def test_words_built_to_collide_stay_apart(spark):
+    """A Thue-Morse word and its complement: polynomials modulo a power of two cannot tell them apart."""
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    pair = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    longer = ["".join(("abcdefgh", "hgfedcba")[b] for b in bits), "".join(("hgfedcba", "abcdefgh")[b] for b in bits)]
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.joined(documents(spark, pair + longer)).collect()}
+    assert got == {i: (i, 0) for i in range(4)}
+    for x, y in (pair, longer):
+        assert quality_rules.measure(pa.array([f"{x}\n{y}\n{x}"]))["n_dup_lines"].tolist() == [1]
+
+
 def test_jaccard_of_awkward_tables(spark):
     docs = documents(spark)
     assert jaccard.joined(docs.limit(0)).count() == 0
