@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chunkloom import constants as K
 from chunkloom.functions import text as T
 from chunkloom.functions.vectors import l2_normalize
-from chunkloom.operators import context as X, embedding as M, evaluation as V, prompts as P, retrieval as S
+from chunkloom.operators import context as X, corpus_search as C, embedding as M, evaluation as V, prompts as P, retrieval as S
 from chunkloom.operators.chunks import index_row_id
 from chunkloom.plans import adapters as A, oracle as O
 from chunkloom.plans.catalog import query
@@ -48,6 +48,17 @@ def score_query_vs_chunks(spark, sf):
     return S.score_query_vs_chunks(A.queries(spark, sf), A.vectors(spark, sf))
 
 
+@query(O.using("vectors", body="""SELECT query_id, doc_id, chunk_id, score, rank FROM (SELECT *,
+    (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INTEGER AS rank
+  FROM (SELECT q.chunk_id AS query_id, v.doc_id, v.chunk_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+    FROM vectors q JOIN vectors v ON q.chunk_id % 50 = 0)) WHERE rank <= 10"""))
+def score_query_vs_corpus(spark, sf):
+    """Every fiftieth vector asks the whole corpus."""
+    v = A.vectors(spark, sf)
+    asked = v.where(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("query_id"), "embedding")
+    return C.search_corpus(asked, C.build_index(v), 10)[0].select("query_id", "doc_id", "chunk_id", "score", "rank")
+
+
 @query("""SELECT q AS k, greatest(1, CASE WHEN q = 0 THEN 1 ELSE q END) AS at_least_one, least(20, greatest(1, CASE WHEN q = 0 THEN 1 ELSE q END)) AS ui,
     count(*) AS requests FROM (SELECT (l_quantity - 10)::INTEGER AS q FROM lineitem) GROUP BY q""")
 def validate_topk(spark, sf):
