@@ -103,13 +103,20 @@ def _dense_apart(row: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndar
     """(rows, grams, weights of the dense columns, packed rows of the dense columns) of a block's entries, marks of dense columns last."""
     order = np.argsort(gram, kind="stable")
     row, gram = row[order], gram[order]
-    begins = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, dtype=np.int64)
-    counts = np.diff(np.append(begins, len(gram)))
-    dense = np.flatnonzero(counts >= DENSE)
-    apart = np.repeat(counts >= DENSE, counts)
-    marks = (MARK + np.arange(len(dense))).astype(np.uint32)
-    packed = np.concatenate([[len(dense)], counts[dense], row[apart]]).astype("<u4").tobytes()
-    return np.concatenate([row[~apart], marks]), np.concatenate([gram[~apart], gram[begins[dense]]]), counts[dense], packed
+    del order
+    # In sorted order a dense column is where a hash comes back DENSE - 1 places on.
+    begins = np.flatnonzero(gram[: len(gram) - DENSE + 1] == gram[DENSE - 1 :]) if len(gram) >= DENSE else np.zeros(0, dtype=np.int64)
+    if not len(begins):
+        return row, gram, begins, np.zeros(1, dtype="<u4").tobytes()
+    columns = np.unique(gram[begins])
+    begins, ends = np.searchsorted(gram, columns), np.searchsorted(gram, columns, side="right")
+    edge = np.zeros(len(gram) + 1, dtype=np.int8)
+    edge[begins] += 1
+    edge[ends] -= 1
+    apart = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    packed = np.concatenate([[len(columns)], ends - begins, row[apart]]).astype("<u4").tobytes()
+    marks = (MARK + np.arange(len(columns))).astype(np.uint32)
+    return np.concatenate([row[~apart], marks]), np.concatenate([gram[~apart], columns]), ends - begins, packed
 
 
 def _dense_rows(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +136,7 @@ def _matrix(docs: DataFrame, buckets: int, n: int) -> DataFrame:
         def closed():
             row = np.concatenate([r + b for b, (r, _) in zip(np.cumsum([0, *[len(i) for i in ids[:-1]]]), held)]) if held else np.zeros(0, dtype=np.int64)
             gram = np.concatenate([g for _, g in held])
+            held.clear()
             every = np.concatenate(ids)
             sizes = np.bincount(row, minlength=len(every))
             ends = np.cumsum(sizes)
@@ -145,6 +153,7 @@ def _matrix(docs: DataFrame, buckets: int, n: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             row, column = row[order], column[order]
             borders = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            del gram, bucket, order
             block = part << 24 | number
             empty = b""
             out = [(block, block % buckets, empty, empty, empty, every.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), signs.astype("<u8").tobytes(), dense)]
@@ -186,16 +195,17 @@ def _shared_columns(matrix: DataFrame) -> DataFrame:
                     blocks.append(record["block"])
                     rows.append(np.frombuffer(record["rows"], dtype="<u4"))
                     columns.append(_from_five_bytes(record["columns"]))
-                    weights.append(np.ones(len(rows[-1]), dtype=np.int64))
+                    weights.append(np.ones(len(rows[-1]), dtype=np.uint32))
                     weights[-1][rows[-1] >= MARK] = np.frombuffer(record["weights"], dtype="<u4")
         if not blocks:
             return
-        source = np.repeat(np.arange(len(blocks)), [len(r) for r in rows])
+        source = np.repeat(np.arange(len(blocks), dtype=np.int32), [len(r) for r in rows])
         row, column = np.concatenate(rows), np.concatenate(columns)
+        rows.clear(), columns.clear()
         order = np.argsort(column, kind="stable")
         column = column[order]
         begins = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
-        count = np.repeat(np.add.reduceat(np.concatenate(weights)[order], begins), np.diff(np.append(begins, len(column))))
+        count = np.repeat(np.add.reduceat(np.concatenate(weights)[order], begins, dtype=np.int64), np.diff(np.append(begins, len(column))))
         shared = count > 1
         order, column, count = order[shared], column[shared], count[shared]
         source, row = source[order], row[order]
@@ -234,12 +244,14 @@ def _rows(shared: DataFrame, percent: int) -> DataFrame:
         packed: list[bytes | None] = [None] * len(ids)
         if rows:
             row, column, count = np.concatenate(rows), np.concatenate(columns), np.concatenate(counts)
+            rows.clear(), columns.clear(), counts.clear()
             marked = row >= MARK
-            borders, members = _dense_rows(dense)
-            which = row[marked] - MARK
-            times = borders[which + 1] - borders[which]
-            at = np.repeat(borders[which] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-            row, column, count = (np.concatenate([x[~marked], y]) for x, y in ((row, members[at]), (column, np.repeat(column[marked], times)), (count, np.repeat(count[marked], times))))
+            if marked.any():
+                borders, members = _dense_rows(dense)
+                which = row[marked] - MARK
+                times = borders[which + 1] - borders[which]
+                at = np.repeat(borders[which] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                row, column, count = (np.concatenate([x[~marked], y]) for x, y in ((row, members[at]), (column, np.repeat(column[marked], times)), (count, np.repeat(count[marked], times))))
             order = np.lexsort((column, count, row))
             row, column = row[order], column[order]
             borders = np.searchsorted(row, np.arange(len(ids) + 1))
