@@ -70,3 +70,42 @@ def test_a_hot_key_inside_one_window_is_many_blocks(spark, monkeypatch):
     got = L.fixed_window_limit(frame(spark, rows), "key", "ts", "request_id", 86_400, 3, hot_rows=1000).collect()
     assert {r.request_id: (r["count"], r.allowed) for r in got} == plain(rows, 86_400 * 1_000_000, 3)
     assert len(blocks[0]) >= 15 and max(r["count"] for r in blocks[0]) <= 2000
+
+
+def periodic(n, every, start=0):
+    """Requests at even steps: no two windows that start at different requests ever meet."""
+    return [(i, 0, start + i * every) for i in range(n)]
+
+
+@pytest.mark.parametrize("rows, window, hot", [
+    (periodic(20_000, 5_000), 10, 700),  # 200 requests a second: a window is three blocks
+    (periodic(6_000, 5_000) + [(10_000 + i, 0, 90_000_000 + i * 7_000) for i in range(5_000)], 7, 300),  # with a gap
+    ([(i, 0, (i // 50) * 60_000_000 + i % 50) for i in range(5_000)], 90, 100),  # bursts with empty blocks between
+])
+def test_dense_keys_are_followed_by_jumps(spark, monkeypatch, rows, window, hot):
+    read = []
+    whole = L._visited
+    monkeypatch.setattr(L, "_visited", lambda blocks, *more: (read.append([len(r.entry) for r in blocks.collect()]), whole(blocks, *more))[1])
+    got = L.fixed_window_limit(frame(spark, rows), "key", "ts", "request_id", window, 4, hot_rows=hot).collect()
+    assert {r.request_id: (r["count"], r.allowed) for r in got} == plain(rows, window * 1_000_000, 4)
+    # A task of any step holds a block's jump function and the two blocks that its windows end in.
+    assert len(read[0]) > 10 and max(read[0]) <= 2 * hot
+
+
+def test_a_narrow_key_does_not_narrow_the_others(spark, monkeypatch):
+    rows = periodic(5_000, 1_000) + [(20_000 + i, 1 + i, i * 50_000_000) for i in range(300)]
+    spans = []
+    small = L._small_starts
+    monkeypatch.setattr(L, "_small_starts", lambda times, span, window: (spans.append((span, times.where("_key > 0").groupBy("_key").count().count())), small(times, span, window))[1])
+    got = L.fixed_window_limit(frame(spark, rows), "key", "ts", "request_id", 10, 4, hot_rows=500).collect()
+    assert {r.request_id: (r["count"], r.allowed) for r in got} == plain(rows, 10_000_000, 4)
+    assert spans == [(640_000_000, 300)]
+
+
+def test_jumps_of_random_keys(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        rows = [(i, rng.choice([0, 0, 1]), rng.randrange(0, rng.choice([50, 400]) * 1_000_000)) for i in range(4_000)]
+        window, hot = rng.choice([3, 20, 100]), rng.choice([65, 300])
+        got = L.fixed_window_limit(frame(spark, rows), "key", "ts", "request_id", window, 4, hot_rows=hot).collect()
+        assert {r.request_id: (r["count"], r.allowed) for r in got} == plain(rows, window * 1_000_000, 4)
