@@ -8,6 +8,7 @@ CONTEXT_CHUNK_CHARS = 1000
 CONTEXT_TOP_K = 5
 CANDIDATE_TOP_K = 30
 MIN_RETRIEVAL_SCORE = 0.0
+STREAM_IDLE_SECONDS = 3600
 STREAM_DELTA_CHARS = 20
 SNIPPET_CHARS = 180
 CITATION_SNIPPET_CHARS = 300

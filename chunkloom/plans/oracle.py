@@ -76,8 +76,8 @@ def cte(name: str, body: str, *needs: str) -> None:
     CTES[name] = (needs, body)
 
 
-def using(*names: str, body: str, extra: tuple[tuple[str, str], ...] = ()) -> str:
-    """A statement with the named adapter tables (and those they need) as CTEs."""
+def using(*names: str, body: str, extra: tuple[tuple[str, str], ...] = (), stored: tuple[str, ...] = ()) -> str:
+    """A statement with the named adapter tables (and those they need) as CTEs; ``stored`` ones are computed once and kept."""
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -88,7 +88,7 @@ def using(*names: str, body: str, extra: tuple[tuple[str, str], ...] = ()) -> st
 
     for name in names:
         add(name)
-    parts = [f"{n} AS ({CTES[n][1]})" for n in order] + [f"{n} AS ({b})" for n, b in extra]
+    parts = [f"{n} AS {'MATERIALIZED ' if n in stored else ''}({b})" for n, b in [*((n, CTES[n][1]) for n in order), *extra]]
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
@@ -121,7 +121,7 @@ cte(
 cte(
     "queries",
     """SELECT chunk_id AS query_id, doc_id, embedding, label, text AS question
-  FROM vectors JOIN benchmark ON item_id = chunk_id % (SELECT count(*) FROM benchmark)""",
+  FROM vectors, (SELECT count(*) AS items FROM benchmark) JOIN benchmark ON item_id = chunk_id % items""",
     "vectors",
 )
 cte(

@@ -288,7 +288,8 @@ _MODE = (
 
 
 def _mode_sql(body: str, *extra: tuple[str, str]) -> str:
-    return O.using("ranked", "chunk_bodies", "queries", extra=(_NORMALIZED, _CONTEXT, _MODE, *extra), body=body)
+    stored = ("vectors", "queries", "pair_scores", "ranked", "contents", "chunk_bodies", "normalized", "context", "modes", "blocks")
+    return O.using("ranked", "chunk_bodies", "queries", extra=(_NORMALIZED, _CONTEXT, _MODE, *extra), body=body, stored=stored)
 
 
 @query(_mode_sql("SELECT query_id, mode FROM modes"))

@@ -9,7 +9,7 @@ from chunkloom.plans.catalog import query
 from chunkloom.plans.metric_queries import DAY, REQUESTS_SQL, scope_sql
 from chunkloom.session import scratch_path
 from chunkloom.sources import sinks, sse
-from chunkloom.streaming import deltas as W, ingest as I, late as L, metrics as SM, rate_limit as SR, runner as R, tasks as ST
+from chunkloom.streaming import deltas as W, ingest as I, late as L, metrics as SM, panes as P, rate_limit as SR, runner as R, tasks as ST
 
 CHAT, CHAT_OK = O.CHAT, O.CHAT_OK
 
@@ -23,6 +23,13 @@ def _metric_stream(spark, sf):
     return A.request_metrics(_stream(spark, sf, "events"))
 
 
+def _deliveries(rows):
+    """The rows in three parts: the first half of the time, the second, and every tenth row of the first half, kept back to the end."""
+    ends = rows.agg(F.unix_micros(F.min("created_at").cast("timestamp")).alias("a"), F.unix_micros(F.max("created_at").cast("timestamp")).alias("b")).head()
+    second_half = F.unix_micros(F.col("created_at").cast("timestamp")) >= (ends["a"] + ends["b"]) / 2
+    return rows, rows.withColumn("part", F.when(second_half, 1).when(F.col("id") % 10 == 0, 2).otherwise(0))
+
+
 def _window_sql(slots: str) -> str:
     return O.using("metrics", extra=(("slots", slots),), body=f"""SELECT window_start, window_start + INTERVAL 300 SECOND AS window_end, count(*) AS total,
     count(*) FILTER (WHERE {CHAT}) AS chat, round((arg_max(e2e_latency_ms, id) FILTER (WHERE {CHAT_OK}))::DOUBLE, 1) AS e2e_last,
@@ -35,15 +42,19 @@ def _window_sql(slots: str) -> str:
 
 @query(_window_sql("SELECT *, time_bucket(INTERVAL 300 SECOND, created_at) AS window_start FROM metrics"))
 def stream_metrics_tumbling(spark, sf):
-    windows = SM.windowed_metrics(_metric_stream(spark, sf), watermark="1 hour")
-    return R.run_update(windows, ["window_start", "window_end"], "tumbling")
+    """Three deliveries to one stream, the last with rows of windows that are closed by then; all count."""
+    rows, parts = _deliveries(A.metrics(spark, sf))
+    path, out, state = (scratch_path(spark, n) for n in ("metric-rows", "panes", "panes-state"))
+    for part in range(3):
+        parts.where(F.col("part") == part).drop("part").write.mode("append").parquet(path)
+        panes = P.drain(spark.readStream.schema(rows.schema).parquet(path), P.pane_seconds(300, 300), 3600, out, state)
+    return P.windows(panes, 300).drop("late_rows")
 
 
 @query(_window_sql("""SELECT *, time_bucket(INTERVAL 60 SECOND, created_at) - to_seconds(60 * k) AS window_start
   FROM metrics, (SELECT unnest([0, 1, 2, 3, 4]) AS k)"""))
 def stream_metrics_sliding(spark, sf):
-    windows = SM.windowed_metrics(_metric_stream(spark, sf), slide_seconds=60, watermark="1 hour")
-    return R.run_update(windows, ["window_start", "window_end"], "sliding")
+    return P.run_windows(_metric_stream(spark, sf), 300, 60, 3600).drop("late_rows")
 
 
 @query(O.using("deltas", body="SELECT stream_id, index, delta FROM deltas"))
@@ -85,12 +96,12 @@ def read_sse_capture(spark, sf):
 
 @query(O.using("thinking", body=r"""SELECT stream_id, regexp_replace(answer, '(?is)<think\b[^>]*>.*?(?:</think>|\z)', '', 'g') AS answer FROM thinking"""))
 def stream_think_filter(spark, sf):
-    """The stateful filter over a file stream of deltas, joined up again per answer."""
+    """The stateful filter over a file stream of deltas in mixed order over three batches, joined up again per answer."""
     events = A.stream_events(A.thinking_answers(spark, sf).withColumn("session_id", F.lit(1)))
     path = scratch_path(spark, "deltas")
-    events.select("stream_id", "index", "type", "delta").write.parquet(path)
-    source = spark.readStream.schema("stream_id long, index long, type string, delta string").parquet(path)
-    shown = R.run_append(W.think_filter(source), "think")
+    events.select("stream_id", "index", "type", "delta", "ts").repartition(3, F.xxhash64("stream_id", "index")).write.parquet(path)
+    source = spark.readStream.schema("stream_id long, index long, type string, delta string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    shown = R.run_append(W.think_filter(source, idle_seconds=400 * 86_400), "think")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("index", "delta"))), lambda d: d["delta"])
     seen = shown.groupBy("stream_id").agg(F.array_join(parts, "").alias("answer"))
     every = A.answers(spark, sf).select("stream_id")
@@ -123,6 +134,17 @@ def active_sessions_stream(spark, sf):
     return R.run_append(spans, "sessions").where(F.col("session_id").isNotNull())
 
 
+@query(O.using("metrics", extra=(("seen", """SELECT DISTINCT session_id, time_bucket(INTERVAL 600 SECOND, created_at) + to_seconds(600 * k) AS pane_start
+    FROM metrics, (SELECT unnest(range(12)) AS k) WHERE session_id IS NOT NULL"""),),
+    body="SELECT pane_start, count(*) AS sessions, true AS estimate_near FROM seen GROUP BY pane_start"))
+def active_now_stream(spark, sf):
+    """Sessions active within two hours, at the end of every ten minutes; the sketch has to be within a tenth of the exact count."""
+    activity = _metric_stream(spark, sf).select("session_id", "created_at")
+    kept = P.drain_activity(activity, 600, scratch_path(spark, "activity"), scratch_path(spark, "activity-state"))
+    near = F.abs(F.col("estimate") - F.col("sessions")) <= F.greatest(F.lit(1), F.col("sessions") / 10)
+    return P.active_now(*kept, 600, 7200).select("pane_start", "sessions", near.alias("estimate_near"))
+
+
 @query(O.using("metrics", body="SELECT id, request_type, created_at FROM metrics"))
 def stream_to_metrics_sink(spark, sf):
     """Every row arrives twice; the sink holds it once."""
@@ -137,10 +159,7 @@ _PARTS = ("parts", """SELECT id, created_at, CASE WHEN created_at >= middle THEN
 @query(O.using("metrics", extra=(_PARTS,), body="""SELECT id, created_at, part, coalesce(created_at < (SELECT max(created_at) - INTERVAL 1 HOUR FROM parts e WHERE e.part < p.part), false) AS late FROM parts p"""))
 def stream_late_rows(spark, sf):
     """Three deliveries, the last with rows of the first half: they land in the late table, all others in the windows' input."""
-    rows = A.metrics(spark, sf).select("id", "created_at")
-    ends = rows.agg(F.unix_micros(F.min("created_at").cast("timestamp")).alias("a"), F.unix_micros(F.max("created_at").cast("timestamp")).alias("b")).head()
-    second_half = F.unix_micros(F.col("created_at").cast("timestamp")) >= (ends["a"] + ends["b"]) / 2
-    parts = rows.withColumn("part", F.when(second_half, 1).when(F.col("id") % 10 == 0, 2).otherwise(0))
+    rows, parts = _deliveries(A.metrics(spark, sf).select("id", "created_at"))
     path, out, state = (scratch_path(spark, n) for n in ("deliveries", "late", "late-state"))
     for part in range(3):
         parts.where(F.col("part") == part).write.mode("append").parquet(path)

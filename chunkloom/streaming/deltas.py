@@ -68,34 +68,54 @@ def release(held: str) -> str:
     return "" if UNCLOSED.search(held) else held
 
 
-def think_filter(events: DataFrame) -> DataFrame:
-    """Stateful filter over a stream of (stream_id, index, type, delta); blank results are not emitted.
+def think_filter(events: DataFrame, idle_seconds: int = K.STREAM_IDLE_SECONDS) -> DataFrame:
+    """Stateful filter over a stream of (stream_id, index, type, delta, ts); blank results are not emitted.
 
-    A stream's deltas must arrive in index order across micro-batches. The done event
-    releases a held-back prefix, unless it sits inside a think tag.
+    Deltas may come in any order and over any batches: what comes before its turn waits in the state, and an index that has been seen
+    is dropped. The done event releases a held-back prefix, unless it sits inside a think tag, and ends the state. A
+    stream that says nothing for ``idle_seconds`` of event time is closed as well: what still waits is taken in its order, gaps left out.
+    Rows older than the watermark (the latest time less ``idle_seconds``) are dropped.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else ""
-        rows = pd.concat(list(batches)).sort_values("index")
+        held, following, latest, waiting = "", 1, 0, {}
+        if state.exists:
+            held, following, latest, indexes, kinds, texts = state.get
+            waiting = {i: (k, t) for i, k, t in zip(indexes, kinds, texts)}
+        closing = state.hasTimedOut
+        if not closing:
+            for rows in batches:
+                for index, kind, delta, at in zip(rows["index"], rows["type"], rows["delta"], rows["ts"]):
+                    latest = max(latest, int(at.timestamp() * 1000))
+                    if index >= following:
+                        waiting.setdefault(int(index), (kind, delta))
         out, finished = [], False
-        for index, kind, delta in zip(rows["index"], rows["type"], rows["delta"]):
+        while waiting and not finished and (closing or following in waiting):
+            following = min(waiting) if closing else following
+            kind, delta = waiting.pop(following)
             if kind == "delta":
                 shown, held = feed(held, delta or "")
             else:
                 shown, held, finished = release(held), "", True
             if shown:
-                out.append((key[0], int(index), shown))
-        if finished:
+                out.append((key[0], following, shown))
+            following += 1
+        if closing and not finished and (shown := release(held)):
+            out.append((key[0], following, shown))
+        if closing or finished:
             state.remove()
         else:
-            state.update((held,))
+            order = sorted(waiting)
+            state.update((held, following, latest, order, [waiting[i][0] for i in order], [waiting[i][1] for i in order]))
+            # Never behind the watermark, which the state would refuse.
+            state.setTimeoutTimestamp(max(latest + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["stream_id", "index", "delta"])
 
-    return events.groupBy("stream_id").applyInPandasWithState(
+    watched = events.withWatermark("ts", f"{idle_seconds} seconds")
+    return watched.groupBy("stream_id").applyInPandasWithState(
         step,
         "stream_id long, index long, delta string",
-        "held string",
+        "held string, following long, latest long, indexes array<long>, kinds array<string>, texts array<string>",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
