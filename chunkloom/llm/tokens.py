@@ -7,6 +7,7 @@ does not remember go to the tokenizer, all in one call.
 
 from __future__ import annotations
 
+import gc
 import re
 import unicodedata
 from array import array
@@ -27,8 +28,9 @@ PIECES, WORDS, FORGETS = 200_000, 400_000, 20_000_000
 #: Longer pieces are encoded each time.
 LONGEST = 100
 STEP_CHARS = 4_000_000
-#: Letters of the commonest scripts, with a space in front or none, and one mark at most behind them.
-PLAIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+([.,;:!?]?)\\Z")
+#: Letters of the commonest scripts with marks behind them, perhaps a line end and the same again: nearly all pieces look like that.
+LETTERS, MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+", r"[!-&(-/:-@\[-`{-~]*"
+PLAIN = re.compile(f"( ?{LETTERS})({MARKS})(?:(\n)({LETTERS})({MARKS}))?\\Z")
 
 
 def pieces(text: str) -> list[str]:
@@ -85,18 +87,29 @@ class Encoder:
         self.pieces = Memory(self._pieces, PIECES)
         self.marks = {m: array("I", [i]).tobytes() for m, i in (marks or {}).items()}
         self.marked = re.compile("(" + "|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))) + ")")
-        # Letters with one mark behind them are nearly all pieces; where the pattern cuts those in two, no pattern is run on them.
-        self.plain = PLAIN.match if find(self.space + "Ab.") == [self.space + "Ab", "."] and find(self.space + "Ab") == [self.space + "Ab"] else None
+        # Where the pattern cuts plain pieces at the same places, it is not run on them.
+        lines = [] if drops_blanks else ["\n"]
+        self.plain = PLAIN.match if find(self.space + "Ab.,\nCd$") == [self.space + "Ab", ".,", *lines, "Cd", "$"] else None
 
     def _pieces(self, new: list[str]) -> list[bytes]:
         return self._whole([self.space + p for p in new] if self.space else new)
 
     def _found(self, text: str) -> list[str]:
         if self.plain and (m := self.plain(text)):
-            return [text[:-1], text[-1]] if m[1] else [text]
+            return [text] if m.end(1) == len(text) else [g for g in m.groups() if g]
         return self.find(text)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
+        # Many small lists and no cycles: Python's search for cycles would go through all of them again and again.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._joined(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
         if self.prepare is not None:
             texts = [self.prepare(t) for t in texts]
         found = [self._found(t) for t in texts]
