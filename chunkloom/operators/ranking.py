@@ -65,19 +65,26 @@ def value_counts(values: DataFrame, keys: Sequence[str], *more: Column) -> DataF
     return written(counted, "value-counts")
 
 
+def value_buckets(hist: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    """``hist`` with ``_b``, the bucket of each distinct value: nearly as many values in each, however they are spread.
+
+    The bounds are quantiles of the distinct values of a key, from a sketch; they only part the values, in order.
+    """
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    bounds = hist.groupBy(*keys).agg(F.percentile_approx("value", shares, F.lit(40 * buckets)).alias("_bounds"))
+    placed = F.size(F.filter("_bounds", lambda b: b < F.col("value")))
+    return hist.join(bounds, list(keys)).withColumn("_b", placed).drop("_bounds")
+
+
 def exact_percentiles(
-    hist: DataFrame, keys: Sequence[str], points: dict[str, float], buckets: int = 1024
+    hist: DataFrame, keys: Sequence[str], points: dict[str, float], buckets: int = 256
 ) -> DataFrame:
     """Linear-interpolation percentiles of counted values (see :func:`value_counts`) per key.
 
-    Only buckets are ranked per key, and the values inside one bucket among themselves. The buckets part each key's own
-    range of values evenly.
+    Only buckets (see :func:`value_buckets`) are ranked per key, and the values inside one bucket among themselves.
     """
     keys = list(keys)
-    hist = hist.select(*keys, "value", "_c")
-    ends = hist.groupBy(*keys).agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
-    place = F.when(F.col("_high") > F.col("_low"), (F.col("value") - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(F.lit(0.0))
-    hist = hist.join(ends, keys).withColumn("_b", F.floor(place * buckets)).drop("_low", "_high")
+    hist = value_buckets(hist.select(*keys, "value", "_c"), keys, buckets)
     coarse = hist.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
     per_key = Window.partitionBy(*keys)
     earlier = per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

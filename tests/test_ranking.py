@@ -40,6 +40,16 @@ def test_percentiles(spark):
     assert [round(got["a"][n], 6) for n in ("p50", "p95", "p99")] == [3.15, 45.25, 54.65]
 
 
+def test_an_outlier_leaves_the_buckets_even(spark):
+    values = [float(i) for i in range(20_000)] + [1e12, -1e12]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0)], "k string, value double")
+    hist = K.value_counts(df, ["k"])
+    sizes = [r["count"] for r in K.value_buckets(hist, ["k"], 64).where("k = 'a'").groupBy("_b").count().collect()]
+    assert len(sizes) == 64 and max(sizes) <= 2 * len(values) / 64
+    got = {r.k: r for r in K.exact_percentiles(hist, ["k"], {"p50": 50, "p99": 99}).collect()}
+    assert got["a"].p50 == np.percentile(values, 50) and abs(got["a"].p99 - np.percentile(values, 99)) < 1e-6 and got["b"].p99 == 1.0
+
+
 def test_top_n_is_limited_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
     top = K.top_n(df, ["k"], [F.desc("id")], 2)
