@@ -94,6 +94,19 @@ def read_sse_capture(spark, sf):
     return sse.parse_sse(captures.withColumn("capture", noisy), "stream_id")
 
 
+@query(O.using("stream_events", body="""SELECT stream_id % 4 AS capture, (row_number() OVER (PARTITION BY stream_id % 4 ORDER BY stream_id, index) - 1)::INTEGER AS position, type, delta,
+    CASE WHEN type = 'delta' THEN index END AS index, CASE type WHEN 'done' THEN 'stream finished' WHEN 'error' THEN message END AS message FROM stream_events"""))
+def read_sse_files(spark, sf):
+    """The wire text of all streams in four long capture files, read back in splits."""
+    path = scratch_path(spark, "captures")
+    rows = sse.event_text(A.stream_events(A.answers(spark, sf))).withColumn("capture", F.col("stream_id") % 4)
+    # The writer ends each row with a line end: the second one of the blank line.
+    text = F.substring("event_text", F.lit(1), F.char_length("event_text") - 1).alias("value")
+    rows.repartition(4, "capture").sortWithinPartitions("capture", "stream_id", "index").select("capture", text).write.partitionBy("capture").text(path)
+    found = sse.read_sse_events(spark, path)
+    return found.withColumn("capture", F.regexp_extract("capture", r"capture=(\d+)", 1).cast("long"))
+
+
 @query(O.using("thinking", body=r"""SELECT stream_id, regexp_replace(answer, '(?is)<think\b[^>]*>.*?(?:</think>|\z)', '', 'g') AS answer FROM thinking"""))
 def stream_think_filter(spark, sf):
     """The stateful filter over a file stream of deltas in mixed order over three batches, joined up again per answer."""

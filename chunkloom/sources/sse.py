@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from chunkloom.operators.ranking import running_totals
+from chunkloom.session import written
 
 END_MARK = "[DONE]"
 EVENT_SCHEMA = "type string, delta string, index long, message string"
@@ -30,6 +33,32 @@ def parse_sse(captures: DataFrame, key: str, capture: str = "capture") -> DataFr
     return parsed.select(key, F.col("position"), "e.type", "e.delta", F.col("e.index").alias("index"), "e.message")
 
 
+def read_sse_events(spark: SparkSession, path: str) -> DataFrame:
+    """(capture, position, type, delta, index, message) of capture files below a path; ``capture`` is the file.
+
+    A file is read line by line in splits, so that a long capture is many tasks, and no capture is ever one value. Lines keep
+    the order of their split and their place in it; blank lines are counted along that order, by split first and then inside the
+    splits, which tells the frame of each line however a frame lies across two splits. Frames behind the end mark are left out.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    data = F.startswith("value", F.lit("data:"))
+    # A split lies in one task, so the running number of the rows orders its lines.
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("capture"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), "value",
+    ).where(data | (F.col("value") == ""))
+    lines = written(lines, "sse-lines", compression="zstd")
+    framed = running_totals(lines, ["capture"], F.col("_split"), [F.col("_at")], {"_frame": (F.col("value") == "").cast("long")}).where(data)
+    value = F.regexp_replace(F.substring("value", 6, 2**31 - 1), r"^\s+", "").alias("value")
+    item = F.struct("_split", "_at", value)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda line: line["value"]), "\n")
+    frames = framed.groupBy("capture", "_frame").agg(joined.alias("payload"))
+    ends = frames.where(F.col("payload") == END_MARK).groupBy("capture").agg(F.min("_frame").alias("_end"))
+    kept = frames.join(ends, "capture", "left").where(F.col("_end").isNull() | (F.col("_frame") < F.col("_end"))).drop("_end")
+    counted = running_totals(kept, ["capture"], F.floor(F.col("_frame") / 4096), [F.col("_frame")], {"_n": F.lit(1).cast("long")})
+    parsed = counted.withColumn("e", F.from_json("payload", EVENT_SCHEMA))
+    return parsed.select("capture", (F.col("_n") - 1).cast("int").alias("position"), "e.type", "e.delta", F.col("e.index").alias("index"), "e.message")
+
+
 def json_text(value: Column) -> Column:
     """A JSON string literal."""
     boxed = F.to_json(F.array(value))

@@ -36,6 +36,28 @@ def test_sse_framing(spark):
     assert [(r.s, r.position, r.type, r.delta, r["index"]) for r in got] == [(1, 0, "delta", "a", 1)]
 
 
+def test_a_long_capture_is_read_in_splits(spark, tmp_path):
+    rng = random.Random(4)
+    ends = ["\n", "\r\n"]
+    for name in ("a", "b"):
+        end = ends[name == "b"]
+        parts = [": hello" + end + end]
+        for i in range(3000):
+            parts.append("".join(["event: x" + end] * rng.randrange(2)) + f'data: {{"type": "delta",{end}data:  "delta": "{"é" * rng.randrange(30)}{i}", "index": {i}}}{end}{end}' + end * rng.randrange(2))
+        parts.append(f'data: [DONE]{end}{end}data: {{"type": "late"}}{end}')
+        (tmp_path / f"{name}.txt").write_bytes("".join(parts).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = sse.read_sse_events(spark, f"file://{tmp_path}")
+        lines = spark.read.text(f"file://{tmp_path}")
+        assert lines.rdd.getNumPartitions() > 10
+        rows = [(r.capture.rsplit("/", 1)[1], r.position, r.type, r["index"], r.delta.lstrip("é")) for r in got.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(rows) == sorted((f"{n}.txt", i, "delta", i, str(i)) for n in "ab" for i in range(3000))
+
+
 def test_event_text(spark):
     row = spark.createDataFrame([('say "hi"\n é',)], "d string")
     got = row.select(sse.delta_event(F.col("d"), F.lit(3)).alias("e")).first().e
