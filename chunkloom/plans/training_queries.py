@@ -71,7 +71,7 @@ def bm25_scores(spark, sf):
 
 @query(O.using("bm25_best", body="SELECT * FROM bm25_best"))
 def bm25_positives(spark, sf):
-    return _ranked_rows(R.best_candidates(_bm25(spark, sf), 2))
+    return _ranked_rows(R.bm25_best(A.queries(spark, sf), _corpus(spark, sf), 2)[0])
 
 
 @query(O.using("bm25_hard", body="SELECT * FROM bm25_hard"))
