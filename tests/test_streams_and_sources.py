@@ -166,6 +166,26 @@ def test_a_second_ingest_reads_only_what_is_new(spark, tmp_path):
     assert sorted((r.batch, r["count"]) for r in batches) == [(0, 2), (1, 1)]
 
 
+def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
+    from chunkloom.streaming import ingest as I
+
+    path, out, state = (f"file://{tmp_path}/{n}" for n in ("in", "out", "state"))
+    schema = "doc_id long, version int, text string"
+    run = lambda: I.run_incremental_ingest(spark.readStream.schema(schema).parquet(path), out, state, buckets=8)
+    spark.createDataFrame([(i, 1, f"text {i}") for i in range(100)], schema).write.parquet(path)
+    run()
+    before = I.current_folders(spark, out)
+    assert set(before) == set(range(8)) and {b for b, _ in before.values()} == {0}
+    spark.createDataFrame([(3, 2, ""), (3, 1, "older"), (200, 1, "new")], schema).write.mode("append").parquet(path)
+    current, index = run()
+    after = I.current_folders(spark, out)
+    changed = {b for b, (batch, _) in after.items() if batch == 1}
+    assert 1 <= len(changed) <= 2 and sorted(d.name for d in (tmp_path / "out" / "current" / "batch=1").glob("bucket=*")) == sorted(f"bucket={b}" for b in changed)
+    assert all(f"/batch={after[b][0]}/bucket={b}/" in f for f in current.inputFiles() for b in [int(re.search(r"bucket=(\d+)", f)[1])])
+    assert {(r.doc_id, r.content) for r in current.collect()} == {(i, f"text {i}") for i in range(100) if i != 3} | {(200, "new")}
+    assert {r.doc_id: (r.version, r.chunk_count) for r in index.where("doc_id in (3, 4, 200)").collect()} == {3: (2, 0), 4: (1, 1), 200: (1, 1)}
+
+
 def test_answers_that_look_like_lists_stay_text(spark):
     from chunkloom.functions import records as R
 
