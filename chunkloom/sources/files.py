@@ -44,6 +44,49 @@ def read_table(
     return table.select(*columns) if columns else table
 
 
+def key_bounds(keys: DataFrame, key: str, parts: int) -> list:
+    """Up to ``parts`` - 1 distinct values that cut the rows into stretches of about as many rows each; null keys do not count."""
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    column = F.col(key)
+    if dict(keys.dtypes)[key] in ("string", "boolean", "binary"):
+        # No quantile sketch orders strings: the bounds are the first values of even stretches of a bounded sample.
+        sample = sorted(r[0] for r in keys.where(column.isNotNull()).orderBy(F.xxhash64(column)).limit(100 * parts).select(key).collect())
+        return sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
+    found = keys.agg(F.percentile_approx(column, shares, F.lit(100 * parts)).alias("b")).head()[0]
+    return sorted(set(found or []))
+
+
+def _literal(value) -> str:
+    if isinstance(value, (int, float)) or type(value).__name__ == "Decimal":
+        return str(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def key_predicates(key: str, bounds: Sequence) -> list[str]:
+    """Conditions that part all rows, each in one part; rows without a key go with the lowest ones."""
+    if not bounds:
+        return ["1 = 1"]
+    cuts = [_literal(b) for b in bounds]
+    between = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(cuts, cuts[1:])]
+    return [f"{key} < {cuts[0]} OR {key} IS NULL", *between, f"{key} >= {cuts[-1]}"]
+
+
+def read_database(
+    spark: SparkSession, url: str, table: str, key: str, parts: int, columns: Sequence[str] = ("*",), where: str | None = None,
+    newest: int | None = None, properties: dict[str, str] | None = None,
+) -> DataFrame:
+    """A database table in ``parts`` queries of about as many rows each, parted by quantiles of ``key`` rather than even steps of its range.
+
+    Columns, filter and, with ``newest``, an order by the key with a limit are part of the query that the database runs.
+    """
+    query = f"SELECT {', '.join(columns)} FROM {table}" + (f" WHERE {where}" if where else "")
+    if newest is not None:
+        limited = f"({query} ORDER BY {key} DESC LIMIT {newest}) limited"
+        return spark.read.jdbc(url, limited, properties=properties or {})
+    keys = spark.read.jdbc(url, f"(SELECT {key} FROM {table}" + (f" WHERE {where}" if where else "") + ") keys", properties=properties or {})
+    return spark.read.jdbc(url, f"({query}) part", predicates=key_predicates(key, key_bounds(keys, key, parts)), properties=properties or {})
+
+
 def spread(table: DataFrame, key: str) -> DataFrame:
     """Deal a small input that sits in few row groups out to all cores; a large one is split already."""
     cores = table.sparkSession.sparkContext.defaultParallelism

@@ -95,6 +95,21 @@ def test_uploads_and_mapping(spark, tmp_path):
     assert files.read_index_mapping_json(spark, str(tmp_path / "map")).first() == (0, 7, 11, 0, "x")
 
 
+def test_database_parts_hold_every_row_once(spark):
+    rng = random.Random(6)
+    rows = [(int(rng.paretovariate(1.0)) if i % 40 else None, "".join(rng.choice("ab'c") for _ in range(6))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, name string").withColumn("at", F.timestamp_seconds(F.col("id") * 7))
+    df.createOrReplaceTempView("numbered")
+    for key in ("id", "name", "at"):
+        predicates = files.key_predicates(key, files.key_bounds(df, key, 8))
+        counts = [spark.sql(f"SELECT * FROM numbered WHERE {p}").count() for p in predicates]
+        assert sum(counts) == 4000 and len(counts) > 3
+        if key == "name":
+            assert max(counts) < 2 * 4000 / 8
+    assert files.key_predicates("id", []) == ["1 = 1"] and files.key_bounds(df.limit(0), "id", 4) == []
+    assert files.key_predicates("k", ["a'b"]) == ["k < 'a''b' OR k IS NULL", "k >= 'a''b'"]
+
+
 def test_filter_reaches_the_scan(spark):
     from conftest import SF_DIR
 
