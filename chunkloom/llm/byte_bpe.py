@@ -181,7 +181,10 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): packed 32-bit ids of every whole text; null counts as empty and has none."""
+    """(doc_id, n_tokens, ids): packed 32-bit ids of every whole text; null counts as empty and has none.
+
+    Rows that repeat, or have no id, are encoded one by one; an empty table gives no rows, and columns beside the two named are not looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)

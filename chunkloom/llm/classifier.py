@@ -186,7 +186,11 @@ def _sent(docs: DataFrame, model: Model):
 
 
 def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted), a row per input row; null counts as an empty text."""
+    """(doc_id, held_out, score, predicted), a row per input row; null counts as an empty text.
+
+    Rows that repeat get the same score each, rows without an id are scored too (``held_out`` is null), an empty table gives no rows, and
+    columns beside the two named are not looked at.
+    """
     spread = _sent(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

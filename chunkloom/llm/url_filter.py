@@ -114,8 +114,9 @@ def judged(pages: DataFrame, rules: Sequence[Rule], blocked_words: Sequence[str]
     """(page_id, host, path, rule, verdict, listed_word) for every row.
 
     The longest fitting rule decides; of equally long ones the greater text, and allow before block for the same text.
-    Where no rule fits, a listed word among the words of the host blocks, and everything else is allowed. Rows that
-    repeat are judged one by one.
+    Where no rule fits, a listed word among the words of the host blocks, and everything else is allowed. A null url, or one
+    without ``://``, has an empty host and path and is allowed. Rows that repeat, or have no id, are judged one by one; an empty table gives
+    no rows, and columns beside the two named are not looked at.
     """
     host, path = url_parts(F.col(url_column).cast("string"))
     urls = pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path"))
