@@ -7,6 +7,11 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes
 - ``quality_rules`` drops documents that fail the base rules or a risk-controlled cutoff of their language.
 - ``jaccard_join`` keeps the smallest id of each class of near duplicates (five-word shingles, similarity 0.75 or more).
 - ``packing`` gives the pieces of 1024-token sequences.
+
+Odd rows: an empty table stays empty in every stage. A null text counts as an empty one, which the classifier scores low and the rules reject. Rows
+without an id pass the classifier and the rules as any other text, are not compared with others and stay. Rows that share an id are judged by
+their own text in the first two stages and stay or go together in the third. A null language is a stratum of its own. All columns of
+``docs`` are kept, whatever their names.
 """
 
 from __future__ import annotations
