@@ -108,15 +108,18 @@ def duplicate_upload(documents: DataFrame) -> DataFrame:
     )
 
 
-def filter_documents(documents: DataFrame, view: str) -> DataFrame:
+def document_views() -> dict[str, Column]:
     status = F.col("status")
-    views = {
+    return {
         "all": F.lit(True),
         "ready": status == "READY",
         "processing": status.isin(*K.PROCESSING_DOCUMENT_STATES),
         "failed": status == "FAILED",
     }
-    return documents.where(views[view])
+
+
+def filter_documents(documents: DataFrame, view: str) -> DataFrame:
+    return documents.where(document_views()[view])
 
 
 def filter_by_id(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

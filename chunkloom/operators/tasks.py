@@ -8,18 +8,27 @@ from chunkloom import constants as K
 from chunkloom.operators.ranking import last_per_key, top_n
 
 
-def filter_tasks(tasks: DataFrame, view: str, state: str | None = None) -> DataFrame:
-    views = {
+def task_views() -> dict[str, Column]:
+    return {
         "all": F.lit(True),
         "ingest": F.contains(F.col("type"), F.lit("ingest")),
         "chat": F.contains(F.col("type"), F.lit("chat")),
         "failed": F.col("state").isin(*K.FAILED_STATES),
         "running": ~F.col("state").isin(*K.TERMINAL_STATES),
     }
-    rows = tasks.where(views[view])
+
+
+def filter_tasks(tasks: DataFrame, view: str, state: str | None = None) -> DataFrame:
+    rows = tasks.where(task_views()[view])
     return rows.where(F.col("state") == state) if state else rows
 
 
+def in_views(rows: DataFrame, views: dict[str, Column]) -> DataFrame:
+    """Each row once for each view that it is in, with the view's name as ``view``; the rows are read once, however many views there are."""
+    names = F.array_compact(F.array(*[F.when(c, F.lit(v)) for v, c in views.items()]))
+    return rows.withColumn("view", F.explode(names))
+
+
 def filter_tasks_by_entity(tasks: DataFrame, limit: int = 20) -> DataFrame:
     """Newest tasks of each entity."""
     return top_n(tasks, ["entity_type", "entity_id"], [F.desc("id")], limit, "position")

@@ -11,6 +11,7 @@ from chunkloom import constants as K
 from chunkloom.functions import records as R, text as T
 from chunkloom.operators import chunks as C, documents as D
 from chunkloom.operators.ranking import one_row
+from chunkloom.operators.tasks import in_views
 from chunkloom.plans import adapters as A, oracle as O
 from chunkloom.plans.catalog import query
 from chunkloom.session import scratch_path, written
@@ -155,8 +156,8 @@ def filter_by_id(spark, sf):
   UNION ALL SELECT 'failed', id, status FROM corpus WHERE status = 'FAILED'"""))
 def filter_documents(spark, sf):
     docs = A.corpus_documents(spark, sf).select("id", "status")
-    views = [D.filter_documents(docs, v).select(F.lit(v).alias("view"), "id", "status") for v in ("ready", "processing", "failed")]
-    return views[0].unionByName(views[1]).unionByName(views[2])
+    views = {v: c for v, c in D.document_views().items() if v != "all"}
+    return in_views(docs, views).select("view", "id", "status")
 
 
 @query(O.using("corpus", "latest_tasks", body="""SELECT id, CASE WHEN t.task_id IS NULL THEN status WHEN t.state = 'SUCCESS' THEN 'READY'

@@ -16,12 +16,9 @@ from chunkloom.plans.catalog import query
   UNION ALL SELECT 'running', id FROM tasks WHERE state NOT IN ('SUCCESS', 'FAILURE', 'FAILED')
   UNION ALL SELECT 'all', id FROM tasks WHERE state = 'PENDING'"""))
 def filter_tasks(spark, sf):
-    t = A.tasks(spark, sf)
-    pick = lambda view, state=None: K.filter_tasks(t, view, state).select(F.lit(view).alias("view"), "id")
-    out = pick("all", "PENDING")
-    for view in ("ingest", "chat", "failed", "running"):
-        out = out.unionByName(pick(view))
-    return out
+    views = K.task_views()
+    views["all"] &= F.col("state") == "PENDING"
+    return K.in_views(A.tasks(spark, sf), views).select("view", "id")
 
 
 @query(O.using("tasks", body="""SELECT id, entity_type, entity_id, position::INTEGER AS position FROM (SELECT *,
