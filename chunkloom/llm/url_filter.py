@@ -12,12 +12,13 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chunkloom.session import written
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Filters travel as literals; the first holds about 1.44 * log2(keys of the universe / listed keys) bits for each listed key.
+#: Bits of a filter, which travels as one literal. The first of a cascade holds about 1.44 * log2(keys of the universe / listed keys) bits for
+#: each listed key; longer lists are split by a hash of the key into as many cascades as it takes.
 MOST_BITS = 1 << 26
 #: Words of host labels (parted by hyphens) that are listed besides the rules.
 BLOCKED_WORDS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam")
@@ -39,27 +40,38 @@ class Level:
     words: tuple[int, ...]
 
     def holds(self, key: Column) -> Column:
-        out = F.lit(True)
-        for seed in self.seeds:
-            at = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(self.bits))
-            word = F.element_at(F.lit(list(self.words)).cast("array<bigint>"), (at / 64).cast("int") + 1)
-            out = out & (F.getbit(word, F.pmod(at, F.lit(64)).cast("int")) == 1)
-        return out
+        words = F.lit(list(self.words)).cast("array<bigint>")
+        places = F.array(*[F.pmod(F.xxhash64(F.lit(seed), key), F.lit(self.bits)) for seed in self.seeds])
+        return F.forall(places, lambda at: F.getbit(F.element_at(words, (at / 64).cast("int") + 1), F.pmod(at, F.lit(64)).cast("int")) == 1)
 
 
-def contains(cascade: Sequence[Level], key: Column) -> Column:
-    """Whether a key of the universe is listed."""
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts))
+
+
+def contains(cascades: Sequence[Sequence[Level]], key: Column) -> Column:
+    """Whether a key of the universe is listed, by the cascade of its part."""
+    found = [_listed(cascade, key) for cascade in cascades]
+    out = found[-1]
+    for part in reversed(range(len(cascades) - 1)):
+        out = F.when(_part(key, len(cascades)) == part, found[part]).otherwise(out)
+    return out
+
+
+def _listed(cascade: Sequence[Level], key: Column) -> Column:
     out = F.lit(len(cascade) % 2 == 1)
     for i in reversed(range(len(cascade))):
         out = F.when(~cascade[i].holds(key), F.lit(i % 2 == 1)).otherwise(out)
     return out
 
 
+def _hashes(rate: float) -> int:
+    return max(1, round(-math.log2(rate)))
+
+
 def _level(keys: DataFrame, n: int, rate: float, number: int) -> Level:
-    hashes = max(1, round(-math.log2(rate)))
+    hashes = _hashes(rate)
     bits = max(64, 64 * math.ceil(1.4427 * n * hashes / 64))
-    if bits > MOST_BITS:
-        raise ValueError(f"a filter for {n} keys would take {bits} bits; split the list")
     seeds = tuple(1000 * number + i for i in range(hashes))
     places = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(s), "key"), F.lit(bits)) for s in seeds]))
     set_bits = keys.select(places.alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word")).agg(
@@ -71,19 +83,25 @@ def _level(keys: DataFrame, n: int, rate: float, number: int) -> Level:
     return Level(seeds, bits, tuple(words))
 
 
-def build_cascade(universe: DataFrame, listed: Sequence[str]) -> list[Level]:
-    """``universe`` holds distinct strings in ``key`` and is read several times; ``listed`` is the list to tell apart in it."""
-    is_listed = F.col("key").isin(list(listed)) if listed else F.lit(False)
-    inside, outside = universe.where(is_listed), universe.where(~is_listed)
-    n_listed, n_all = universe.agg(F.count_if(is_listed), F.count(F.lit(1))).head()
-    levels: list[Level] = []
-    now, other, n = inside, outside, n_listed
+def build_cascades(universe: DataFrame, listed: DataFrame | Sequence[str], most_bits: int | None = None) -> list[list[Level]]:
+    """``universe`` holds distinct strings in ``key`` and is read several times; ``listed`` is the list to tell apart in it, a sequence or a table with ``key``."""
+    if not isinstance(listed, DataFrame):
+        listed = universe.sparkSession.createDataFrame([(k,) for k in listed], "key string")
+    marks = listed.select("key").distinct().withColumn("listed", F.lit(True))
+    marked = written(universe.join(marks, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "marked-keys")
+    n_listed, n_all = marked.agg(F.count_if("listed"), F.count(F.lit(1))).head()
     rate = min(0.5, max(1e-9, math.sqrt(0.5) * n_listed / max(1, n_all - n_listed)))
-    while n:
+    parts = max(1, math.ceil(1.4427 * n_listed * _hashes(rate) / (most_bits or MOST_BITS)))
+    return [_cascade(marked.where(_part(F.col("key"), parts) == part) if parts > 1 else marked, rate) for part in range(parts)]
+
+
+def _cascade(marked: DataFrame, rate: float) -> list[Level]:
+    levels: list[Level] = []
+    now, other = marked.where("listed"), marked.where("not listed")
+    while n := now.count():
         level = _level(now, n, rate if not levels else 0.5, len(levels))
         levels.append(level)
         now, other = other.where(level.holds(F.col("key"))), now
-        n = now.count()
     return levels
 
 
@@ -110,24 +128,32 @@ def _word_keys(host: Column) -> Column:
     return F.transform(F.array_distinct(F.split(host, "[.-]")), lambda w: F.concat(F.lit("word "), w))
 
 
-def judged(pages: DataFrame, rules: Sequence[Rule], blocked_words: Sequence[str] = BLOCKED_WORDS, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
+def _table(spark: SparkSession, rows: DataFrame | Sequence, schema: str) -> DataFrame:
+    return rows if isinstance(rows, DataFrame) else spark.createDataFrame(list(rows), schema)
+
+
+def judged(
+    pages: DataFrame, rules: DataFrame | Sequence[Rule], blocked_words: DataFrame | Sequence[str] = BLOCKED_WORDS, id_column: str = "page_id", url_column: str = "url"
+) -> DataFrame:
     """(page_id, host, path, rule, verdict, listed_word) for every row.
 
-    The longest fitting rule decides; of equally long ones the greater text, and allow before block for the same text.
+    ``rules`` are tables or sequences of (verdict, host, path), ``blocked_words`` of words (``word``). The longest fitting rule decides; of equally long ones the greater text, and allow before block for the same text.
     Where no rule fits, a listed word among the words of the host blocks, and everything else is allowed. A null url, or one
     without ``://``, has an empty host and path and is allowed. Rows that repeat, or have no id, are judged one by one; an empty table gives
     no rows, and columns beside the two named are not looked at.
     """
+    spark = pages.sparkSession
+    rules = _table(spark, [(r.verdict, r.host, r.path) for r in rules] if not isinstance(rules, DataFrame) else rules, "verdict string, host string, path string")
+    blocked = _table(spark, [(w,) for w in blocked_words] if not isinstance(blocked_words, DataFrame) else blocked_words, "word string")
     host, path = url_parts(F.col(url_column).cast("string"))
     urls = pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path"))
-    lengths = sorted({len(r.path) for r in rules})
+    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())  # as many as the longest path has characters
     keyed = urls.select("*", _candidates(F.col("host"), F.col("path"), lengths).alias("fits"), _word_keys(F.col("host")).alias("words"))
     # Keys of the same task are made distinct before they are shuffled; a host with a third of all urls stays a few keys.
     universe = written(keyed.select(F.explode(F.concat(F.transform("fits", lambda c: c["key"]), "words")).alias("key")).distinct(), "url-keys")
-    allow, block, words = (
-        build_cascade(universe, keys)
-        for keys in ([f"{r.host} {r.path}" for r in rules if r.verdict == "allow"], [f"{r.host} {r.path}" for r in rules if r.verdict == "block"], [f"word {w}" for w in blocked_words])
-    )
+    of_rule = F.concat("host", F.lit(" "), "path").alias("key")
+    lists = [rules.where(F.col("verdict") == v).select(of_rule) for v in ("allow", "block")] + [blocked.select(F.concat(F.lit("word "), "word").alias("key"))]
+    allow, block, words = (build_cascades(universe, keys) for keys in lists)
     fitting = F.filter("fits", lambda c: contains(allow, c["key"]) | contains(block, c["key"]))
     best = keyed.select("page_id", "host", "path", F.array_max(fitting).alias("best"), F.exists("words", lambda w: contains(words, w)).alias("listed_word"))
     verdict = F.when(F.col("best").isNotNull(), F.when(contains(allow, F.col("best.key")), "allow").otherwise("block")).otherwise(F.when(F.col("listed_word"), "block").otherwise("allow"))

@@ -224,10 +224,27 @@ def test_odd_urls(spark):
     assert url_filter.judged(pages.limit(0), queries.URL_RULES).count() == 0
 
 
-def test_cascade_is_exact_over_its_universe(spark):
+@pytest.mark.parametrize("most_bits", [None, 512])
+def test_cascades_are_exact_over_their_universe(spark, most_bits):
     universe = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = [f"k{i}" for i in range(0, 5000, 37)] + ["k-absent"]
-    cascade = url_filter.build_cascade(universe, listed)
-    got = {r.key for r in universe.where(url_filter.contains(cascade, F.col("key"))).collect()}
-    assert got == set(listed) - {"k-absent"} and len(cascade) > 1
-    assert url_filter.build_cascade(universe, []) == []
+    for given in (listed, spark.createDataFrame([(k,) for k in listed + listed[:5]], "key string")):
+        cascades = url_filter.build_cascades(universe, given, most_bits)
+        got = {r.key for r in universe.where(url_filter.contains(cascades, F.col("key"))).collect()}
+        assert got == set(listed) - {"k-absent"} and len(cascades[0]) > 1 and (len(cascades) > 1) == bool(most_bits)
+        assert all(level.bits <= 1024 for c in cascades for level in c) or not most_bits
+    assert url_filter.build_cascades(universe, []) == [[]]
+    assert universe.where(url_filter.contains([[]], F.col("key"))).count() == 0
+
+
+def test_a_long_list_is_a_table(spark, monkeypatch):
+    """300,000 listed hosts, of which the urls hold some; filters are as large as what the urls hold of the list."""
+    monkeypatch.setattr(url_filter, "MOST_BITS", 1 << 10)
+    hosts = spark.range(300_000).select(F.lit("block").alias("verdict"), F.concat(F.lit("h"), "id", F.lit(".test")).alias("host"), F.lit("/").alias("path"))
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://www.h"), F.col("id") * 200, F.lit(".test/x")).alias("url"))
+    pages = pages.union(spark.createDataFrame([(None, "https://h7.test/"), (None, None)], "page_id long, url string"))
+    words = spark.createDataFrame([("www",)], "word string")
+    got = url_filter.judged(pages, hosts, words)
+    assert got.where("page_id is null").count() == 2 and got.where("page_id is null and verdict = 'block'").count() == 1
+    known = got.where("page_id is not null")
+    assert known.where("rule is not null").count() == 1500 and known.where("verdict = 'block' and listed_word").count() == 2000
