@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from chunkloom.llm.common import shingles, text_slices, word_hashes, words
+from chunkloom.llm.common import let_go, shingles, text_slices, word_hashes, words
 
 SLOTS = 1 << 18
 #: Labelled documents of each class that the model is fitted on, at most (on average; the draw is by hash).
@@ -194,6 +194,7 @@ def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
     spread = _sent(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             scores = Model(*spread.value).scores(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -208,6 +209,7 @@ def kept_documents(docs: DataFrame, model: Model, text_column: str = "text", thr
     spread, text = _sent(docs, model), docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             yield batch.filter(pa.array(Model(*spread.value).scores(batch.column(text)) >= threshold))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from chunkloom.llm.common import LOWER, mix, powers, shingles, text_slices, word_hashes, words
+from chunkloom.llm.common import LOWER, let_go, mix, powers, shingles, text_slices, word_hashes, words
 from chunkloom.llm.components import components
 from chunkloom.session import written
 
@@ -130,6 +130,7 @@ def _matrix(docs: DataFrame, buckets: int, n: int) -> DataFrame:
     """Packed blocks of the matrix. Of equal sets in a row block one is in it; a list of all its documents goes along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         part, number = TaskContext.get().partitionId(), 0
         held, ids, entries = [], [], 0
 
