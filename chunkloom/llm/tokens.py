@@ -27,7 +27,7 @@ CUT = re.compile(f" (?=[^{BLANK}])")
 PIECES, WORDS, FORGETS = 200_000, 400_000, 20_000_000
 #: Longer pieces are encoded each time.
 LONGEST = 100
-STEP_CHARS = 4_000_000
+STEP_CHARS = 2_000_000
 #: Letters of the commonest scripts with marks behind them, perhaps a line end and the same again: nearly all pieces look like that.
 LETTERS, MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+", r"[!-&(-/:-@\[-`{-~]*"
 PLAIN = re.compile(f"( ?{LETTERS})({MARKS})(?:(\n)({LETTERS})({MARKS}))?\\Z")
