@@ -239,7 +239,7 @@ def test_cascades_are_exact_over_their_universe(spark, most_bits):
 
 def test_a_long_list_is_a_table(spark, monkeypatch):
     """300,000 listed hosts, of which the urls hold some; filters are as large as what the urls hold of the list."""
-    monkeypatch.setattr(url_filter, "MOST_BITS", 1 << 10)
+    monkeypatch.setattr(url_filter, "MOST_BITS", 1 << 13)
     hosts = spark.range(300_000).select(F.lit("block").alias("verdict"), F.concat(F.lit("h"), "id", F.lit(".test")).alias("host"), F.lit("/").alias("path"))
     pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://www.h"), F.col("id") * 200, F.lit(".test/x")).alias("url"))
     pages = pages.union(spark.createDataFrame([(None, "https://h7.test/"), (None, None)], "page_id long, url string"))
