@@ -372,10 +372,12 @@ def _chunk_products(rows: DataFrame, groups: DataFrame, percent: int) -> DataFra
 
     ``links`` is 0 in pairs that connect, and the number of documents that a is linked to in rows where b is a.
     """
-    member = rows.join(groups, rows["id"] == groups["node"])
-    sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("entries"))
+    # Sizes go to the members' few numbers, not to their columns: nothing long is dealt out by component.
+    sizes = groups.join(rows.select("id", "n"), groups["node"] == rows["id"]).groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("entries"))
     chunks = F.greatest(F.ceil(F.col("members") / F.lit(CHUNK)), F.ceil(F.col("entries") / F.lit(CHUNK_ENTRIES))).cast("int")
-    member = member.join(sizes, "component")
+    sized = written(groups.join(sizes, "component").select("node", "component", chunks.alias("chunks")), "sized-groups")
+    member = rows.join(sized, rows["id"] == sized["node"])
+    chunks = F.col("chunks")
     member = member.select("component", "id", "n", "copies", "columns", chunks.alias("chunks"), F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"))
     dealt = member.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     dealt = dealt.select("component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "n", "copies", "columns")
@@ -398,7 +400,7 @@ def _chunk_products(rows: DataFrame, groups: DataFrame, percent: int) -> DataFra
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b", "links"])
 
-    return dealt.groupBy("component", "i", "j").applyInArrow(run, "a long, b long, links long")
+    return dealt.repartition("component", "i", "j").groupBy("component", "i", "j").applyInArrow(run, "a long, b long, links long")
 
 
 def joined(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
