@@ -58,11 +58,13 @@ class Memory:
     def of(self, keys: list[str]) -> list[bytes]:
         known = self.known
         out = list(map(known.get, keys))
-        new = list({k for k, found in zip(keys, out) if found is None})
-        if not new:
+        missing = [i for i, found in enumerate(out) if found is None]
+        if not missing:
             return out
+        new = list({keys[i] for i in missing})
         made = dict(zip(new, self.make(new)))
-        out = [made[k] if found is None else found for k, found in zip(keys, out)]
+        for i in missing:
+            out[i] = made[keys[i]]
         self.misses += len(new)
         if self.misses > FORGETS:
             known.clear()
