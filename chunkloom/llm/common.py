@@ -36,11 +36,6 @@ def in_worker(key, build):
     return kept[key]
 
 
-def let_go() -> None:
-    """Drop what earlier stages left in this worker: Spark uses workers again, and a stage without need of it should not carry it along."""
-    sys.__dict__.pop("_chunkloom_kept", None)
-
-
 def fresh(columns: list[str], name: str) -> str:
     """``name``, with underscores in front while a column of the input has it (case apart)."""
     taken = {c.lower() for c in columns}
