@@ -83,10 +83,18 @@ def _level(keys: DataFrame, n: int, rate: float, number: int) -> Level:
     return Level(seeds, bits, tuple(words))
 
 
+def _table(spark: SparkSession, rows: DataFrame | Sequence[Sequence[str]], *names: str) -> DataFrame:
+    """A short list as a table of literals, without a Python worker; a table stays as it is."""
+    if isinstance(rows, DataFrame):
+        return rows
+    nothing = F.struct(*[F.lit(None).cast("string").alias(n) for n in names])
+    made = [F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*(made or [nothing])))).where(F.lit(bool(made)))
+
+
 def build_cascades(universe: DataFrame, listed: DataFrame | Sequence[str], most_bits: int | None = None) -> list[list[Level]]:
     """``universe`` holds distinct strings in ``key`` and is read several times; ``listed`` is the list to tell apart in it, a sequence or a table with ``key``."""
-    if not isinstance(listed, DataFrame):
-        listed = universe.sparkSession.createDataFrame([(k,) for k in listed], "key string")
+    listed = _table(universe.sparkSession, listed if isinstance(listed, DataFrame) else [(k,) for k in listed], "key")
     marks = listed.select("key").distinct().withColumn("listed", F.lit(True))
     marked = written(universe.join(marks, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "marked-keys")
     n_listed, n_all = marked.agg(F.count_if("listed"), F.count(F.lit(1))).head()
@@ -128,10 +136,6 @@ def _word_keys(host: Column) -> Column:
     return F.transform(F.array_distinct(F.split(host, "[.-]")), lambda w: F.concat(F.lit("word "), w))
 
 
-def _table(spark: SparkSession, rows: DataFrame | Sequence, schema: str) -> DataFrame:
-    return rows if isinstance(rows, DataFrame) else spark.createDataFrame(list(rows), schema)
-
-
 def judged(
     pages: DataFrame, rules: DataFrame | Sequence[Rule], blocked_words: DataFrame | Sequence[str] = BLOCKED_WORDS, id_column: str = "page_id", url_column: str = "url"
 ) -> DataFrame:
@@ -143,8 +147,8 @@ def judged(
     no rows, and columns beside the two named are not looked at.
     """
     spark = pages.sparkSession
-    rules = _table(spark, [(r.verdict, r.host, r.path) for r in rules] if not isinstance(rules, DataFrame) else rules, "verdict string, host string, path string")
-    blocked = _table(spark, [(w,) for w in blocked_words] if not isinstance(blocked_words, DataFrame) else blocked_words, "word string")
+    rules = _table(spark, [(r.verdict, r.host, r.path) for r in rules] if not isinstance(rules, DataFrame) else rules, "verdict", "host", "path")
+    blocked = _table(spark, [(w,) for w in blocked_words] if not isinstance(blocked_words, DataFrame) else blocked_words, "word")
     host, path = url_parts(F.col(url_column).cast("string"))
     urls = pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path"))
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())  # as many as the longest path has characters
