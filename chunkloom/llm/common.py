@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Iterator
 
@@ -36,6 +38,15 @@ def in_worker(key, build):
     return kept[key]
 
 
+def give_back() -> None:
+    """Hand memory that this worker has freed back to the system; the allocators would keep much of an earlier stage's arrays beside the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """``name``, with underscores in front while a column of the input has it (case apart)."""
     taken = {c.lower() for c in columns}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from chunkloom.llm.common import fresh, with_running_base
+from chunkloom.llm.common import fresh, give_back, with_running_base
 from chunkloom.llm.tokens import library_encoder
 from chunkloom.session import written
 
@@ -24,6 +24,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int | None, id_column: str = "
     tail = b"" if end_id is None else np.uint32(end_id).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encoder, part, before = library_encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
@@ -36,6 +37,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int | None, id_column: str = "
                     [rows.column(0), pa.array(np.full(len(ids), part)), pa.array(starts), pa.array(counts), pa.array(ids, pa.binary())],
                     ["doc_id", "part", "part_start", "n_tokens", "ids"],
                 )
+        give_back()
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
@@ -56,34 +58,15 @@ def pack(tokens: DataFrame, length: int = SEQUENCE) -> DataFrame:
         raise ValueError("a sequence holds one token at least")
     bases = with_running_base(tokens, "part", "n_tokens", "base")
     # One row of 16 bytes per partition of the tokenizing job: about 13 MB for 100 TB in splits of 128 MB.
-    placed = tokens.join(F.broadcast(bases), "part").select("doc_id", (F.col("part_start") + F.col("base")).alias("at"), "n_tokens", "ids")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("at").to_numpy()
-            total = batch.column("n_tokens").to_numpy()
-            first, last = at // length, (at + total - 1) // length
-            counts = np.where(total > 0, last - first + 1, 0)
-            row = np.repeat(np.arange(len(at)), counts)
-            sequence = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            begin = np.maximum(sequence * length, at[row])
-            end = np.minimum((sequence + 1) * length, at[row] + total[row])
-            start = begin - at[row]
-            size = end - begin
-            ids = batch.column("ids")
-            views = [memoryview(ids[i].as_buffer()) if total[i] else b"" for i in range(len(at))]
-            cut = [bytes(views[r][4 * s : 4 * (s + n)]) for r, s, n in zip(row.tolist(), start.tolist(), size.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(size), pa.array(cut, pa.binary()),
-                    pa.array(total[row]), pa.array(sequence), pa.array(begin - sequence * length), pa.array(counts[row] > 1),
-                ],
-                ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "crosses"],
-            )
-
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    return placed.mapInArrow(
-        run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, crosses boolean"
+    placed = tokens.where("n_tokens > 0").join(F.broadcast(bases), "part").withColumn("at", F.col("part_start") + F.col("base"))
+    # Cut without Python workers: those of the tokenizing job still hold their memories, and texts would go through both sides again.
+    windows = F.sequence(F.expr(f"at div {length}"), F.expr(f"(at + n_tokens - 1) div {length}"))
+    cut = placed.select("doc_id", "at", "n_tokens", "ids", F.explode(windows).alias("sequence_id"))
+    begin, end = F.greatest(F.col("sequence_id") * length, "at"), F.least((F.col("sequence_id") + 1) * length, F.col("at") + F.col("n_tokens"))
+    start, size = begin - F.col("at"), end - begin
+    return cut.select(
+        "doc_id", start.alias("start"), size.alias("length"), F.substring("ids", (4 * start + 1).cast("int"), (4 * size).cast("int")).alias("ids"),
+        F.col("n_tokens").alias("doc_tokens"), "sequence_id", (begin - F.col("sequence_id") * length).alias("offset"), (size < F.col("n_tokens")).alias("crosses"),
     )
 
 

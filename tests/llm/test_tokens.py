@@ -52,6 +52,15 @@ def test_sequences_are_padded_but_for_powers_of_two(spark):
     assert [packing.padded_length(n) for n in (1, 2, 3, 512, 700, 1024)] == [1, 2, 1024, 512, 1024, 1024]
 
 
+def test_pieces_are_cut_without_python_workers(spark):
+    tokens = packing.tokenized(documents(spark), PACK, 0)
+    stored = written(tokens, "tokens")
+    pieces = packing.pack(stored, 16)
+    assert "InArrow" not in pieces._jdf.queryExecution().toString()
+    for row in plain(pieces).itertuples():
+        assert row.crosses == (row.length < row.doc_tokens) and len(row.ids) == 4 * row.length and row.offset + row.length <= 16
+
+
 def test_packing_nothing(spark):
     assert packing.packed_documents(documents(spark).limit(0), PACK, 0).count() == 0
     assert packing.packed_documents(documents(spark, ["", None]), PACK, None).count() == 0
