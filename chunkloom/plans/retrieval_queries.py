@@ -401,14 +401,14 @@ def truncate_for_context(spark, sf):
     return once.withColumn("prompt_text", T.truncate_prompt(F.col("context_text"), 1000))
 
 
-def _embedded_sql(source: str, key: str, text: str) -> str:
-    """The default model again: signed counts of words by md5 slots, at unit length."""
+def _embedded_sql(source: str, key: str, text: str, unit: str = "v / nullif(norm, 0)") -> str:
+    """The default model again: signed counts of words by md5 slots, at unit length. ``unit`` is a component of the vector."""
     return O.using(source, extra=(
         ("words", f"SELECT {key}, ('0x' || substring(md5(word), 1, 8))::BIGINT AS h FROM (SELECT {key}, unnest(list_filter(regexp_split_to_array(lower({text}), '{O.WS}+'), lambda w: w <> '')) AS word FROM {source})"),
         ("slots", f"SELECT {key}, h % 64 AS slot, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0 END) AS v FROM words GROUP BY ALL"),
         ("norms", f"SELECT {key}, sqrt(sum(v * v)) AS norm FROM slots GROUP BY {key}"),
     ), body=f"""SELECT {key}, 64 AS dimension, CASE WHEN any_value(norm) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm,
-    coalesce(sum(round(v / nullif(norm, 0) * 1000) * (slot + 1)), 0)::BIGINT AS digest FROM slots JOIN norms USING ({key}) GROUP BY {key}""")
+    coalesce(sum(round({unit} * 1000) * (slot + 1)), 0)::BIGINT AS digest FROM slots JOIN norms USING ({key}) GROUP BY {key}""")
 
 
 def _embedded(df, key):
@@ -419,7 +419,11 @@ def _embedded(df, key):
     return df.select(key, F.size("embedding").alias("dimension"), F.round(l2_norm(F.col("embedding")), 4).alias("norm"), digest.alias("digest"))
 
 
-@query(_embedded_sql("chunks", "chunk_id", "content"))
+#: Vectors are arrays of floats, and so are their lengths: 7 / 80 as a double is 87.5 thousandths, as a float a little less.
+_FLOATS = "(v / nullif(norm, 0)::FLOAT::DOUBLE)::FLOAT::DOUBLE"
+
+
+@query(_embedded_sql("chunks", "chunk_id", "content", _FLOATS))
 def embed_chunks(spark, sf):
     """Unit vectors of the default model for every chunk."""
     return _embedded(M.embed_chunks(A.chunks(spark, sf)), "chunk_id")

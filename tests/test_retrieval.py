@@ -163,3 +163,21 @@ def test_float_text(spark):
     rows = spark.createDataFrame([(v,) for v in values], "v double")
     got = [r[0] for r in rows.select(P.plain_float(F.col("v"))).collect()]
     assert got == [repr(round(v, 6)) for v in values]
+
+
+def test_thousandths_of_floats_and_of_the_sql_agree(spark, tmp_path):
+    """Counts of 79, 10, 7, 3 and 1 have the length 80, and 7 / 80 lies on the border of two thousandths."""
+    import duckdb
+    import hashlib
+    from compare import compare
+    from chunkloom.plans import catalog
+
+    catalog.load()
+    words = {}
+    for i in range(200):
+        words.setdefault(int(hashlib.md5(f"w{i}".encode()).hexdigest()[:8], 16) % 64, f"w{i}")
+    text = " ".join(" ".join([w] * n) for w, n in zip(words.values(), (79, 10, 7, 3, 1)))
+    spark.createDataFrame([(1, text), (2, "one two"), (3, "")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert compare(spark, con, "embed_chunks", catalog.QUERIES["embed_chunks"], catalog.ORACLE["embed_chunks"], str(tmp_path))[0] == []
