@@ -210,3 +210,22 @@ def test_answers_that_look_like_lists_stay_text(spark):
     missing = "llm response missing "
     assert [got[i][0] for i in range(9)] == ["[1] According to", "[Chunk 1] yes", '["a"]', "{x", "a{b3", "7", None, None, None]
     assert got[6][1] == missing + "answer content" and got[7][1] == got[8][1] == missing + "choices"
+
+
+def conversations_of(spark, folder, ids):
+    import duckdb
+
+    rows = [(i, t, r, f"{r} {i} " + "said so " * (i % 40)) for i in ids for t, r in enumerate(("user", "assistant"))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{folder}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet/*.parquet'")
+    return con
+
+
+def test_answers_years_apart_pass_the_think_filter(spark, tmp_path):
+    from compare import compare
+    from chunkloom.plans import catalog
+
+    catalog.load()
+    con = conversations_of(spark, tmp_path, range(0, 200_000, 2_000))
+    assert compare(spark, con, "", catalog.QUERIES["stream_think_filter"], catalog.ORACLE["stream_think_filter"], str(tmp_path))[0] == []
