@@ -12,6 +12,8 @@ from chunkloom.sources import sinks, sse
 from chunkloom.streaming import deltas as W, ingest as I, late as L, metrics as SM, panes as P, rate_limit as SR, runner as R, tasks as ST
 
 CHAT, CHAT_OK = O.CHAT, O.CHAT_OK
+#: Events of one file of a capture.
+CAPTURE_EVENTS = 250_000
 
 
 def _stream(spark, sf, name):
@@ -97,14 +99,18 @@ def read_sse_capture(spark, sf):
 @query(O.using("stream_events", body="""SELECT stream_id % 4 AS capture, (row_number() OVER (PARTITION BY stream_id % 4 ORDER BY stream_id, index) - 1)::INTEGER AS position, type, delta,
     CASE WHEN type = 'delta' THEN index END AS index, CASE type WHEN 'done' THEN 'stream finished' WHEN 'error' THEN message END AS message FROM stream_events"""))
 def read_sse_files(spark, sf):
-    """The wire text of all streams in four long capture files, read back in splits."""
+    """The wire text of all streams in four long captures, read back in splits.
+
+    A capture is a folder of files in the order of their names: each task sorts and writes about ``CAPTURE_EVENTS`` events, however long the captures are.
+    """
     path = scratch_path(spark, "captures")
-    rows = sse.event_text(A.stream_events(A.answers(spark, sf))).withColumn("capture", F.col("stream_id") % 4)
+    events = A.stream_events(A.answers(spark, sf))
+    rows = sse.event_text(events).withColumn("capture", F.col("stream_id") % 4)
     # The writer ends each row with a line end: the second one of the blank line.
     text = F.substring("event_text", F.lit(1), F.char_length("event_text") - 1).alias("value")
-    rows.repartition(4, "capture").sortWithinPartitions("capture", "stream_id", "index").select("capture", text).write.partitionBy("capture").text(path)
-    found = sse.read_sse_events(spark, path)
-    return found.withColumn("capture", F.regexp_extract("capture", r"capture=(\d+)", 1).cast("long"))
+    parts, order = max(4, -(-events.count() // CAPTURE_EVENTS)), ["capture", "stream_id", "index"]
+    rows.select(*order, text).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("capture", "value").write.partitionBy("capture").text(path)
+    return sse.read_sse_events(spark, path, F.regexp_extract("_metadata.file_path", r"capture=(\d+)", 1).cast("long"))
 
 
 @query(O.using("thinking", body=r"""SELECT stream_id, regexp_replace(answer, '(?is)<think\b[^>]*>.*?(?:</think>|\z)', '', 'g') AS answer FROM thinking"""))

@@ -33,10 +33,10 @@ def parse_sse(captures: DataFrame, key: str, capture: str = "capture") -> DataFr
     return parsed.select(key, F.col("position"), "e.type", "e.delta", F.col("e.index").alias("index"), "e.message")
 
 
-def read_sse_events(spark: SparkSession, path: str) -> DataFrame:
+def read_sse_events(spark: SparkSession, path: str, capture: Column | None = None) -> DataFrame:
     """(capture, position, type, delta, index, message) of capture files below a path; ``capture`` is the file.
 
-    A file is read line by line in splits, so that a long capture is many tasks, and no capture is ever one value. Lines keep
+    With another ``capture``, an expression over ``_metadata``, its files are one text in the order of their names. A file is read line by line in splits, so that a long capture is many tasks, and no capture is ever one value. Lines keep
     the order of their split and their place in it; blank lines are counted along that order, by split first and then inside the
     splits, which tells the frame of each line however a frame lies across two splits. Frames behind the end mark are left out.
     """
@@ -44,7 +44,8 @@ def read_sse_events(spark: SparkSession, path: str) -> DataFrame:
     data = F.startswith("value", F.lit("data:"))
     # A split lies in one task, so the running number of the rows orders its lines.
     lines = lines.select(
-        F.col("_metadata.file_path").alias("capture"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), "value",
+        (F.col("_metadata.file_path") if capture is None else capture).alias("capture"),
+        F.struct("_metadata.file_name", "_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), "value",
     ).where(data | (F.col("value") == ""))
     lines = written(lines, "sse-lines", compression="zstd")
     framed = running_totals(lines, ["capture"], F.col("_split"), [F.col("_at")], {"_frame": (F.col("value") == "").cast("long")}).where(data)

@@ -229,3 +229,23 @@ def test_answers_years_apart_pass_the_think_filter(spark, tmp_path):
     catalog.load()
     con = conversations_of(spark, tmp_path, range(0, 200_000, 2_000))
     assert compare(spark, con, "", catalog.QUERIES["stream_think_filter"], catalog.ORACLE["stream_think_filter"], str(tmp_path))[0] == []
+
+
+def test_files_of_a_capture_follow_one_another(spark, tmp_path):
+    folder = tmp_path / "capture=7"
+    folder.mkdir()
+    for i in range(12):
+        # A frame may begin in one file and end in the next.
+        (folder / f"part-{i:03}.txt").write_text(f'data:  "index": {i}}}\n\ndata: {{"type": "delta",\n' if i else 'data: {"type": "delta",\n')
+    got = sse.read_sse_events(spark, f"file://{tmp_path}", F.regexp_extract("_metadata.file_path", r"capture=(\d+)", 1).cast("long"))
+    assert sorted((r.capture, r.position, r["index"]) for r in got.where("type is not null").collect()) == [(7, i - 1, i) for i in range(1, 12)]
+
+
+def test_long_captures_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from compare import compare
+    from chunkloom.plans import catalog, stream_queries
+
+    catalog.load()
+    monkeypatch.setattr(stream_queries, "CAPTURE_EVENTS", 100)
+    con = conversations_of(spark, tmp_path, range(100))
+    assert compare(spark, con, "", catalog.QUERIES["read_sse_files"], catalog.ORACLE["read_sse_files"], str(tmp_path))[0] == []
