@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from chunkloom import constants as K
@@ -12,14 +14,15 @@ CHUNK_ID_STRIDE = 1_000_000
 
 
 def chunk_documents(
-    documents: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP
+    documents: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """(doc_id, text) to (doc_id, chunk_index, content, tokens_est). No shuffle: the index comes from the array."""
+    """(doc_id, text) to (doc_id, chunk_index, content, tokens_est), with the columns ``keep``. No shuffle: the index comes from the array."""
     T.check_chunking(size, overlap)
-    normal = documents.select("doc_id", T.normalize_document_text(F.col("text")).alias("_t"))
-    pieces = normal.select("doc_id", F.posexplode(T.chunk_array(F.col("_t"), size, overlap)))
+    normal = documents.select("doc_id", *keep, T.normalize_document_text(F.col("text")).alias("_t"))
+    pieces = normal.select("doc_id", *keep, F.posexplode(T.chunk_array(F.col("_t"), size, overlap)))
     return pieces.select(
         "doc_id",
+        *keep,
         F.col("pos").alias("chunk_index"),
         F.col("col").alias("content"),
         T.estimate_tokens(F.col("col")).alias("tokens_est"),

@@ -15,9 +15,7 @@ BUCKETS = 64
 def ingest_batch(documents: DataFrame) -> DataFrame:
     """Latest upload per document to embedded chunks."""
     latest = last_per_key(documents, ["doc_id"], F.col("version"))
-    versions = latest.select("doc_id", "version")
-    chunks = with_chunk_id(chunk_documents(latest.select("doc_id", "text")))
-    return embed_chunks(chunks).join(versions, "doc_id")
+    return embed_chunks(with_chunk_id(chunk_documents(latest.where("doc_id is not null"), keep=["version"])))
 
 
 def _bucket(buckets: int):
@@ -56,14 +54,14 @@ def run_incremental_ingest(uploads: DataFrame, path: str, checkpoint: str, bucke
         touched = [r.bucket for r in fresh.select(_bucket(buckets)).distinct().collect()]
         known = current_folders(spark, path, batch_id) if batch_id else {}
         documents, chunks = _read(spark, path, {b: known[b] for b in touched if b in known})
-        arrived = ingest_batch(batch).withColumn("new", F.lit(True))
         if documents is not None:
             fresh = fresh.unionByName(documents.withColumn("new", F.lit(False)))
-        if chunks is not None:
-            arrived = arrived.unionByName(chunks.withColumn("new", F.lit(False)))
         winners = fresh.groupBy("doc_id").agg(F.max(F.struct("version", "new")).alias("w")).select("doc_id", "w.version", "w.new")
         winners.select("doc_id", "version", _bucket(buckets)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/current/batch={batch_id}")
-        kept = arrived.join(winners, ["doc_id", "version", "new"], "left_semi").drop("new")
+        # Winners are told among documents: chunks and their vectors move once, to their buckets.
+        kept = ingest_batch(batch.join(winners.where("new"), ["doc_id", "version"], "left_semi"))
+        if chunks is not None:
+            kept = kept.unionByName(chunks.join(winners.where("not new"), ["doc_id", "version"], "left_semi"))
         kept.withColumn("bucket", _bucket(buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/chunks/batch={batch_id}")
         counts = spark.read.schema("doc_id long, bucket int").parquet(f"{path}/chunks/batch={batch_id}").groupBy("bucket").agg(F.count("*").alias("chunks"))
         every = winners.select(_bucket(buckets)).distinct().join(counts, "bucket", "left")

@@ -249,3 +249,12 @@ def test_long_captures_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(stream_queries, "CAPTURE_EVENTS", 100)
     con = conversations_of(spark, tmp_path, range(100))
     assert compare(spark, con, "", catalog.QUERIES["read_sse_files"], catalog.ORACLE["read_sse_files"], str(tmp_path))[0] == []
+
+
+def test_embedded_chunks_move_only_to_their_buckets(spark):
+    from chunkloom.streaming import ingest as I
+
+    rows = [(1, 1, "old"), (1, 2, "one two"), (2, 1, None), (None, 1, "nobody's"), (3, 5, "three")]
+    batch = I.ingest_batch(spark.createDataFrame(rows, "doc_id long, version int, text string"))
+    assert "Join" not in batch._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.doc_id, r.version, r.content, r.chunk_id, len(r.embedding)) for r in batch.collect()} == {(1, 2, "one two", 1_000_000, 64), (3, 5, "three", 3_000_000, 64)}
