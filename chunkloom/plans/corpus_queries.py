@@ -18,13 +18,21 @@ from chunkloom.session import scratch_path, written
 from chunkloom.sources import files, sinks
 
 
+#: Uploaded files of one folder, over all languages.
+FOLDER_FILES = 1000
+
+
 @query("""SELECT lang, count(*) AS files, sum(strlen(text) + 1)::BIGINT AS total_bytes, sum(strlen(text) + 1)::BIGINT AS read_bytes,
     bit_xor(('0x' || substring(md5(text || chr(10)), 1, 15))::BIGINT) AS contents FROM documents GROUP BY lang""")
 def scan_document_files(spark, sf):
     """One file per document, whose bytes are told apart by their digests."""
     path = scratch_path(spark, "uploads")
-    docs = A.table(spark, sf, "documents").select("lang", "text")
-    docs.write.partitionBy("lang").option("maxRecordsPerFile", 1).text(path)
+    docs = files.spread(A.table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
+    # Folders of about a thousand files, which Spark lists in tasks once there are many; files are moved there as tasks end, not one by one by the driver.
+    folders = max(1, docs.count() // FOLDER_FILES)
+    docs = docs.select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(folders)).alias("folder"), "text")
+    writer = docs.write.partitionBy("lang", "folder").option("maxRecordsPerFile", 1)
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
     found = files.read_files(spark, path).withColumn("lang", F.regexp_extract("path", "lang=([^/]*)/", 1))
     digest = F.conv(F.substring(F.md5("content"), 1, 15), 16, 10).cast("long")
     return found.groupBy("lang").agg(

@@ -258,3 +258,17 @@ def test_embedded_chunks_move_only_to_their_buckets(spark):
     batch = I.ingest_batch(spark.createDataFrame(rows, "doc_id long, version int, text string"))
     assert "Join" not in batch._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.doc_id, r.version, r.content, r.chunk_id, len(r.embedding)) for r in batch.collect()} == {(1, 2, "one two", 1_000_000, 64), (3, 5, "three", 3_000_000, 64)}
+
+
+def test_uploads_lie_in_many_folders(spark, con, monkeypatch):
+    from compare import compare
+    from conftest import SF_DIR
+    from chunkloom.plans import catalog, corpus_queries
+
+    catalog.load()
+    path = []
+    monkeypatch.setattr(corpus_queries, "FOLDER_FILES", 10)
+    monkeypatch.setattr(corpus_queries, "scratch_path", lambda s, n, real=corpus_queries.scratch_path: path.append(real(s, n)) or path[-1])
+    assert compare(spark, con, "", catalog.QUERIES["scan_document_files"], catalog.ORACLE["scan_document_files"], SF_DIR)[0] == []
+    folders = files.read_files(spark, path[0]).select(F.regexp_extract("path", r"folder=(\d+)", 1)).distinct().count()
+    assert folders > 10
