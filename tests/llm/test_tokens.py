@@ -12,7 +12,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chunkloom.llm import byte_bpe, packing, queries, token_files
+from chunkloom.llm import byte_bpe, packing, queries, token_files, tokens as tokenizing
 from chunkloom.session import written
 from llm.helpers import TEXTS, documents, plain
 
@@ -68,6 +68,34 @@ def test_packing_nothing(spark):
         packing.pack(packing.tokenized(documents(spark), PACK, 0), 0)
 
 
+ODD_STRINGS = [
+    "a", "Bc", "word", "É", "ÿ", "ſ", "ŉ", "İ", "Σ", "ǅ", "漢", "e\u0301", "\u0338", "7", ".", ",", "=", ">", "-", "'", "'s", "'RE", "…", "_", "<|endoftext|>", "<|startoftext|>", "<|",
+    "|>", "\0", " ", " ", " ", "  ", "\n", "\n", "\n\n", "\r\n", "\t", "\x1c", "\x85", "\xa0", "\u3000", "\u200b", "🙂",
+]
+
+
+def test_pieces_join_to_the_ids_of_whole_texts():
+    draw = random.Random(3)
+    texts = [*ODD_STRINGS, *(a + b + c for a in ("", "a", "É") for b in ODD_STRINGS for c in ODD_STRINGS)]
+    texts += ["".join(draw.choices(ODD_STRINGS, k=draw.randint(3, 14))) for _ in range(4_000)]
+    for path in (PACK, FILES):
+        assert list(tokenizing.library_encoder(path).encode(texts)) == [packed(i[:-1]) for i in library_ids(path, texts, 0)]
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.rank_file(RANKS), special_tokens={})
+    assert list(byte_bpe.encoder(RANKS, public_tokenizers.PATTERN).encode(texts)) == [packed(library.encode_ordinary(t)) for t in texts]
+
+
+def test_a_word_is_encoded_once_whatever_marks_follow(monkeypatch):
+    text = "so qzvxkj. Then qzvxkj, or qzvxkj; (qzvxkj)\nqzvxkj qzvxkj!\nThe qzvxkj.\nqzvxkj"
+    for path in (PACK, FILES):
+        own, asked = tokenizing.library_encoder(path), []
+        make = own.words.make
+        monkeypatch.setattr(own.words, "make", lambda words: asked.extend(words) or make(words))
+        assert list(own.encode([text, text])) == [packed(library_ids(path, [text], 0)[0][:-1])] * 2
+        assert list(own.encode([text + " qzvxkj:", "qzvxkj? " + text]))  # of what is known nothing is asked again
+        assert max(map(asked.count, asked)) == 1 and {a for a in asked if "qzv" in a} <= {"qzvxkj", " qzvxkj"}
+        assert {k.strip() for k in own.pieces.known if "qzv" in k} == {"qzvxkj", "(qzvxkj"}
+
+
 def test_token_files_read_back(spark):
     docs = documents(spark).union(documents(spark, [TEXTS[0]] * 2)).union(documents(spark, ["no id"]).withColumn("doc_id", F.lit(None).cast("long")))
     tokens = written(packing.tokenized(docs, FILES, 2), "tokens")
