@@ -20,24 +20,34 @@ from chunkloom.sources import files, sinks
 
 #: Uploaded files of one folder, over all languages.
 FOLDER_FILES = 1000
+#: Begins the labels of documents without a text; no label of a language begins so.
+NO_TEXT = "none"
 
 
 @query("""SELECT lang, count(*) AS files, sum(strlen(text) + 1)::BIGINT AS total_bytes, sum(strlen(text) + 1)::BIGINT AS read_bytes,
     bit_xor(('0x' || substring(md5(text || chr(10)), 1, 15))::BIGINT) AS contents FROM documents GROUP BY lang""")
 def scan_document_files(spark, sf):
-    """One file per document, whose bytes are told apart by their digests."""
-    path = scratch_path(spark, "uploads")
+    """One file per document, whose bytes are told apart by their digests.
+
+    Files are counted some folders at a time. A document without a text is a file too, and none of its bytes count.
+    """
+    path, counted = scratch_path(spark, "uploads"), scratch_path(spark, "scanned")
     docs = files.spread(A.table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
-    # Folders of about a thousand files, which Spark lists in tasks once there are many; files are moved there as tasks end, not one by one by the driver.
-    folders = max(1, docs.count() // FOLDER_FILES)
-    docs = docs.select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(folders)).alias("folder"), "text")
-    writer = docs.write.partitionBy("lang", "folder").option("maxRecordsPerFile", 1)
-    writer.option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
-    found = files.read_files(spark, path).withColumn("lang", F.regexp_extract("path", "lang=([^/]*)/", 1))
+    label = F.concat(F.when(F.col("text").isNull(), NO_TEXT).otherwise(""), sinks.as_label(F.col("lang")))
+    folders = sinks.write_files(docs.select(label.alias("label"), "text"), path, FOLDER_FILES)
+    label = F.regexp_extract("path", "/label=([^/]*)/[^/]*$", 1)
     digest = F.conv(F.substring(F.md5("content"), 1, 15), 16, 10).cast("long")
-    return found.groupBy("lang").agg(
-        F.count("*").alias("files"), F.sum("size_bytes").alias("total_bytes"), F.sum(F.octet_length("content")).cast("long").alias("read_bytes"),
-        F.bit_xor(digest).alias("contents"),
+    for found in files.read_folders(spark, path, folders):
+        found.groupBy(label.alias("label")).agg(
+            F.count("*").alias("files"), F.sum("size_bytes").alias("total_bytes"), F.sum(F.octet_length("content")).cast("long").alias("read_bytes"),
+            F.bit_xor(digest).alias("contents"),
+        ).write.mode("append").parquet(counted)
+    found = spark.read.schema("label string, files long, total_bytes long, read_bytes long, contents long").parquet(counted)
+    lang = sinks.from_label(F.regexp_replace("label", f"^{NO_TEXT}", ""))
+    held = {c: F.when(~F.col("label").startswith(NO_TEXT), F.col(c)) for c in ("total_bytes", "read_bytes", "contents")}
+    return found.select(lang.alias("lang"), "files", *[v.alias(c) for c, v in held.items()]).groupBy("lang").agg(
+        F.sum("files").alias("files"), F.sum("total_bytes").alias("total_bytes"), F.sum("read_bytes").alias("read_bytes"),
+        F.bit_xor("contents").alias("contents"),
     )
 
 

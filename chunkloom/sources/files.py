@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -10,21 +10,33 @@ from pyspark.sql.types import StructType
 from chunkloom import constants as K
 
 SPREAD_BYTES = 32 * 1024 * 1024
+#: Folders whose files the driver knows at a time.
+FOLDERS_AT_ONCE = 100
 MAPPING_SCHEMA = "row_id int, chunk_id long, doc_id long, chunk_index int, content string"
 
 
-def read_files(spark: SparkSession, path: str, extensions: Sequence[str] = K.SUPPORTED_EXTENSIONS) -> DataFrame:
+def read_files(spark: SparkSession, path: str | Sequence[str], extensions: Sequence[str] = K.SUPPORTED_EXTENSIONS) -> DataFrame:
     """Uploaded files with path, size and bytes, their suffix in any case; other suffixes are not even listed."""
     any_case = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions]
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.{" + ",".join(any_case) + "}")
         .option("recursiveFileLookup", "true")
-        .load(path)
+        .load(path if isinstance(path, str) else list(path))
         .select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size_bytes"), "content")
     )
 
 
+def read_folders(spark: SparkSession, path: str, folders: Sequence[str], extensions: Sequence[str] = K.SUPPORTED_EXTENSIONS) -> Iterator[DataFrame]:
+    """``read_files`` over ``folders`` below ``path``, some at a time, so that the driver never holds the paths of all files.
+
+    Without folders the files of ``path`` are read. Spark gives a task 32 small files; the tasks are drawn together to a few for each core.
+    """
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    for k in range(0, max(1, len(folders)), FOLDERS_AT_ONCE):
+        yield read_files(spark, folders[k : k + FOLDERS_AT_ONCE] or path, extensions).coalesce(tasks)
+
+
 def read_index_mapping_json(spark: SparkSession, path: str) -> DataFrame:
     """Per-document mapping files, each a JSON array of rows."""
     return spark.read.option("multiLine", True).option("recursiveFileLookup", "true").schema(MAPPING_SCHEMA).json(path)

@@ -1,13 +1,95 @@
-"""Writers: chunk and vector tables by document bucket, append-only metrics, citations, event text."""
+"""Writers: uploads, chunk and vector tables by document bucket, append-only metrics, citations, event text."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chunkloom.operators.chunks import index_row_id, vector_index_meta
 from chunkloom.operators.retrieval import vector_blocks
 
 DOC_BUCKETS = 64
+#: More than the folders of files that one task writes: numbers of folders count up from the task's number times this.
+TASK_FOLDERS = 1_000_000
+
+
+def as_label(value: Column) -> Column:
+    """Any text, or null, as the name of a folder; ``from_label`` leads back."""
+    # "~" and "!" are escaped in urls, but not by Spark's writer; "*" would be a pattern.
+    return F.coalesce(F.concat(F.lit("-"), F.translate(F.url_encode(value), "%*", "~!")), F.lit("null"))
+
+
+def from_label(label: Column) -> Column:
+    return F.when(label != "null", F.url_decode(F.translate(F.substring(label, F.lit(2), F.char_length(label)), "~!", "%*")))
+
+
+def _store(spark: SparkSession, path: str):
+    """The file system that holds ``path``, and the path in full."""
+    given = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = given.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return store, store.makeQualified(given)
+
+
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """``path`` as the operating system names it, if it lies among local or mounted files and not in another store."""
+    uri = _store(spark, path)[1].toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def _one_file_each(root: str, per_folder: int):
+    """A task's rows as files below a folder of its attempt, which gets its name when all are there; a second attempt leaves the first one's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, attempt, n = TaskContext.get().partitionId(), f"{root}/_attempt-{uuid.uuid4().hex}", 0
+        for batch in batches:
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
+                folder = f"{attempt}/folder={TASK_FOLDERS * task + n // per_folder}"
+                if n % per_folder == 0:
+                    labels = set()
+                if label not in labels:
+                    os.makedirs(f"{folder}/label={label}")
+                    labels.add(label)
+                with open(f"{folder}/label={label}/{n}.txt", "wb") as file:
+                    file.write(text + b"\n")
+                n += 1
+        if n:
+            done = f"{root}/task={task}"
+            try:
+                os.rename(attempt, done)
+            except OSError:
+                if not os.path.isdir(done):
+                    raise
+            yield pa.RecordBatch.from_arrays([pa.array([f"task={task}/{f}" for f in os.listdir(done)], pa.string())], ["folder"])
+
+    return run
+
+
+def write_files(rows: DataFrame, path: str, per_folder: int = 1000) -> list[str]:
+    """Each row's ``text`` and a line end as a file of its own below ``label=<label>``; the folders above, of ``per_folder`` files at most.
+
+    Labels are names as ``as_label`` makes them; a null text is an empty one. Hadoop's local file system starts a program for the rights of each
+    file, and one for those of its checksum. So tasks write by themselves where ``path`` lies among local or mounted files, and Spark's writer
+    serves all other stores.
+    """
+    spark = rows.sparkSession
+    rows = rows.select("label", F.coalesce("text", F.lit("")).alias("text"))
+    root = local_folder(spark, path)
+    if root is not None:
+        os.makedirs(root)
+        made = rows.select("label", F.col("text").cast("binary").alias("text")).mapInArrow(_one_file_each(root, per_folder), "folder string")
+        return [f"{path}/{r.folder}" for r in made.collect()]
+    place = F.monotonically_increasing_id()
+    folder = F.shiftright(place, 33) * TASK_FOLDERS + F.floor(place.bitwiseAND(2**33 - 1) / per_folder)
+    writer = rows.select(folder.alias("folder"), "label", "text").write.partitionBy("folder", "label").option("maxRecordsPerFile", 1)
+    # Files are moved as tasks end, not one by one by the driver.
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
+    store, full = _store(spark, path)
+    return [f.getPath().toString() for f in store.listStatus(full) if f.isDirectory()]
 
 
 def with_bucket(df: DataFrame, buckets: int = DOC_BUCKETS) -> DataFrame:

@@ -272,3 +272,93 @@ def test_uploads_lie_in_many_folders(spark, con, monkeypatch):
     assert compare(spark, con, "", catalog.QUERIES["scan_document_files"], catalog.ORACLE["scan_document_files"], SF_DIR)[0] == []
     folders = files.read_files(spark, path[0]).select(F.regexp_extract("path", r"folder=(\d+)", 1)).distinct().count()
     assert folders > 10
+
+
+def _odd_documents(spark, tmp_path):
+    """A copy of the tables whose documents have odd languages, missing texts, repeated and missing ids."""
+    from conftest import SF_DIR
+    from compare import TABLES, duck
+
+    sf = tmp_path / "sf"
+    sf.mkdir()
+    for name in TABLES:
+        if name != "documents":
+            (sf / f"{name}.parquet").symlink_to(f"{SF_DIR}/{name}.parquet")
+    langs = [None, "", "null", "none", "-en", "e/n", "lang=en", "a b+c%20", "*~!", "中文", "..", "__HIVE_DEFAULT_PARTITION__", "EN", "en"]
+    rows = [(None if i % 9 == 0 else i // 2, lang, text) for i, (lang, text) in enumerate((a, b) for a in langs for b in (None, "", "x", "x", "a\nb\r\n", "\n", "é中𠀀"))]
+    rows += [(10_000 + i, "no text", None) for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    (sf / "documents.parquet").symlink_to(next((tmp_path / "docs").glob("part-*.parquet")))
+    return str(sf), duck(str(sf))
+
+
+def test_uploads_of_odd_documents(spark, tmp_path, monkeypatch):
+    from compare import compare
+    from chunkloom.plans import catalog, corpus_queries
+    from chunkloom.sources import sinks
+
+    catalog.load()
+    sf, con = _odd_documents(spark, tmp_path)
+    query, sql = catalog.QUERIES["scan_document_files"], catalog.ORACLE["scan_document_files"]
+    monkeypatch.setattr(corpus_queries, "FOLDER_FILES", 3)
+    assert compare(spark, con, "", query, sql, sf)[0] == []
+    monkeypatch.setattr(files, "FOLDERS_AT_ONCE", 5)
+    assert compare(spark, con, "", query, sql, sf)[0] == []
+    # As in a store that only Spark writes to.
+    monkeypatch.setattr(sinks, "local_folder", lambda *_: None)
+    assert compare(spark, con, "", query, sql, sf)[0] == []
+
+
+def test_no_documents_no_uploads(spark, monkeypatch):
+    from chunkloom.plans import adapters, catalog
+    from chunkloom.sources import sinks
+
+    catalog.load()
+    none = spark.createDataFrame([], "doc_id long, lang string, text string")
+    monkeypatch.setattr(adapters, "table", lambda *_: none)
+    assert catalog.QUERIES["scan_document_files"](spark, "").collect() == []
+    monkeypatch.setattr(sinks, "local_folder", lambda *_: None)
+    assert catalog.QUERIES["scan_document_files"](spark, "").collect() == []
+
+
+def test_an_upload_takes_no_program(spark, monkeypatch):
+    from pathlib import Path
+    from conftest import SF_DIR
+    from chunkloom.plans import catalog, corpus_queries
+
+    catalog.load()
+    path = []
+    monkeypatch.setattr(corpus_queries, "scratch_path", lambda s, n, real=corpus_queries.scratch_path: path.append(real(s, n)) or path[-1])
+    documents = sum(r.files for r in catalog.QUERIES["scan_document_files"](spark, SF_DIR).collect())
+    # Hadoop's local file system starts a program for the rights of each file and one for its checksum; a file by a task has no checksum.
+    assert len([f for f in Path(path[0].removeprefix("file:")).rglob("*") if f.is_file()]) == documents == 200
+
+
+def test_the_driver_knows_few_uploads(spark, tmp_path, monkeypatch):
+    from chunkloom.sources import sinks
+
+    rows = spark.range(0, 2000, 1, 4).select(F.concat(F.lit("-"), F.col("id") % 3).alias("label"), F.col("id").cast("string").alias("text"))
+    path = str(tmp_path / "up")
+    folders = sinks.write_files(rows, path, 100)
+    assert len(folders) == 20 and all(len([f for f in (tmp_path / "up").glob(f"{x[len(path) + 1:]}/*/*")]) == 100 for x in folders)
+    monkeypatch.setattr(files, "FOLDERS_AT_ONCE", 3)
+    groups = list(files.read_folders(spark, path, folders))
+    assert max(len(g.inputFiles()) for g in groups) == 300
+    got = [(r.path.rsplit("/", 2)[1], bytes(r.content), r.size_bytes) for g in groups for r in g.collect()]
+    assert sorted(got) == sorted((f"label=-{i % 3}", f"{i}\n".encode(), len(str(i)) + 1) for i in range(2000))
+
+
+def test_a_second_attempt_leaves_the_files_of_the_first(tmp_path, monkeypatch):
+    import pyarrow as pa
+    from chunkloom.sources import sinks
+
+    monkeypatch.setattr(sinks.TaskContext, "get", lambda: type("Context", (), {"partitionId": lambda self: 4})())
+
+    def attempt(texts):
+        batch = pa.RecordBatch.from_arrays([pa.array(["-x"] * len(texts)), pa.array(texts, pa.binary())], ["label", "text"])
+        return [f for b in sinks._one_file_each(str(tmp_path), 2)([batch]) for f in b.column("folder").to_pylist()]
+
+    first = attempt([b"a", b"b", b"c"])
+    assert sorted(attempt([b"c", b"b", b"a"])) == sorted(first) == ["task=4/folder=4000000", "task=4/folder=4000001"]
+    assert [f.read_bytes() for f in sorted(tmp_path.glob("task=4/*/*/*"))] == [b"a\n", b"b\n", b"c\n"]
+    assert attempt([]) == []
