@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,8 +11,8 @@ from pyspark.sql.types import StructType
 from chunkloom import constants as K
 
 SPREAD_BYTES = 32 * 1024 * 1024
-#: Folders whose files the driver knows at a time.
-FOLDERS_AT_ONCE = 100
+#: Folders whose files the driver knows at a time; Spark lists more than 32 in tasks.
+FOLDERS_AT_ONCE = 50
 MAPPING_SCHEMA = "row_id int, chunk_id long, doc_id long, chunk_index int, content string"
 
 
@@ -31,10 +32,12 @@ def read_folders(spark: SparkSession, path: str, folders: Sequence[str], extensi
     """``read_files`` over ``folders`` below ``path``, some at a time, so that the driver never holds the paths of all files.
 
     Without folders the files of ``path`` are read. Spark gives a task 32 small files; the tasks are drawn together to a few for each core.
+    Frames refer to themselves, so Python would leave those of earlier folders, and with them the paths in the JVM, for a collection much later.
     """
     tasks = 4 * spark.sparkContext.defaultParallelism
     for k in range(0, max(1, len(folders)), FOLDERS_AT_ONCE):
         yield read_files(spark, folders[k : k + FOLDERS_AT_ONCE] or path, extensions).coalesce(tasks)
+        gc.collect()
 
 
 def read_index_mapping_json(spark: SparkSession, path: str) -> DataFrame:

@@ -362,3 +362,24 @@ def test_a_second_attempt_leaves_the_files_of_the_first(tmp_path, monkeypatch):
     assert sorted(attempt([b"c", b"b", b"a"])) == sorted(first) == ["task=4/folder=4000000", "task=4/folder=4000001"]
     assert [f.read_bytes() for f in sorted(tmp_path.glob("task=4/*/*/*"))] == [b"a\n", b"b\n", b"c\n"]
     assert attempt([]) == []
+
+
+def test_frames_of_earlier_folders_are_let_go(spark, tmp_path):
+    import gc
+    import weakref
+    from chunkloom.sources import sinks
+
+    folders = sinks.write_files(spark.range(60).select(F.lit("-").alias("label"), F.col("id").cast("string").alias("text")), str(tmp_path / "up"), 1)
+    held, alive = [], []
+    gc.collect()
+    gc.disable()
+    try:
+        for found in files.read_folders(spark, str(tmp_path / "up"), folders):
+            alive += [r() is not None for r in held]
+            counted = found.groupBy("path").agg(F.count("*").alias("n"))
+            counted.write.parquet(str(tmp_path / f"counted-{len(held)}"))
+            held.append(weakref.ref(counted._jdf))
+            del counted
+    finally:
+        gc.enable()
+    assert len(held) == 2 and alive == [False]
